@@ -62,11 +62,7 @@ def search_students(
     """
     found = students_with_programme(tables, selection)
     if text:
-        needle = F.lower(F.lit(text))
-        fields = [F.col("StudentID").cast("string"), F.col("FirstName"), F.col("LastName"), F.col("Email")]
-        full = F.concat_ws(" ", "FirstName", "LastName")
-        hit = F.contains(F.lower(full), needle)
-        for field in fields:
-            hit = hit | F.coalesce(F.contains(F.lower(field), needle), F.lit(False))
-        found = found.filter(hit)
+        # One searchable text per student; the separator keeps fields apart.
+        fields = F.concat_ws("\n", "StudentID", F.concat_ws(" ", "FirstName", "LastName"), "Email")
+        found = found.filter(F.contains(F.lower(fields), F.lower(F.lit(text))))
     return found.orderBy(F.col("StudentID").asc_nulls_last())

@@ -49,35 +49,37 @@ def _row_rule_report(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def _value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows per distinct key without a NULL; ``n`` is the count.
+
+    A column that is both unique and a reference gives the same plan in both
+    checks, so Spark shuffles it once.
+    """
+    keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return df.filter(keyed).groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 def _key_report(df: DataFrame, rule: Rule) -> DataFrame:
     """Rows beyond the first of their key; for a primary key, rows without a key too."""
-    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in rule.columns])
-    keys = df.select(*rule.columns)
     if rule.kind == "unique":
-        keys = keys.na.drop()
-        extra = F.col("n") - 1
+        counted, extra = _value_counts(df, rule.columns), F.col("n") - 1
     else:
-        extra = F.when(no_key, F.col("n")).otherwise(F.col("n") - 1)
-    counted = keys.groupBy(*rule.columns).agg(F.count("*").alias("n"))
+        key = rule.columns[0]
+        counted = df.groupBy(key).agg(F.count("*").alias("n"))
+        extra = F.when(F.col(key).isNull(), F.col("n")).otherwise(F.col("n") - 1)
     total = counted.agg(F.coalesce(F.sum(extra), F.lit(0)).alias("v"))
     return total.select(F.inline(F.array(_report_row(rule, F.col("v")))))
 
 
 def _dangling_keys(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
-    """Referencing values without a parent, with their row counts.
+    """Referencing values without a parent, with their row counts ``n``.
 
     References are counted per value first, so a value held by very many rows
     reaches the join as one row.
     """
     column = rule.columns[0]
-    used = (
-        tables[rule.table]
-        .filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("_ref"))
-        .agg(F.count("*").alias("n"))
-    )
-    parents = tables[rule.parent].select(F.col(rule.parent_key).alias("_ref"))
-    return used.join(parents, "_ref", "left_anti")
+    parents = tables[rule.parent].select(F.col(rule.parent_key).alias(column))
+    return _value_counts(tables[rule.table], [column]).join(parents, column, "left_anti")
 
 
 def _reference_report(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
@@ -136,9 +138,8 @@ def failing_rows(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
         return df.filter(row_violation(rule))
     columns = list(rule.columns)
     if rule.kind == "foreign_key":
-        dangling = _dangling_keys(tables, rule).select(F.col("_ref").alias(columns[0]))
-        return df.join(dangling, columns, "left_semi")
-    repeated = df.select(*columns).na.drop().groupBy(*columns).count().filter("count > 1")
+        return df.join(_dangling_keys(tables, rule), columns, "left_semi")
+    repeated = _value_counts(df, columns).filter("n > 1")
     rows = df.join(repeated, columns, "left_semi")
     if rule.kind == "primary_key":
         rows = rows.unionByName(df.filter(F.col(columns[0]).isNull()))

@@ -47,6 +47,16 @@ def _with_reason(df: DataFrame, broken: Column, reason: str) -> DataFrame:
     return df.withColumn("Reasons", F.concat("Reasons", found))
 
 
+def _already_in(keys: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """The given distinct keys that a table holds.
+
+    The table is reduced by a semi join, so a batch small enough to broadcast
+    costs a large table one scan and no shuffle.
+    """
+    held = table.select(*columns).join(keys.select(*columns), columns, "left_semi")
+    return held.distinct()
+
+
 def _check_reference(df: DataFrame, tables: Tables, rule: Rule) -> DataFrame:
     """Add a reason to rows that refer to a parent that does not exist.
 
@@ -55,10 +65,9 @@ def _check_reference(df: DataFrame, tables: Tables, rule: Rule) -> DataFrame:
     """
     column = rule.columns[0]
     parents = tables[rule.parent].select(F.col(rule.parent_key).alias(column))
-    unknown = (
-        df.select(column).na.drop().distinct().join(parents, column, "left_anti").withColumn("_unknown", F.lit(True))
-    )
-    joined = df.join(unknown, column, "left")
+    used = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    unknown = used.join(_already_in(used, parents, [column]), column, "left_anti")
+    joined = df.join(unknown.withColumn("_unknown", F.lit(True)), column, "left")
     return _with_reason(joined, F.col("_unknown").isNotNull(), rule.rule_id).drop("_unknown")
 
 
@@ -74,15 +83,14 @@ def _check_unique(df: DataFrame, existing: DataFrame, rule: Rule, order: list[st
     candidates = df.filter(F.size("Reasons") == 0).select(*columns, *place).na.drop(subset=columns)
     first = candidates.groupBy(*columns).agg(F.min(F.struct(*place)).alias("_first"))
     fresh = (
-        first.join(existing.select(*columns), columns, "left_anti")
+        first.join(_already_in(first, existing, columns), columns, "left_anti")
         .select(*columns, *[F.col(f"_first.{c}").alias(c) for c in place])
         .withColumn("_fresh", F.lit(True))
     )
     joined = df.join(fresh, columns + place, "left")
     keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return _with_reason(joined, keyed & F.col("_fresh").isNull() & (F.size("Reasons") == 0), rule.rule_id).drop(
-        "_fresh"
-    )
+    repeated = keyed & F.col("_fresh").isNull() & (F.size("Reasons") == 0)
+    return _with_reason(joined, repeated, rule.rule_id).drop("_fresh")
 
 
 def _validate(df: DataFrame, tables: Tables, table: str, rules: list[Rule], order: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -74,9 +75,15 @@ def load_tables(
     return tables
 
 
-def load_literals(spark: SparkSession, rows: Iterable[tuple], schema: StructType | str) -> DataFrame:
-    """Small master data written down as rows."""
-    return spark.createDataFrame(list(rows), schema)
+def load_literals(spark: SparkSession, rows: Iterable[tuple], schema: StructType) -> DataFrame:
+    """Small master data written down as rows; ISO texts become dates where declared.
+
+    The rows travel as Arrow, so Spark knows their size when it plans joins.
+    """
+    columns = list(zip(*rows)) or [()] * len(schema)
+    table = pa.table({field.name: pa.array(list(values)) for field, values in zip(schema, columns)})
+    typed = [F.col(field.name).cast(field.dataType).alias(field.name) for field in schema]
+    return spark.createDataFrame(table).select(*typed)
 
 
 def apply_defaults(df: DataFrame, table: str) -> DataFrame:

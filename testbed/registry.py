@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from campusflow import functions as columns
 from campusflow.operators import keys, quality, updates
@@ -392,7 +393,8 @@ ORACLES["load_tables"] = """
 
 def _grade_scale(t: RecordTables) -> DataFrame:
     """Results per step of a grade scale that is written down as literal rows."""
-    scale = load.load_literals(t.spark, enumerate(GRADE_ORDER, start=1), "GradeRank INT, FinalGrade STRING")
+    schema = StructType().add("GradeRank", "int").add("FinalGrade", "string")
+    scale = load.load_literals(t.spark, enumerate(GRADE_ORDER, start=1), schema)
     counts = t["AssessmentResult"].groupBy("FinalGrade").agg(F.count("*").alias("Results"))
     return scale.join(counts, "FinalGrade", "left")
 
@@ -489,7 +491,7 @@ _UPDATES = """
 # Every activity asks for an enrollment of its student in its offering.
 _REQUESTS = """
     SELECT event_id AS Place, CASE event_type WHEN 'error' THEN -1 - user_id ELSE user_id END AS StudentID,
-           CAST({json}(props, '$.k') AS INT) AS CourseOfferingID, CAST(ts AS DATE) AS EnrollmentDate,
+           CAST({json}(props, '$.k') AS BIGINT) AS CourseOfferingID, CAST(ts AS DATE) AS EnrollmentDate,
            CASE event_type WHEN 'signup' THEN 'O' WHEN 'click' THEN 'bad' ELSE 'F' END AS EnrollmentStatus
     FROM {events}"""
 

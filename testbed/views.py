@@ -87,7 +87,7 @@ VIEWS = {
         FROM {orders}""",
     "LMSActivity": """
         SELECT event_id AS ActivityID, user_id AS StudentID,
-               CAST({json}(props, '$.k') AS INT) AS CourseOfferingID, ts AS LoginTimestamp,
+               CAST({json}(props, '$.k') AS BIGINT) AS CourseOfferingID, ts AS LoginTimestamp,
                event_type AS ActivityType, CAST(FLOOR(value) AS INT) AS DurationMinutes
         FROM {events}""",
 }
