@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from campusflow import functions as columns
 from campusflow.operators import keys, quality, updates
@@ -393,7 +393,7 @@ ORACLES["load_tables"] = """
 
 def _grade_scale(t: RecordTables) -> DataFrame:
     """Results per step of a grade scale that is written down as literal rows."""
-    schema = StructType().add("GradeRank", "int").add("FinalGrade", "string")
+    schema = StructType().add("GradeRank", IntegerType()).add("FinalGrade", StringType())
     scale = load.load_literals(t.spark, enumerate(GRADE_ORDER, start=1), schema)
     counts = t["AssessmentResult"].groupBy("FinalGrade").agg(F.count("*").alias("Results"))
     return scale.join(counts, "FinalGrade", "left")
