@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campusflow.operators.keys import append_serial, assign_serial
+from campusflow.operators.keys import append_serial, assign_serial, ensure_checkpoint_dir
 from campusflow.operators.quality import ROW_KINDS, row_violation
 from campusflow.schema import PRIMARY_KEYS, Rule, contract_rules
 from campusflow.sources.load import apply_defaults
@@ -36,42 +36,50 @@ def _rules_of(table: str, rules: Sequence[Rule] | None) -> list[Rule]:
 
 
 def _row_reasons(rules: list[Rule], columns: Sequence[str]) -> Column:
-    """Ids of the row rules a row breaks, as an array."""
+    """Ids of the row rules a row breaks, separated by commas; empty for a sound row."""
     checks = [r for r in rules if r.kind in ROW_KINDS and set(r.columns) <= set(columns)]
-    broken = [F.when(row_violation(r), F.lit(r.rule_id)) for r in checks]
-    return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
+    return F.concat_ws(",", *[F.when(row_violation(r), F.lit(r.rule_id)) for r in checks])
 
 
 def _with_reason(df: DataFrame, broken: Column, reason: str) -> DataFrame:
-    found = F.when(broken, F.array(F.lit(reason))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("Reasons", F.concat("Reasons", found))
+    so_far = F.when(F.col("Reasons") != "", F.col("Reasons"))
+    return df.withColumn("Reasons", F.concat_ws(",", so_far, F.when(broken, F.lit(reason))))
 
 
-def _already_in(keys: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """The given distinct keys that a table holds.
+def _sound() -> Column:
+    return F.col("Reasons") == ""
+
+
+def _keys_of(batch: DataFrame, columns: list[str]) -> DataFrame:
+    return batch.select(*columns).na.drop().distinct()
+
+
+def _already_in(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """Those of the distinct keys that a table holds.
 
     The table is reduced by a semi join, so a batch small enough to broadcast
     costs a large table one scan and no shuffle.
     """
-    held = table.select(*columns).join(keys.select(*columns), columns, "left_semi")
-    return held.distinct()
+    return table.select(*keys.columns).join(keys, keys.columns, "left_semi").distinct()
 
 
-def _check_reference(df: DataFrame, tables: Tables, rule: Rule) -> DataFrame:
+def _check_reference(df: DataFrame, batch: DataFrame, tables: Tables, rule: Rule) -> DataFrame:
     """Add a reason to rows that refer to a parent that does not exist.
 
-    Only the distinct referenced values meet the parent table.  What comes
+    Only the distinct values of the batch meet the parent table.  What comes
     back to the rows is the usually tiny set of unknown values.
     """
     column = rule.columns[0]
     parents = tables[rule.parent].select(F.col(rule.parent_key).alias(column))
-    used = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    unknown = used.join(_already_in(used, parents, [column]), column, "left_anti")
+    used = _keys_of(batch, [column])
+    unknown = used.join(_already_in(parents, used), column, "left_anti")
     joined = df.join(unknown.withColumn("_unknown", F.lit(True)), column, "left")
     return _with_reason(joined, F.col("_unknown").isNotNull(), rule.rule_id).drop("_unknown")
 
 
-def _check_unique(df: DataFrame, existing: DataFrame, rule: Rule, order: list[str]) -> DataFrame:
+def _check_unique(
+    df: DataFrame, batch: DataFrame, existing: DataFrame, rule: Rule, order: list[str]
+) -> DataFrame:
     """Add a reason to rows whose key exists already or came earlier in the batch.
 
     The first valid row of each key is found by an aggregation and matched
@@ -80,28 +88,36 @@ def _check_unique(df: DataFrame, existing: DataFrame, rule: Rule, order: list[st
     """
     columns = list(rule.columns)
     place = [c for c in order if c not in columns]
-    candidates = df.filter(F.size("Reasons") == 0).select(*columns, *place).na.drop(subset=columns)
-    first = candidates.groupBy(*columns).agg(F.min(F.struct(*place)).alias("_first"))
+    candidates = df.filter(_sound()).select(*columns, *place).na.drop(subset=columns)
+    # One order column can be aggregated by hash; several need a struct and a sort.
+    earliest = F.struct(F.min(place[0]).alias(place[0])) if len(place) == 1 else F.min(F.struct(*place))
+    first = candidates.groupBy(*columns).agg(earliest.alias("_first"))
     fresh = (
-        first.join(_already_in(first, existing, columns), columns, "left_anti")
+        first.join(_already_in(existing, _keys_of(batch, columns)), columns, "left_anti")
         .select(*columns, *[F.col(f"_first.{c}").alias(c) for c in place])
         .withColumn("_fresh", F.lit(True))
     )
     joined = df.join(fresh, columns + place, "left")
     keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    repeated = keyed & F.col("_fresh").isNull() & (F.size("Reasons") == 0)
+    repeated = keyed & F.col("_fresh").isNull() & _sound()
     return _with_reason(joined, repeated, rule.rule_id).drop("_fresh")
 
 
 def _validate(df: DataFrame, tables: Tables, table: str, rules: list[Rule], order: list[str]) -> DataFrame:
+    """The batch with the ids of the rules each row breaks in ``Reasons``.
+
+    The verdicts are checkpointed: accepted and refused rows are both read
+    from them, and numbering passes over the accepted ones more than once.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     checked = df.withColumn("Reasons", _row_reasons(rules, df.columns))
     for rule in rules:
         if rule.kind == "foreign_key":
-            checked = _check_reference(checked, tables, rule)
+            checked = _check_reference(checked, df, tables, rule)
     for rule in rules:
         if rule.kind == "unique":
-            checked = _check_unique(checked, tables[table], rule, order)
-    return checked
+            checked = _check_unique(checked, df, tables[table], rule, order)
+    return checked.checkpoint()
 
 
 def _conform(df: DataFrame, existing: DataFrame, extra: Sequence[str]) -> DataFrame:
@@ -132,9 +148,9 @@ def append_students(
     rows = _conform(apply_defaults(batch, "Student"), existing, order).drop(key)
     own_rules = [r for r in _rules_of("Student", rules) if key not in r.columns]
     checked = _validate(rows, tables, "Student", own_rules, order)
-    rejected = checked.filter(F.size("Reasons") > 0)
+    rejected = checked.filter(~_sound())
 
-    valid = checked.filter(F.size("Reasons") == 0).withColumn(
+    valid = checked.filter(_sound()).withColumn(
         "_year", F.coalesce("AdmissionYear", F.year(F.current_date()))
     )
     numbered = assign_serial(valid, "_serial", ["_year", *order])
@@ -190,10 +206,10 @@ def update_students(
     missing = Rule("Update", "not_null", ("StudentID",))
     asked = updates.select("StudentID", *settable, *[c for c in order if c not in ("StudentID", *settable)])
     checked = _validate(asked, tables, "Student", [missing, known, *rules], order)
-    rejected = checked.filter(F.size("Reasons") > 0)
+    rejected = checked.filter(~_sound())
     when = F.struct(*order)
     changes = (
-        checked.filter(F.size("Reasons") == 0)
+        checked.filter(_sound())
         .groupBy("StudentID")
         .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(f"_new_{c}") for c in settable])
     )
@@ -222,7 +238,7 @@ def enrol_students(
     rows = _conform(apply_defaults(batch, "Enrollment"), existing, order).drop(key)
     own_rules = [r for r in _rules_of("Enrollment", rules) if key not in r.columns]
     checked = _validate(rows, tables, "Enrollment", own_rules, order)
-    rejected = checked.filter(F.size("Reasons") > 0)
-    valid = checked.filter(F.size("Reasons") == 0)
+    rejected = checked.filter(~_sound())
+    valid = checked.filter(_sound())
     accepted = append_serial(existing, valid, key, order).select(*existing.columns)
     return Change(existing.unionByName(accepted), accepted, rejected)

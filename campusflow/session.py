@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.runSQLOnFiles": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

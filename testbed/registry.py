@@ -510,7 +510,7 @@ def _enrol(t: RecordTables) -> updates.Change:
 
 
 def _refused(df: DataFrame) -> DataFrame:
-    return df.select("Place", F.array_join("Reasons", ",").alias("Reasons"))
+    return df.select("Place", "Reasons")
 
 
 _APPEND_RULES = [r for r in testbed_rules() if r.columns != ("Status",)]

@@ -19,7 +19,7 @@ def batch(spark, rows, **types):
 
 
 def reasons(change):
-    return {r.Place: r.Reasons for r in change.rejected.collect()}
+    return {r.Place: r.Reasons.split(",") for r in change.rejected.collect()}
 
 
 INT, TEXT = IntegerType(), StringType()
