@@ -61,7 +61,9 @@ def assign_serial(
         .withColumn("_part", F.shiftright("_slot", _POSITION_BITS))
         .withColumn("_position", F.col("_slot").bitwiseAND((1 << _POSITION_BITS) - 1))
     )
-    # One row per partition: small whatever the size of the data.
+    # One row per partition, so at most as many rows as there are shuffle
+    # partitions: small enough for one task and for a broadcast at any size of
+    # the data, and the numbered rows are not shuffled again.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("_part")
@@ -69,7 +71,7 @@ def assign_serial(
         .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
     start_number = F.lit(first) if isinstance(first, int) else first
-    numbered = placed.join(starts, "_part").withColumn(
+    numbered = placed.join(F.broadcast(starts), "_part").withColumn(
         key, start_number + F.col("_start") + F.col("_position")
     )
     return numbered.select(key, *columns)

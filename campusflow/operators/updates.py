@@ -21,6 +21,9 @@ from campusflow.sources.load import apply_defaults
 Tables = Mapping[str, DataFrame]
 ID_PREFIX = "UG"  # fixed value: student ids are this, the year and a running number
 ID_DIGITS = 3  # fixed value: the running number is padded to this width
+# The year in an id has four digits.
+ID_YEARS = Rule("Student", "range", ("AdmissionYear",), condition="AdmissionYear BETWEEN 1000 AND 9999")
+BROADCAST_ROWS = 100_000  # a few megabytes of narrow rows
 
 
 class Change(NamedTuple):
@@ -46,6 +49,11 @@ def _with_reason(df: DataFrame, broken: Column, reason: str) -> DataFrame:
     return df.withColumn("Reasons", F.concat_ws(",", so_far, F.when(broken, F.lit(reason))))
 
 
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark for broadcast after counting; a larger frame stays with the shuffle join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _sound() -> Column:
     return F.col("Reasons") == ""
 
@@ -147,6 +155,8 @@ def append_students(
     order = list(order_by)
     rows = _conform(apply_defaults(batch, "Student"), existing, order).drop(key)
     own_rules = [r for r in _rules_of("Student", rules) if key not in r.columns]
+    if not any(r.kind == "range" and r.columns == ID_YEARS.columns for r in own_rules):
+        own_rules.append(ID_YEARS)
     checked = _validate(rows, tables, "Student", own_rules, order)
     rejected = checked.filter(~_sound())
 
@@ -164,7 +174,8 @@ def append_students(
         .groupBy("_year")
         .agg(F.max("_number").alias("_last"))
     )
-    # One row per year: the shift from overall serial to number within the year.
+    # The shift from overall serial to number within the year: one row per
+    # four-digit year, so it is safe to broadcast.
     shift = (
         numbered.groupBy("_year")
         .agg(F.min("_serial").alias("_first"))
@@ -174,7 +185,7 @@ def append_students(
     number = (F.col("_serial") + F.col("_shift")).cast("string")
     padded = F.when(F.length(number) < ID_DIGITS, F.lpad(number, ID_DIGITS, "0")).otherwise(number)
     accepted = (
-        numbered.join(shift, "_year")
+        numbered.join(F.broadcast(shift), "_year")
         .withColumn(key, F.concat(F.lit(ID_PREFIX), F.col("_year").cast("string"), padded))
         .select(*existing.columns)
     )
@@ -207,13 +218,14 @@ def update_students(
     asked = updates.select("StudentID", *settable, *[c for c in order if c not in ("StudentID", *settable)])
     checked = _validate(asked, tables, "Student", [missing, known, *rules], order)
     rejected = checked.filter(~_sound())
-    when = F.struct(*order)
+    when = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     changes = (
         checked.filter(_sound())
         .groupBy("StudentID")
         .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(f"_new_{c}") for c in settable])
     )
-    merged = existing.join(changes.withColumn("_hit", F.lit(True)), "StudentID", "left")
+    changes = _broadcast_if_small(changes.withColumn("_hit", F.lit(True)))
+    merged = existing.join(changes, "StudentID", "left")
     updated = merged.withColumns(
         {c: F.coalesce(F.col(f"_new_{c}").cast(existing.schema[c].dataType), F.col(c)) for c in settable}
     )

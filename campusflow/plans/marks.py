@@ -21,10 +21,16 @@ from campusflow.operators.filters import NO_FILTER, StudentFilter, students_with
 Tables = Mapping[str, DataFrame]
 
 
-def _offered_courses(tables: Tables) -> DataFrame:
-    """Offerings with the columns of their course."""
+def _with_course(df: DataFrame, tables: Tables, *columns: str) -> DataFrame:
+    """Add columns of the course behind each row's offering.
+
+    Offerings and courses are joined one after the other: each is then judged
+    for broadcasting by its own size, where the size of their join would only
+    be guessed, and far too large.
+    """
     offering = tables["CourseOffering"].select("CourseOfferingID", "CourseID")
-    return offering.join(tables["Course"], "CourseID")
+    course = tables["Course"].select("CourseID", *columns)
+    return df.join(offering, "CourseOfferingID").join(course, "CourseID")
 
 
 def _results_of_students(tables: Tables) -> DataFrame:
@@ -38,7 +44,6 @@ def grade_summary(tables: Tables) -> DataFrame:
     students = students_with_programme(tables).select(
         "StudentID", full_name().alias("FullName"), "ProgrammeName"
     )
-    courses = _offered_courses(tables).select("CourseOfferingID", "CourseCode", "CourseTitle")
     results = tables["AssessmentResult"].select(
         "EnrollmentID",
         "CourseworkScore",
@@ -47,8 +52,7 @@ def grade_summary(tables: Tables) -> DataFrame:
         "FinalGrade",
     )
     return (
-        enrollment.join(results, "EnrollmentID", "left")
-        .join(courses, "CourseOfferingID")
+        _with_course(enrollment.join(results, "EnrollmentID", "left"), tables, "CourseCode", "CourseTitle")
         .join(students, "StudentID")
         .select(
             "EnrollmentID",
@@ -165,11 +169,9 @@ def credit_load(tables: Tables, limit: int = 100) -> DataFrame:
 
     Credit hours are summed per student before students are joined.
     """
-    hours = _offered_courses(tables).select("CourseOfferingID", "CreditHours")
+    enrollment = tables["Enrollment"].select("EnrollmentID", "StudentID", "CourseOfferingID")
     load = (
-        tables["Enrollment"]
-        .select("EnrollmentID", "StudentID", "CourseOfferingID")
-        .join(hours, "CourseOfferingID")
+        _with_course(enrollment, tables, "CreditHours")
         .groupBy("StudentID")
         .agg(
             F.count("EnrollmentID").alias("CoursesTaken"),
@@ -201,11 +203,9 @@ def programme_totals(tables: Tables) -> DataFrame:
 def student_courses(tables: Tables) -> DataFrame:
     """Student name and course of every enrollment."""
     students = tables["Student"].select("StudentID", "FirstName", "LastName")
-    courses = _offered_courses(tables).select("CourseOfferingID", "CourseID", "CourseTitle")
+    enrollment = tables["Enrollment"].select("StudentID", "CourseOfferingID")
     return (
-        tables["Enrollment"]
-        .select("StudentID", "CourseOfferingID")
-        .join(courses, "CourseOfferingID")
+        _with_course(enrollment, tables, "CourseTitle")
         .join(students, "StudentID")
         .select("FirstName", "LastName", "CourseID", "CourseTitle")
     )
@@ -218,9 +218,8 @@ def course_enrolment(tables: Tables) -> DataFrame:
     holds a large part of them costs no more than any other.
     """
     counted = tables["Enrollment"].groupBy("CourseOfferingID").agg(F.count("EnrollmentID").alias("n"))
-    titles = _offered_courses(tables).select("CourseOfferingID", "CourseTitle")
     return (
-        counted.join(titles, "CourseOfferingID")
+        _with_course(counted, tables, "CourseTitle")
         .groupBy("CourseTitle")
         .agg(F.sum("n").alias("TotalEnrollments"))
         .orderBy(F.col("TotalEnrollments").desc_nulls_last(), F.col("CourseTitle").asc_nulls_last())

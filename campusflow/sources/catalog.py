@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ GRADE_SUMMARY_VIEW = "v_student_grade_summary"
 # reflective calls, names built at run time, and scripts (USING '...').
 _RUNS_CODE = re.compile(r"\b(reflect|try_reflect|java_method|identifier)\b|\busing\b(?!\s*\()", re.IGNORECASE)
 
+# A semicolon with only blanks, semicolons and comments after it.
+_ENDING = re.compile(r";(\s|;|--[^\n]*(\n|$)|/\*.*?\*/)*\Z", re.DOTALL)
+
 
 def register_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
     """Make every table, and the grade summary over them, queryable by name."""
@@ -44,16 +48,26 @@ def adhoc_sql(spark: SparkSession, text: str) -> DataFrame:
     """
     if _RUNS_CODE.search(text):
         raise ValueError("only plain SELECT queries are allowed")
-    query = text.strip().rstrip(";")
     setting = "spark.sql.runSQLOnFiles"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "false")
     try:
-        return spark.sql(f"SELECT * FROM (\n{query}\n)")
+        try:
+            return spark.sql(_as_subquery(text.strip().rstrip(";")))
+        except ParseException:
+            # A comment may follow the final semicolon.
+            ending = _ENDING.search(text)
+            if ending is None:
+                raise
+            return spark.sql(_as_subquery(text[: ending.start()]))
     finally:
         spark.conf.set(setting, before)
 
 
+def _as_subquery(query: str) -> str:
+    return f"SELECT * FROM (\n{query}\n)"
+
+
 def export_csv(df: DataFrame, directory: str) -> None:
     """Write CSV files with a header into a new directory, in parallel."""
     df.write.option("header", True).mode("errorifexists").csv(directory)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -381,16 +382,29 @@ def _load_tables(t: RecordTables) -> DataFrame:
     return (
         people.join(loaded["orders"], F.expr("o_custkey = c_custkey"))
         .groupBy("n_name")
-        .agg(F.count("*").alias("Orders"), F.max("o_orderdate").alias("LastOrder"))
+        .agg(F.count("*").alias("Orders"), F.max("o_orderdate").cast("date").alias("LastOrder"))
     )
 
 
 QUERIES["load_tables"] = _load_tables
 ORACLES["load_tables"] = """
-    SELECT n_name, COUNT(*) AS Orders, MAX(o_orderdate) AS LastOrder
+    SELECT n_name, COUNT(*) AS Orders, CAST(MAX(o_orderdate) AS DATE) AS LastOrder
     FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY n_name"""
 
 
+def _export_and_read(t: RecordTables) -> DataFrame:
+    """Payments written as CSV next to the checkpoints and read back with their types."""
+    payments = t["FeePayment"]
+    keys.ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/export-{uuid4()}"
+    catalog.export_csv(payments, f"{folder}/FeePayment.csv")
+    loaded = load.load_tables(t.spark, folder, "csv", ["FeePayment"], schemas={"FeePayment": payments.schema})
+    return loaded["FeePayment"]
+
+
+_add("export_csv", _export_and_read, "SELECT * FROM FeePayment")
+
+
 def _grade_scale(t: RecordTables) -> DataFrame:
     """Results per step of a grade scale that is written down as literal rows."""
     schema = StructType().add("GradeRank", IntegerType()).add("FinalGrade", StringType())
@@ -469,9 +483,9 @@ _add(
 _TEXT_IDS = """
     SELECT 'UG' || (2000 + c_nationkey) || lpad(CAST(c_custkey AS STRING), 7, '0') AS StudentID,
            c_nationkey AS ProgrammeID, split_part(c_name, '#', 1) AS FirstName,
-           split_part(c_name, '#', 2) AS LastName, 'Other' AS Gender, CAST(NULL AS DATE) AS DateOfBirth,
+           split_part(c_name, '#', 2) AS LastName, 'Other' AS Gender,
            CASE WHEN c_acctbal < 0 THEN 'supplier' ELSE 'customer' END || substr(c_name, 9) AS Email,
-           CAST(NULL AS STRING) AS PhoneNumber, 2000 + c_nationkey AS AdmissionYear, c_mktsegment AS Status
+           2000 + c_nationkey AS AdmissionYear, c_mktsegment AS Status
     FROM {customer}"""
 # New students: every supplier, some with an e-mail that is taken or repeated,
 # some with a wrong gender or programme.

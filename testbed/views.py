@@ -58,7 +58,7 @@ VIEWS = {
                split_part(c_name, '#', 1) AS FirstName, split_part(c_name, '#', 2) AS LastName,
                CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'Female'
                     ELSE 'Male' END AS Gender,
-               CAST(NULL AS DATE) AS DateOfBirth, lower(c_name) || '@example.edu' AS Email,
+               lower(c_name) || '@example.edu' AS Email,
                lpad(CAST(c_custkey AS STRING), 10, '0') AS PhoneNumber,
                1998 + c_nationkey AS AdmissionYear, c_mktsegment AS Status
         FROM {customer}""",

@@ -170,6 +170,7 @@ REFUSED = [
     "CREATE TABLE t AS SELECT 1",
     "SELECT 1; DROP VIEW Student",
     "SELECT 1) t; DROP VIEW Student",
+    "SELECT 1; DROP VIEW Student; -- the end",
     "SELECT 1) t; DROP VIEW Student; SELECT * FROM (SELECT 1",
     "SELECT * FROM parquet.`/tmp`",
     "SELECT * FROM csv.`/etc/hosts`",
@@ -195,6 +196,9 @@ ALLOWED = [
     ("SELECT studentid FROM STUDENT;", 8),
     ("SELECT studentid FROM Student -- the end", 8),
     ("SELECT studentid /* id */ FROM Student ;\n", 8),
+    ("SELECT studentid FROM Student; -- the end", 8),
+    ("SELECT studentid FROM Student; -- the; end\n/* or; not */ ;", 8),
+    ("SELECT ';--' AS word", 1),
     ("SELECT s.*, p.* FROM Student s JOIN Programme p ON s.ProgrammeID = p.ProgrammeID", 8),
     ("SELECT * FROM Enrollment JOIN Student USING (StudentID)", 8),
     ("SELECT * FROM v_student_grade_summary", 8),
