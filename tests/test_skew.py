@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from campusflow.operators.keys import assign_serial
+from campusflow.plans import marks
 from testbed.views import SOURCE_SCHEMAS, read_source
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -100,3 +101,87 @@ def test_numbering_spreads_a_hot_order_value(spark):
         spark.conf.set(name, "true")
     assert sum(r["count"] for r in sizes) == 13_334
     assert len(sizes) >= 2 and max(r["count"] for r in sizes) <= 12_000
+
+
+@pytest.fixture
+def eager_splitting(spark):
+    """Thresholds low enough for the few rows of a test to count as skewed."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.fixture
+def crowded(spark, tables):
+    """120,000 enrollments with results; a third belong to one student, a third to one offering."""
+    n = F.col("id")
+    students = spark.range(2_000).select(
+        F.concat(F.lit("S"), n).alias("StudentID"),
+        (n % 4 + 1).cast("int").alias("ProgrammeID"),
+        F.lit("A").alias("FirstName"),
+        n.cast("string").alias("LastName"),
+        F.lit("Female").alias("Gender"),
+        F.lit("Active").alias("Status"),
+    )
+    offerings = spark.range(1, 1_001).select(
+        n.cast("int").alias("CourseOfferingID"), (n % 3 + 1).cast("int").alias("CourseID")
+    )
+    enrollments = spark.range(0, 120_000, 1, 8).select(
+        n.cast("int").alias("EnrollmentID"),
+        F.concat(F.lit("S"), F.when(n % 3 == 0, 7).otherwise(n % 2_000)).alias("StudentID"),
+        F.when(n % 3 == 1, 5).otherwise(n % 1_000 + 1).cast("int").alias("CourseOfferingID"),
+    )
+    results = spark.range(0, 120_000, 1, 8).select(
+        n.cast("int").alias("EnrollmentID"),
+        (n % 101).cast("decimal(5,2)").alias("CourseworkScore"),
+        (n % 97).cast("decimal(5,2)").alias("ExamScore"),
+        F.lit("B").alias("FinalGrade"),
+    )
+    return tables | {
+        "Student": students,
+        "CourseOffering": offerings,
+        "Enrollment": enrollments,
+        "AssessmentResult": results,
+    }
+
+
+@pytest.mark.parametrize("query", [marks.grade_summary, marks.score_scatter, marks.student_courses], ids=lambda q: q.__name__)
+def test_row_level_joins_split_a_hot_key(crowded, eager_splitting, query):
+    df = query(crowded)
+    assert len(df.collect()) == 120_000
+    assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", [marks.programme_marks, marks.credit_load, marks.course_enrolment], ids=lambda q: q.__name__)
+def test_sums_meet_their_dimension_as_one_row_per_key(crowded, eager_splitting, query):
+    """The shuffle into the join with students or titles carries partial sums, not rows."""
+    df = query(crowded)
+    df.collect()
+    written = []
+
+    def visit(node):
+        if node.nodeName() == "Exchange":
+            written.append((node.outputPartitioning().toString(), node.metrics().get("shuffleRecordsWritten").get().value()))
+        children = node.children()
+        for i in range(children.size()):
+            visit(children.apply(i))
+        if node.nodeName().startswith(("AdaptiveSparkPlan",)):
+            visit(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            visit(node.plan())
+
+    visit(df._jdf.queryExecution().executedPlan())
+    key = "CourseOfferingID" if query is marks.course_enrolment else "StudentID"
+    per_key = [n for partitioning, n in written if f"hashpartitioning({key}" in partitioning]
+    assert per_key and max(per_key) <= 16 * 2_000
