@@ -22,10 +22,12 @@ Query = Callable[[RecordTables], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+TEXTS: dict[str, str] = {}  # the texts before the views are put in
 
 
 def _add(name: str, query: Query, text: str) -> None:
     QUERIES[name] = query
+    TEXTS[name] = text
     ORACLES[name] = oracle(text)
 
 
@@ -50,13 +52,12 @@ def _people(where: str = "TRUE") -> str:
     return f"(SELECT * FROM Student JOIN Programme USING (ProgrammeID) WHERE {where}) AS people"
 
 
-def _effort(where: str = "TRUE") -> str:
+def _effort(who: str, columns: str) -> str:
     """Activity per enrollment, straight from the unaggregated join."""
     return f"""
-        SELECT StudentID, FirstName || ' ' || LastName AS FullName, ProgrammeName, en.CourseOfferingID,
-               COUNT(act.ActivityID) AS Events,
+        SELECT StudentID, {columns} en.CourseOfferingID, COUNT(act.ActivityID) AS Events,
                CAST(COALESCE(SUM(act.DurationMinutes), 0) AS BIGINT) AS Minutes, res.FinalGrade
-        FROM {_people(where)}
+        FROM {who}
         JOIN Enrollment AS en USING (StudentID)
         JOIN CourseOffering AS off ON off.CourseOfferingID = en.CourseOfferingID
         LEFT JOIN LMSActivity AS act
@@ -65,6 +66,9 @@ def _effort(where: str = "TRUE") -> str:
         GROUP BY ALL"""
 
 
+_EFFORT_OF_EVERYONE = _effort(_people(_EVERYONE), "FirstName || ' ' || LastName AS FullName, ProgrammeName,")
+
+
 # ---- student mix ---------------------------------------------------------------
 
 _add(
@@ -238,24 +242,24 @@ _add(
 
 # ---- engagement --------------------------------------------------------------------
 
-_add("engagement_outcome", lambda t: engagement.engagement_outcome(t, EVERYONE), _effort(_EVERYONE))
+_add("engagement_outcome", lambda t: engagement.engagement_outcome(t, EVERYONE), _EFFORT_OF_EVERYONE)
 _add(
     "top_engagement",
     lambda t: engagement.top_engagement(t, EVERYONE),
-    f"""SELECT * FROM ({_effort(_EVERYONE)}) AS e
+    f"""SELECT * FROM ({_EFFORT_OF_EVERYONE}) AS e
         ORDER BY Minutes DESC, StudentID, CourseOfferingID, FinalGrade NULLS LAST LIMIT 15""",
 )
 _add(
     "engagement_q3",
     engagement.engagement_q3,
     f"""SELECT StudentID, CourseOfferingID, Events AS LMSEvents, Minutes AS TotalMinutes, FinalGrade
-        FROM ({_effort()}) AS e
+        FROM ({_effort('Student', '')}) AS e
         ORDER BY TotalMinutes DESC, StudentID, CourseOfferingID, FinalGrade NULLS LAST LIMIT 100""",
 )
 _add(
     "early_warning",
     lambda t: engagement.early_warning(t, EVERYONE, minimum_minutes=10),
-    f"SELECT * FROM ({_effort(_EVERYONE)}) AS e WHERE Minutes >= 10 AND FinalGrade IN ('D', 'F')",
+    f"SELECT * FROM ({_EFFORT_OF_EVERYONE}) AS e WHERE Minutes >= 10 AND FinalGrade IN ('D', 'F')",
 )
 _add(
     "activity_types",
@@ -275,10 +279,10 @@ def _payments(count: str, total: str) -> str:
                FROM FeePayment GROUP BY PaymentMethod"""
 
 
-def _debts(names: str, where: str, paid: str, owed: str) -> str:
+def _debts(names: str, who: str, paid: str, owed: str) -> str:
     return f"""SELECT StudentID, {names}, {_money("SUM(AmountPaid)")} AS {paid},
                       {_money("SUM(Balance)")} AS {owed}
-               FROM FeePayment JOIN {_people(where)} USING (StudentID)
+               FROM FeePayment JOIN {who} USING (StudentID)
                GROUP BY ALL HAVING SUM(Balance) > 0"""
 
 
@@ -287,12 +291,12 @@ _add("payment_totals", finance.payment_totals, _payments("TotalTransactions", "T
 _add(
     "outstanding_worklist",
     lambda t: finance.outstanding_worklist(t, EVERYONE),
-    _debts("FirstName || ' ' || LastName AS FullName, ProgrammeName", _EVERYONE, "Paid", "Outstanding"),
+    _debts("FirstName || ' ' || LastName AS FullName, ProgrammeName", _people(_EVERYONE), "Paid", "Outstanding"),
 )
 _add(
     "outstanding_q4",
     finance.outstanding_q4,
-    _debts("FirstName || ' ' || LastName AS FullName", "TRUE", "TotalPaid", "OutstandingBalance")
+    _debts("FirstName || ' ' || LastName AS FullName", "Student", "TotalPaid", "OutstandingBalance")
     + " ORDER BY OutstandingBalance DESC, StudentID LIMIT 100",
 )
 _add(
