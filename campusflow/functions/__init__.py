@@ -52,6 +52,11 @@ def rounded_double(value: Column) -> Column:
     return F.round(value.cast("double") * 100) / 100
 
 
+def largest_first(value: str, *ties: str) -> list[Column]:
+    """Sort columns: the value downwards, then the tie-breakers upwards; NULL always last."""
+    return [F.col(value).desc_nulls_last(), *[F.col(tie).asc_nulls_last() for tie in ties]]
+
+
 def share_of_total(grouped: DataFrame, count: str, name: str = "Share") -> DataFrame:
     """Add each group's share of the overall count.
 

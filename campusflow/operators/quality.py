@@ -12,11 +12,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from campusflow.functions import count_where
 from campusflow.schema import BROWSED_TABLES, Rule, contract_rules
+from campusflow.sources.load import load_literals
 
 ROW_KINDS = ("not_null", "domain", "range", "length")
+_DESCRIPTION = StructType(
+    [StructField("RuleNo", IntegerType())]
+    + [StructField(name, StringType()) for name in ("RuleID", "TableName", "Kind", "Columns")]
+)
 
 
 def row_violation(rule: Rule) -> Column:
@@ -32,21 +38,14 @@ def row_violation(rule: Rule) -> Column:
     raise ValueError(f"{rule.kind} is not a row rule")
 
 
-def _report_row(rule: Rule, violations: Column) -> Column:
-    return F.struct(
-        F.lit(rule.rule_id).alias("RuleID"),
-        F.lit(rule.table).alias("TableName"),
-        F.lit(rule.kind).alias("Kind"),
-        F.lit("+".join(rule.columns)).alias("Columns"),
-        violations.cast("bigint").alias("Violations"),
-    )
+def _found(number: int, violations: Column) -> Column:
+    return F.struct(F.lit(number).alias("RuleNo"), violations.alias("v"))
 
 
-def _row_rule_report(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All row rules of one table in one scan, turned into one report row each."""
-    counts = df.agg(*[count_where(row_violation(r)).alias(f"v{i}") for i, r in enumerate(rules)])
-    rows = F.array(*[_report_row(r, F.col(f"v{i}")) for i, r in enumerate(rules)])
-    return counts.select(F.inline(rows))
+def _row_violations(df: DataFrame, rules: dict[int, Rule]) -> DataFrame:
+    """All row rules of one table in one scan, turned into one row per rule."""
+    counts = df.agg(*[count_where(row_violation(rule)).alias(f"v{i}") for i, rule in rules.items()])
+    return counts.select(F.inline(F.array(*[_found(i, F.col(f"v{i}")) for i in rules])))
 
 
 def _value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -59,16 +58,15 @@ def _value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.filter(keyed).groupBy(*columns).agg(F.count("*").alias("n"))
 
 
-def _key_report(df: DataFrame, rule: Rule) -> DataFrame:
+def _key_violations(df: DataFrame, number: int, rule: Rule) -> DataFrame:
     """Rows beyond the first of their key; for a primary key, rows without a key too."""
     if rule.kind == "unique":
-        counted, extra = _value_counts(df, rule.columns), F.col("n") - 1
+        extra = _value_counts(df, rule.columns).select((F.col("n") - 1).alias("v"))
     else:
         key = rule.columns[0]
         counted = df.groupBy(key).agg(F.count("*").alias("n"))
-        extra = F.when(F.col(key).isNull(), F.col("n")).otherwise(F.col("n") - 1)
-    total = counted.agg(F.coalesce(F.sum(extra), F.lit(0)).alias("v"))
-    return total.select(F.inline(F.array(_report_row(rule, F.col("v")))))
+        extra = counted.select(F.when(F.col(key).isNull(), F.col("n")).otherwise(F.col("n") - 1).alias("v"))
+    return extra.filter("v > 0").select(F.lit(number).alias("RuleNo"), "v")
 
 
 def _dangling_keys(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
@@ -82,25 +80,30 @@ def _dangling_keys(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
     return _value_counts(tables[rule.table], [column]).join(parents, column, "left_anti")
 
 
-def _reference_report(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
-    total = _dangling_keys(tables, rule).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"))
-    return total.select(F.inline(F.array(_report_row(rule, F.col("v")))))
-
-
 def check_rules(tables: Mapping[str, DataFrame], rules: Iterable[Rule] | None = None) -> DataFrame:
-    """Violation counts of all given rules (the whole contract by default)."""
-    rules = list(contract_rules() if rules is None else rules)
-    by_table: dict[str, list[Rule]] = {}
-    parts = []
-    for rule in rules:
+    """Violation counts of all given rules (the whole contract by default).
+
+    What each check finds is added up in one final aggregation over all of
+    them; rules nobody broke are filled in from the rule list.
+    """
+    numbered = dict(enumerate(contract_rules() if rules is None else rules))
+    row_rules: dict[str, dict[int, Rule]] = {}
+    found = []
+    for i, rule in numbered.items():
         if rule.kind in ROW_KINDS:
-            by_table.setdefault(rule.table, []).append(rule)
+            row_rules.setdefault(rule.table, {})[i] = rule
         elif rule.kind == "foreign_key":
-            parts.append(_reference_report(tables, rule))
+            found.append(_dangling_keys(tables, rule).select(F.lit(i).alias("RuleNo"), F.col("n").alias("v")))
         else:
-            parts.append(_key_report(tables[rule.table], rule))
-    parts += [_row_rule_report(tables[name], group) for name, group in by_table.items()]
-    return reduce(DataFrame.unionByName, parts)
+            found.append(_key_violations(tables[rule.table], i, rule))
+    found += [_row_violations(tables[name], group) for name, group in row_rules.items()]
+    totals = reduce(DataFrame.unionByName, found).groupBy("RuleNo").agg(F.sum("v").alias("Violations"))
+    described = load_literals(
+        found[0].sparkSession,
+        [(i, r.rule_id, r.table, r.kind, "+".join(r.columns)) for i, r in numbered.items()],
+        _DESCRIPTION,
+    )
+    return described.join(totals, "RuleNo", "left").drop("RuleNo").na.fill(0, ["Violations"])
 
 
 def _of_kind(rules: Iterable[Rule] | None, *kinds: str) -> list[Rule]:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campusflow.functions import full_name
+from campusflow.functions import full_name, largest_first
 from campusflow.operators.filters import NO_FILTER, StudentFilter, students_with_programme
 
 Tables = Mapping[str, DataFrame]
@@ -62,7 +62,7 @@ def top_engagement(tables: Tables, selection: StudentFilter = NO_FILTER, limit:
     """The ``limit`` enrollments with the most minutes."""
     return (
         engagement_outcome(tables, selection)
-        .orderBy(F.col("Minutes").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in PAIR + ["FinalGrade"]])
+        .orderBy(*largest_first("Minutes", *PAIR, "FinalGrade"))
         .limit(limit)
     )
 
@@ -75,10 +75,7 @@ def engagement_q3(tables: Tables, limit: int = 100) -> DataFrame:
         .join(known, "StudentID", "left_semi")
         .withColumnsRenamed({"Events": "LMSEvents", "Minutes": "TotalMinutes"})
         .select(*PAIR, "LMSEvents", "TotalMinutes", "FinalGrade")
-        .orderBy(
-            F.col("TotalMinutes").desc_nulls_last(),
-            *[F.col(c).asc_nulls_last() for c in PAIR + ["FinalGrade"]],
-        )
+        .orderBy(*largest_first("TotalMinutes", *PAIR, "FinalGrade"))
         .limit(limit)
     )
 
@@ -97,4 +94,4 @@ def early_warning(
 def activity_types(tables: Tables) -> DataFrame:
     """Events per activity type, most frequent first."""
     counts = tables["LMSActivity"].groupBy("ActivityType").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.col("n").desc_nulls_last(), F.col("ActivityType").asc_nulls_last())
+    return counts.orderBy(*largest_first("n", "ActivityType"))

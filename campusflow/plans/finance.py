@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campusflow.functions import full_name
+from campusflow.functions import full_name, largest_first
 from campusflow.operators.filters import NO_FILTER, StudentFilter, students_with_programme
 
 Tables = Mapping[str, DataFrame]
@@ -18,7 +18,7 @@ def payment_methods(tables: Tables) -> DataFrame:
     totals = tables["FeePayment"].groupBy("PaymentMethod").agg(
         F.count("*").alias("Payments"), F.sum("AmountPaid").alias("Total")
     )
-    return totals.orderBy(F.col("Total").desc_nulls_last(), F.col("PaymentMethod").asc_nulls_last())
+    return totals.orderBy(*largest_first("Total", "PaymentMethod"))
 
 
 def payment_totals(tables: Tables) -> DataFrame:
@@ -46,7 +46,7 @@ def outstanding_worklist(tables: Tables, selection: StudentFilter = NO_FILTER) -
     return (
         students.join(_debtors(tables), "StudentID")
         .withColumnsRenamed({"paid": "Paid", "owed": "Outstanding"})
-        .orderBy(F.col("Outstanding").desc_nulls_last(), F.col("StudentID").asc_nulls_last())
+        .orderBy(*largest_first("Outstanding", "StudentID"))
     )
 
 
@@ -56,7 +56,7 @@ def outstanding_q4(tables: Tables, limit: int = 100) -> DataFrame:
     return (
         students.join(_debtors(tables), "StudentID")
         .withColumnsRenamed({"paid": "TotalPaid", "owed": "OutstandingBalance"})
-        .orderBy(F.col("OutstandingBalance").desc_nulls_last(), F.col("StudentID").asc_nulls_last())
+        .orderBy(*largest_first("OutstandingBalance", "StudentID"))
         .limit(limit)
     )
 

@@ -12,6 +12,7 @@ from campusflow.functions import (
     count_where,
     full_name,
     grade_rank,
+    largest_first,
     mean_of,
     rounded_double,
     weighted_mark,
@@ -103,9 +104,8 @@ def _marks_by_programme(tables: Tables, selection: StudentFilter) -> DataFrame:
 def programme_marks(tables: Tables, selection: StudentFilter = NO_FILTER) -> DataFrame:
     """Average weighted mark and number of results per programme name, best first."""
     marks = _marks_by_programme(tables, selection)
-    return marks.select("ProgrammeName", rounded_double(F.col("mark")).alias("AvgMark"), "Results").orderBy(
-        F.col("AvgMark").desc_nulls_last(), F.col("ProgrammeName").asc_nulls_last()
-    )
+    rounded = marks.select("ProgrammeName", rounded_double(F.col("mark")).alias("AvgMark"), "Results")
+    return rounded.orderBy(*largest_first("AvgMark", "ProgrammeName"))
 
 
 def programme_marks_all(tables: Tables) -> DataFrame:
@@ -120,7 +120,8 @@ def programme_performance(tables: Tables) -> DataFrame:
     """
     marks = _marks_by_programme(tables, NO_FILTER)
     mark = F.round("mark", 2).cast("decimal(8,2)").alias("AvgWeightedMark")
-    return marks.select("ProgrammeName", "Results", mark, "Grade_A", "Grade_F").orderBy(F.col("AvgWeightedMark").desc_nulls_last(), F.col("ProgrammeName").asc_nulls_last())
+    rounded = marks.select("ProgrammeName", "Results", mark, "Grade_A", "Grade_F")
+    return rounded.orderBy(*largest_first("AvgWeightedMark", "ProgrammeName"))
 
 
 def grade_distribution(tables: Tables) -> DataFrame:
@@ -183,7 +184,7 @@ def credit_load(tables: Tables, limit: int = 100) -> DataFrame:
     )
     return (
         students.join(load, "StudentID")
-        .orderBy(F.col("TotalCreditHours").desc_nulls_last(), F.col("StudentID").asc_nulls_last())
+        .orderBy(*largest_first("TotalCreditHours", "StudentID"))
         .limit(limit)
     )
 
@@ -222,5 +223,5 @@ def course_enrolment(tables: Tables) -> DataFrame:
         _with_course(counted, tables, "CourseTitle")
         .groupBy("CourseTitle")
         .agg(F.sum("n").alias("TotalEnrollments"))
-        .orderBy(F.col("TotalEnrollments").desc_nulls_last(), F.col("CourseTitle").asc_nulls_last())
+        .orderBy(*largest_first("TotalEnrollments", "CourseTitle"))
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campusflow.functions import mean_of, rounded_double, share_of_total, weighted_mark
+from campusflow.functions import largest_first, mean_of, rounded_double, share_of_total, weighted_mark
 from campusflow.operators.filters import NO_FILTER, StudentFilter, filter_students, students_with_programme
 from campusflow.schema import GENDERS
 
@@ -47,9 +47,7 @@ def _count_students(tables: Tables, selection: StudentFilter, *keys: str) -> Dat
 
 
 def _ranked(counts: DataFrame, key: str, name: str) -> DataFrame:
-    return counts.withColumnRenamed("n", name).orderBy(
-        F.col(name).desc_nulls_last(), F.col(key).asc_nulls_last()
-    )
+    return counts.withColumnRenamed("n", name).orderBy(*largest_first(name, key))
 
 
 def students_per_programme(tables: Tables, selection: StudentFilter = NO_FILTER) -> DataFrame:
@@ -65,9 +63,7 @@ def gender_split(tables: Tables, selection: StudentFilter = NO_FILTER) -> DataFr
 def gender_share(tables: Tables, selection: StudentFilter = NO_FILTER) -> DataFrame:
     """``gender_split`` with each gender's share of all counted students."""
     counts = _count_students(tables, selection, "Gender").withColumnRenamed("n", "Students")
-    return share_of_total(counts, "Students").orderBy(
-        F.col("Students").desc_nulls_last(), F.col("Gender").asc_nulls_last()
-    )
+    return share_of_total(counts, "Students").orderBy(*largest_first("Students", "Gender"))
 
 
 def status_distribution(tables: Tables, selection: StudentFilter = NO_FILTER) -> DataFrame:

@@ -23,33 +23,44 @@ def _read(spark: SparkSession, path: str, schema: StructType, file_format: str)
     return reader.format(file_format).load(path)
 
 
-def load_table(
-    spark: SparkSession,
-    path: str,
-    schema: StructType,
-    file_format: str = "parquet",
-    serial_key: str | None = None,
-) -> DataFrame:
-    """Read one table with its declared types; a row that does not fit them is an error.
-
-    Where the files lack the key, name it in ``serial_key``: rows are then
-    numbered in arrival order, that is by file, place of the block in the
-    file, and place of the row in the block.
-    """
-    if serial_key is None:
-        return _read(spark, path, schema, file_format)
-    keyless = StructType([field for field in schema if field.name != serial_key])
-    rows = _read(spark, path, keyless, file_format)
+def _number_in_arrival_order(rows: DataFrame, key: str) -> DataFrame:
+    """Number rows by file, place of the block in the file, and place of the row in the block."""
     arrival = rows.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    numbered = assign_serial(arrival, serial_key, ["_file", "_block", "_row"])
-    return numbered.drop("_file", "_block", "_row").withColumn(
-        serial_key, F.col(serial_key).cast(schema[serial_key].dataType)
-    )
+    order = ["_file", "_block", "_row"]
+    return assign_serial(arrival, key, order).drop(*order)
+
+
+def load_table(
+    spark: SparkSession,
+    directory: str,
+    name: str,
+    file_format: str = "parquet",
+    schema: StructType | None = None,
+    omitted: Sequence[str] = (),
+) -> DataFrame:
+    """Read ``<directory>/<name>.<format>`` with its declared types.
+
+    A row that does not fit them is an error.  ``omitted`` names columns the
+    files lack: the key is then numbered in arrival order, a column with a
+    default gets it, and any other is NULL.
+    """
+    schema = SCHEMAS[name] if schema is None else schema
+    given = StructType([field for field in schema if field.name not in omitted])
+    rows = _read(spark, f"{directory.rstrip('/')}/{name}.{file_format}", given, file_format)
+    if not omitted:
+        df = rows
+    else:
+        key = PRIMARY_KEYS[name]
+        df = apply_defaults(_number_in_arrival_order(rows, key) if key in omitted else rows, name)
+        df = df.select(
+            *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        )
+    return df.withColumns({column: F.rtrim(column) for column in _PADDED.get(name, ())})
 
 
 def load_tables(
@@ -57,22 +68,14 @@ def load_tables(
     directory: str,
     file_format: str = "parquet",
     names: Iterable[str] = tuple(SCHEMAS),
-    keyless: Sequence[str] = (),
+    omitted: Mapping[str, Sequence[str]] | None = None,
     schemas: Mapping[str, StructType] = SCHEMAS,
 ) -> dict[str, DataFrame]:
-    """Read ``<directory>/<Table>.<format>`` for each named table.
-
-    Tables in ``keyless`` get their key numbered in arrival order.
-    """
-    tables = {}
-    for name in names:
-        serial_key = PRIMARY_KEYS[name] if name in keyless else None
-        path = f"{directory.rstrip('/')}/{name}.{file_format}"
-        df = load_table(spark, path, schemas[name], file_format, serial_key)
-        for column in _PADDED.get(name, ()):
-            df = df.withColumn(column, F.rtrim(column))
-        tables[name] = df
-    return tables
+    """Read the named tables; ``omitted`` holds the columns the files of a table lack."""
+    omitted = omitted or {}
+    return {
+        name: load_table(spark, directory, name, file_format, schemas[name], omitted.get(name, ())) for name in names
+    }
 
 
 def load_literals(spark: SparkSession, rows: Iterable[tuple], schema: StructType) -> DataFrame:

@@ -360,7 +360,8 @@ _add(
 _add(
     "orphan_enrollments",
     quality.orphan_enrollments,
-    "SELECT en.* FROM Enrollment AS en WHERE NOT EXISTS (SELECT 1 FROM Student AS st WHERE st.StudentID = en.StudentID)",
+    """SELECT en.* FROM Enrollment AS en
+       WHERE NOT EXISTS (SELECT 1 FROM Student AS st WHERE st.StudentID = en.StudentID)""",
 )
 _add(
     "orphan_results",

@@ -156,14 +156,18 @@ def crowded(spark, tables):
     }
 
 
-@pytest.mark.parametrize("query", [marks.grade_summary, marks.score_scatter, marks.student_courses], ids=lambda q: q.__name__)
+@pytest.mark.parametrize(
+    "query", [marks.grade_summary, marks.score_scatter, marks.student_courses], ids=lambda q: q.__name__
+)
 def test_row_level_joins_split_a_hot_key(crowded, eager_splitting, query):
     df = query(crowded)
     assert len(df.collect()) == 120_000
     assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", [marks.programme_marks, marks.credit_load, marks.course_enrolment], ids=lambda q: q.__name__)
+@pytest.mark.parametrize(
+    "query", [marks.programme_marks, marks.credit_load, marks.course_enrolment], ids=lambda q: q.__name__
+)
 def test_sums_meet_their_dimension_as_one_row_per_key(crowded, eager_splitting, query):
     """The shuffle into the join with students or titles carries partial sums, not rows."""
     df = query(crowded)
@@ -172,7 +176,8 @@ def test_sums_meet_their_dimension_as_one_row_per_key(crowded, eager_splitting,
 
     def visit(node):
         if node.nodeName() == "Exchange":
-            written.append((node.outputPartitioning().toString(), node.metrics().get("shuffleRecordsWritten").get().value()))
+            records = node.metrics().get("shuffleRecordsWritten").get().value()
+            written.append((node.outputPartitioning().toString(), records))
         children = node.children()
         for i in range(children.size()):
             visit(children.apply(i))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from campusflow.operators.keys import append_serial, assign_serial, next_key
 from campusflow.schema import SCHEMAS
 from campusflow.sources import catalog, load
+from campusflow.sources.first_load import first_load
 
 # ---- load ---------------------------------------------------------------------------
 
@@ -59,7 +60,7 @@ def test_padded_grades_are_trimmed(spark, tmp_path):
 def test_missing_keys_are_numbered_in_arrival_order(spark, tmp_path):
     lines = "".join(f"{n * 7 % 50 + 1},{n}.00,1.00,A\n" for n in range(50))
     write(tmp_path, "AssessmentResult.csv", "EnrollmentID,CourseworkScore,ExamScore,FinalGrade\n" + lines)
-    df = load.load_tables(spark, str(tmp_path), "csv", ["AssessmentResult"], keyless=["AssessmentResult"])
+    df = load.load_tables(spark, str(tmp_path), "csv", ["AssessmentResult"], omitted={"AssessmentResult": ["ResultID"]})
     got = sorted((r.ResultID, int(r.CourseworkScore)) for r in df["AssessmentResult"].collect())
     assert got == [(n + 1, n) for n in range(50)]
     assert df["AssessmentResult"].schema["ResultID"].dataType == SCHEMAS["AssessmentResult"]["ResultID"].dataType
@@ -75,13 +76,42 @@ def test_arrival_order_holds_over_files_and_blocks(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        df = load.load_tables(spark, str(tmp_path), "csv", ["FeePayment"], keyless=["FeePayment"])["FeePayment"]
+        df = load.load_table(spark, str(tmp_path), "FeePayment", "csv", omitted=["PaymentID"])
         got = sorted((r.PaymentID, int(r.AmountPaid)) for r in df.collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [(n + 1, n) for n in range(1200)]
 
 
+def test_first_load_fills_writes_and_reports(spark, tables, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    for name in ("Department", "Programme", "Course", "Lecturer", "Semester", "CourseOffering"):
+        catalog.export_csv(tables[name], str(source / f"{name}.csv"))
+    catalog.export_csv(tables["Student"].drop("Status", "DateOfBirth"), str(source / "Student.csv"))
+    write(source, "Enrollment.csv", "StudentID,CourseOfferingID\nS02,3\nS01,1\nS01,1\nnobody,2\n")
+    names = ["Department", "Programme", "Course", "Lecturer", "Semester", "Student", "CourseOffering", "Enrollment"]
+    report = first_load(
+        spark,
+        str(source),
+        str(target),
+        names=names,
+        omitted={
+            "Student": ["Status", "DateOfBirth"],
+            "Enrollment": ["EnrollmentID", "EnrollmentDate", "EnrollmentStatus"],
+        },
+    )
+    broken = {r.RuleID: r.Violations for r in report.collect() if r.Violations}
+    assert broken == {
+        "Student.FirstName.not_null": 1,
+        "Enrollment.StudentID.foreign_key": 1,
+        "Enrollment.StudentID+CourseOfferingID.unique": 1,
+    }
+    loaded = load.load_tables(spark, str(target), names=names)
+    enrolled = sorted((r.EnrollmentID, r.StudentID, r.EnrollmentStatus) for r in loaded["Enrollment"].collect())
+    assert enrolled == [(1, "S02", "Active"), (2, "S01", "Active"), (3, "S01", "Active"), (4, "nobody", "Active")]
+    assert {(r.Status, r.DateOfBirth) for r in loaded["Student"].collect()} == {("Active", None)}
+
+
 def test_parquet_round_trip(spark, tables, tmp_path):
     for name in SCHEMAS:
         catalog.write_snapshot(tables[name], str(tmp_path / f"{name}.parquet"))
