@@ -114,18 +114,21 @@ def _check_unique(
 def _validate(df: DataFrame, tables: Tables, table: str, rules: list[Rule], order: list[str]) -> DataFrame:
     """The batch with the ids of the rules each row breaks in ``Reasons``.
 
-    The verdicts are checkpointed: accepted and refused rows are both read
-    from them, and numbering passes over the accepted ones more than once.
+    The batch is checkpointed first: every check must see the same rows, even
+    if the query behind the batch would not give them twice, and that query
+    runs once.  The verdicts are checkpointed as well: accepted and refused
+    rows are both read from them, and numbering passes over them repeatedly.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    checked = df.withColumn("Reasons", _row_reasons(rules, df.columns))
+    batch = df.withColumn("Reasons", _row_reasons(rules, df.columns)).checkpoint()
+    checked = batch
     for rule in rules:
         if rule.kind == "foreign_key":
-            checked = _check_reference(checked, df, tables, rule)
+            checked = _check_reference(checked, batch, tables, rule)
     for rule in rules:
         if rule.kind == "unique":
-            checked = _check_unique(checked, df, tables[table], rule, order)
-    return checked.checkpoint()
+            checked = _check_unique(checked, batch, tables[table], rule, order)
+    return checked if checked is batch else checked.checkpoint()
 
 
 def _conform(df: DataFrame, existing: DataFrame, extra: Sequence[str]) -> DataFrame:
