@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campusflow.operators.keys import append_serial, assign_serial, ensure_checkpoint_dir
+from campusflow.operators.keys import append_serial, assign_serial
 from campusflow.operators.quality import ROW_KINDS, row_violation
 from campusflow.schema import PRIMARY_KEYS, Rule, contract_rules
 from campusflow.sources.load import apply_defaults
@@ -23,6 +23,7 @@ ID_PREFIX = "UG"  # fixed value: student ids are this, the year and a running nu
 ID_DIGITS = 3  # fixed value: the running number is padded to this width
 # The year in an id has four digits.
 ID_YEARS = Rule("Student", "range", ("AdmissionYear",), condition="AdmissionYear BETWEEN 1000 AND 9999")
+ARRIVAL = "_arrival"  # a row's number in the batch
 BROADCAST_ROWS = 100_000  # a few megabytes of narrow rows
 
 
@@ -85,50 +86,46 @@ def _check_reference(df: DataFrame, batch: DataFrame, tables: Tables, rule: Rule
     return _with_reason(joined, F.col("_unknown").isNotNull(), rule.rule_id).drop("_unknown")
 
 
-def _check_unique(
-    df: DataFrame, batch: DataFrame, existing: DataFrame, rule: Rule, order: list[str]
-) -> DataFrame:
+def _check_unique(df: DataFrame, batch: DataFrame, existing: DataFrame, rule: Rule) -> DataFrame:
     """Add a reason to rows whose key exists already or came earlier in the batch.
 
     The first valid row of each key is found by an aggregation and matched
-    back by key *and* order, which is one row per match even for a key that
-    fills the whole batch.  Rows with a NULL in the key are never duplicates.
+    back by key *and* arrival number, which is one row per match even for a
+    key that fills the whole batch.  Rows with a NULL in the key are never
+    duplicates.
     """
     columns = list(rule.columns)
-    place = [c for c in order if c not in columns]
-    candidates = df.filter(_sound()).select(*columns, *place).na.drop(subset=columns)
-    # One order column can be aggregated by hash; several need a struct and a sort.
-    earliest = F.struct(F.min(place[0]).alias(place[0])) if len(place) == 1 else F.min(F.struct(*place))
-    first = candidates.groupBy(*columns).agg(earliest.alias("_first"))
-    fresh = (
-        first.join(_already_in(existing, _keys_of(batch, columns)), columns, "left_anti")
-        .select(*columns, *[F.col(f"_first.{c}").alias(c) for c in place])
-        .withColumn("_fresh", F.lit(True))
-    )
-    joined = df.join(fresh, columns + place, "left")
+    candidates = df.filter(_sound()).select(*columns, ARRIVAL).na.drop(subset=columns)
+    first = candidates.groupBy(*columns).agg(F.min(ARRIVAL).alias(ARRIVAL))
+    fresh = first.join(_already_in(existing, _keys_of(batch, columns)), columns, "left_anti")
+    joined = df.join(fresh.withColumn("_fresh", F.lit(True)), [*columns, ARRIVAL], "left")
     keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
     repeated = keyed & F.col("_fresh").isNull() & _sound()
     return _with_reason(joined, repeated, rule.rule_id).drop("_fresh")
 
 
-def _validate(df: DataFrame, tables: Tables, table: str, rules: list[Rule], order: list[str]) -> DataFrame:
-    """The batch with the ids of the rules each row breaks in ``Reasons``.
+def _validate(
+    df: DataFrame, tables: Tables, table: str, rules: list[Rule], order_by: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Split the batch into sound rows and refused rows, which get ``Reasons``.
 
-    The batch is checkpointed first: every check must see the same rows, even
-    if the query behind the batch would not give them twice, and that query
-    runs once.  The verdicts are checkpointed as well: accepted and refused
-    rows are both read from them, and numbering passes over them repeatedly.
+    The batch is numbered first, so that rows equal in ``order_by`` have a
+    first and a second too.  Numbering writes a checkpoint: every check sees
+    the same rows, and the query behind the batch is not run again.  The
+    verdicts are checkpointed as well, because sound and refused rows are
+    both read from them and numbering passes over the sound ones repeatedly.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    batch = df.withColumn("Reasons", _row_reasons(rules, df.columns)).checkpoint()
+    judged = df.withColumn("Reasons", _row_reasons(rules, df.columns))
+    batch = assign_serial(judged, ARRIVAL, order_by)
     checked = batch
     for rule in rules:
         if rule.kind == "foreign_key":
             checked = _check_reference(checked, batch, tables, rule)
     for rule in rules:
         if rule.kind == "unique":
-            checked = _check_unique(checked, batch, tables[table], rule, order)
-    return checked if checked is batch else checked.checkpoint()
+            checked = _check_unique(checked, batch, tables[table], rule)
+    checked = checked.checkpoint()
+    return checked.filter(_sound()), checked.filter(~_sound()).drop(ARRIVAL)
 
 
 def _conform(df: DataFrame, existing: DataFrame, extra: Sequence[str]) -> DataFrame:
@@ -149,8 +146,8 @@ def append_students(
 ) -> Change:
     """Add a batch of new students, giving each the next id of its admission year.
 
-    ``order_by`` names columns of the batch that put it in a total order; ids
-    and first-come rules follow it.  Ids are the prefix, the admission year
+    ``order_by`` names columns of the batch; ids and first-come rules follow
+    their order.  Ids are the prefix, the admission year
     (the current one where none is given) and a running number.
     """
     existing = tables["Student"]
@@ -160,19 +157,16 @@ def append_students(
     own_rules = [r for r in _rules_of("Student", rules) if key not in r.columns]
     if not any(r.kind == "range" and r.columns == ID_YEARS.columns for r in own_rules):
         own_rules.append(ID_YEARS)
-    checked = _validate(rows, tables, "Student", own_rules, order)
-    rejected = checked.filter(~_sound())
+    sound, rejected = _validate(rows, tables, "Student", own_rules, order)
 
-    valid = checked.filter(_sound()).withColumn(
-        "_year", F.coalesce("AdmissionYear", F.year(F.current_date()))
-    )
-    numbered = assign_serial(valid, "_serial", ["_year", *order])
+    valid = sound.withColumn("_year", F.coalesce("AdmissionYear", F.year(F.current_date())))
+    numbered = assign_serial(valid, "_serial", ["_year", ARRIVAL])
     pattern = rf"^{ID_PREFIX}(\d{{4}})(\d{{{ID_DIGITS},}})$"
     taken = (
         existing.filter(F.col(key).rlike(pattern))
         .select(
             F.regexp_extract(key, pattern, 1).cast("int").alias("_year"),
-            F.regexp_extract(key, pattern, 2).cast("long").alias("_number"),
+            F.regexp_extract(key, pattern, 2).try_cast("long").alias("_number"),
         )
         .groupBy("_year")
         .agg(F.max("_number").alias("_last"))
@@ -219,13 +213,9 @@ def update_students(
     known = Rule("Update", "foreign_key", ("StudentID",), parent="Student", parent_key="StudentID")
     missing = Rule("Update", "not_null", ("StudentID",))
     asked = updates.select("StudentID", *settable, *[c for c in order if c not in ("StudentID", *settable)])
-    checked = _validate(asked, tables, "Student", [missing, known, *rules], order)
-    rejected = checked.filter(~_sound())
-    when = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    changes = (
-        checked.filter(_sound())
-        .groupBy("StudentID")
-        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(f"_new_{c}") for c in settable])
+    sound, rejected = _validate(asked, tables, "Student", [missing, known, *rules], order)
+    changes = sound.groupBy("StudentID").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ARRIVAL))).alias(f"_new_{c}") for c in settable]
     )
     changes = _broadcast_if_small(changes.withColumn("_hit", F.lit(True)))
     merged = existing.join(changes, "StudentID", "left")
@@ -252,8 +242,6 @@ def enrol_students(
     order = list(order_by)
     rows = _conform(apply_defaults(batch, "Enrollment"), existing, order).drop(key)
     own_rules = [r for r in _rules_of("Enrollment", rules) if key not in r.columns]
-    checked = _validate(rows, tables, "Enrollment", own_rules, order)
-    rejected = checked.filter(~_sound())
-    valid = checked.filter(_sound())
-    accepted = append_serial(existing, valid, key, order).select(*existing.columns)
+    sound, rejected = _validate(rows, tables, "Enrollment", own_rules, order)
+    accepted = append_serial(existing, sound, key, [ARRIVAL]).select(*existing.columns)
     return Change(existing.unionByName(accepted), accepted, rejected)

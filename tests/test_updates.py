@@ -189,3 +189,11 @@ def test_enrol_into_an_empty_table_starts_at_one(spark, tables):
     empty = tables | {"Enrollment": tables["Enrollment"].limit(0)}
     change = enrol_students(empty, batch(spark, [("S01", 1)], **ENROL), ["Place"])
     assert [r.EnrollmentID for r in change.accepted.collect()] == [1]
+
+
+def test_rows_of_equal_order_still_have_a_first(spark, tables):
+    asked = batch(spark, [("S07", 1)] * 5 + [("S07", 2)], **ENROL).withColumn("Place", F.lit(0))
+    change = enrol_students(tables, asked, ["Place"])
+    pairs = sorted((r.StudentID, r.CourseOfferingID) for r in change.accepted.collect())
+    assert pairs == [("S07", 1), ("S07", 2)] and change.rejected.count() == 4
+    assert "_arrival" not in change.rejected.columns
