@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import chat_format, quality_rules, secret_scan
+from campusflow.llm import chat_format, decontamination, quality_rules, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], digest, joined(F.col("spans")).alias("spans"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.sort_array(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 _CHAT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -77,9 +91,38 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
+    "op4_decontamination": op4_decontamination,
     "op9_chat_format": op9_chat_format,
 }
 
+DECONTAMINATION_SQL = """
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    items AS (
+        SELECT item_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS s
+        FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+            FROM items WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    places AS (
+        SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS s
+        FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM texts CROSS JOIN sizes)),
+    found AS (SELECT r, i, p.size, item_id FROM places p JOIN windows v ON p.size = v.size AND p.s = v.s),
+    hit AS (
+        SELECT r, count(DISTINCT j) AS n_hit
+        FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS j FROM found) GROUP BY r),
+    listed AS (
+        SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+        FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM texts t LEFT JOIN hit h ON h.r = t.r LEFT JOIN listed l ON l.r = t.r"""
+
 CHAT_SQL = """
     WITH given AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -95,6 +138,7 @@ CHAT_SQL = """
     FROM given GROUP BY conv_id"""
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": DECONTAMINATION_SQL,
     "op9_chat_format": CHAT_SQL,
     "op1_quality_rules": quality_rules.score_quality_sql(),
 }

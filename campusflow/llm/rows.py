@@ -23,6 +23,11 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     )
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """The caller's rows as one column ``row``."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     """The join condition on (doc, mark); a NULL id equals a NULL id."""
     return left["doc"].eqNullSafe(right["doc"]) & (left["mark"] == right["mark"])

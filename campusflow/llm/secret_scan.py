@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campusflow.llm.rows import unpacked
+from campusflow.llm.rows import unpacked, whole_rows
 
 # The three base patterns.
 ASSIGN = re.compile(
@@ -158,7 +158,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     itself, without a shuffle, so repeated rows each get their spans.  A caller's column named ``spans`` is
     replaced.  A text is held whole by its task, whatever its length; beyond that, one batch of rows is.
     """
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = whole_rows(docs)
     spans = "array<struct<kind: string, start: long, end: long>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = rows.withColumn("spans", F.lit(None).cast(spans)).schema

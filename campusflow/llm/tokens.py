@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Texts are taken in slices of about this many bytes (at least one text), which bounds a worker's memory.
 SLICE_BYTES = 1 << 20
@@ -43,17 +44,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches whose texts in ``column`` take about SLICE_BYTES."""
+def row_slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Batches whose texts take about SLICE_BYTES, each with its texts: the field ``text`` of the struct ``row``."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        rows = batch.column("row")
+        texts = rows.flatten()[rows.type.get_field_index(text)].cast(pa.large_string())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
-            yield batch.slice(start, stop - start)
+            yield batch.slice(start, stop - start), texts.slice(start, stop - start)
             start = stop
 
 
