@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import chat_format, decontamination, jaccard_join, quality_rules, secret_scan
+from campusflow.llm import chat_format, decontamination, jaccard_join, quality_rules, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], digest, joined(F.col("spans")).alias("spans"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -97,11 +102,27 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op9_chat_format": op9_chat_format,
 }
 
+SUBSTRING_SQL = """
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    windows AS (
+        SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS n
+        FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM texts WHERE len(w) >= 35)),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM windows WHERE n > 1),
+    places AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM texts),
+    left_over AS (
+        SELECT p.r, count(*) AS n, string_agg(word, ' ' ORDER BY p.j) AS kept
+        FROM places p ANTI JOIN gone g ON p.r = g.r AND p.j = g.j GROUP BY p.r)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM texts t LEFT JOIN left_over l ON t.r = l.r"""
+
 DECONTAMINATION_SQL = """
     WITH texts AS (
         SELECT row_number() OVER () AS r, doc_id,
@@ -145,6 +166,7 @@ CHAT_SQL = """
     FROM given GROUP BY conv_id"""
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": SUBSTRING_SQL,
     "op4_decontamination": DECONTAMINATION_SQL,
     "op9_chat_format": CHAT_SQL,
     "op1_quality_rules": quality_rules.score_quality_sql(),
