@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import chat_format, decontamination, jaccard_join, quality_rules, secret_scan, substring_dedup
+from campusflow.llm import chat_format, decontamination, jaccard_join, license_scan, line_dedup, quality_rules, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +56,25 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ["n_lines", "n_removed_chunks", "n_removed_lines"]
+    return cut.select("doc_id", *counts, F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = jaccard_join.similarity_components(docs, n=3, percent=90)
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.withColumns(
+        {"template": F.coalesce("template", F.lit(-1)), "licenses": F.array_join("licenses", ",")}
+    )
+
+
 _CHAT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -104,7 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_license_scan": op7_license_scan,
     "op9_chat_format": op9_chat_format,
 }
 
@@ -168,6 +183,7 @@ CHAT_SQL = """
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": SUBSTRING_SQL,
     "op4_decontamination": DECONTAMINATION_SQL,
+    "op7_license_scan": license_scan.scan_licenses_sql(),
     "op9_chat_format": CHAT_SQL,
     "op1_quality_rules": quality_rules.score_quality_sql(),
 }
