@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.llm.components import connected_components
-from campusflow.llm.rows import packed, same_row
+from campusflow.llm.rows import packed, same_row, unpacked
 from campusflow.llm.stored import stored
 from campusflow.llm.tokens import IS_SPACE, Words, inside_text, mix, row_slices, sequence_hashes
 
@@ -266,7 +266,7 @@ def _opened(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similarity_components(
     docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per document: ``doc``, ``mark``, ``n_shingles``, ``node`` (its class) and ``component_id``.
+    """One row per document: ``doc``, ``mark``, ``n_shingles``, ``node`` (its class), ``component``, ``component_id``.
 
     Words are runs without ASCII white space, with A-Z lower-cased.  A document's set has its distinct n-grams
     (64-bit hashes); a shorter document is one n-gram.  Documents link if 100 * intersection >= percent * union;
@@ -317,22 +317,32 @@ def similarity_components(
     classes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
     placed = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
-    of_node = placed.join(ids, "component").select("node", "component_id")
+    of_node = placed.join(ids, "component").select("node", "component", "component_id")
     found = rows.join(of_node, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id"))
-    return found.select("doc", "mark", "n_shingles", "node", own.alias("component_id"))
+    return found.select("doc", "mark", "n_shingles", "node", "component", own.alias("component_id"))
 
 
 def one_per_component(
     docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The documents, with the columns they came with, without those that are similar to one with a smaller id.
+    """The documents, with the columns they came with, but one row only of each component.
 
-    Of each component the row with its ``component_id`` stays; of rows with that same id the one whose text
-    hashes lowest, and of equal rows one.  A component without any id keeps one row likewise.  Documents
-    without words are in no component: all of them stay.
+    The row with the smallest id stays (any id before none); among rows of that id the text that hashes lowest,
+    and one of equal rows.  Documents without words, or with a NULL text, link with nothing, so all of them stay.
     """
     found = similarity_components(docs, n, percent, doc_id, text).filter("node IS NOT NULL")
-    ours = F.col("doc").eqNullSafe(F.col("component_id"))
-    best = found.filter(ours).groupBy("component_id", "node").agg(F.min("mark").alias("mark"), F.min("doc").alias("doc"))
-    return best
+    counted = found.groupBy("component", "doc", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "copies")).alias("best")
+    chosen = stored(counted.groupBy("component").agg(best).select("best.doc", "best.mark", "best.copies"))
+    rows = packed(docs, doc_id, text)
+    without_words = rows.filter(F.btrim("body", F.lit(" \t\n\x0b\f\r")) == "").select("row")
+    given = rows.select("row", "doc", "mark")
+
+    def staying(which: DataFrame) -> DataFrame:
+        return given.join(which, same_row(given, which)).select("row", given["doc"], given["mark"])
+
+    # Only rows that the table repeats need to be told apart after the join.
+    single = staying(chosen.filter("copies = 1")).select("row")
+    repeated = staying(chosen.filter("copies > 1")).dropDuplicates(["doc", "mark"]).select("row")
+    return unpacked(single.unionByName(repeated).unionByName(without_words), docs.columns, {})

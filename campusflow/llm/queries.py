@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import chat_format, decontamination, jaccard_join, license_scan, line_dedup, quality_rules, secret_scan, substring_dedup
+from campusflow.llm import chat_format, decontamination, jaccard_join, license_scan, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score_corpus(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ["n_tokens", "n_known", "train_tokens"]
+    return scored.select("doc_id", "held_out", *counts, "base_score", "score")
+
+
 _CHAT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -112,6 +118,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.mapInArrow(_chat_digests, _CHAT)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -120,7 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_format": op9_chat_format,
+    "op10_mixing": op10_mixing,
 }
 
 SUBSTRING_SQL = """
@@ -185,5 +198,6 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": DECONTAMINATION_SQL,
     "op7_license_scan": license_scan.scan_licenses_sql(),
     "op9_chat_format": CHAT_SQL,
+    "op10_mixing": mixing.mix_sources_sql(),
     "op1_quality_rules": quality_rules.score_quality_sql(),
 }
