@@ -53,6 +53,17 @@ def students_with_programme(
     return filter_students(tables["Student"].join(programme, "ProgrammeID"), selection)
 
 
+def chosen_ids(tables: Mapping[str, DataFrame], selection: StudentFilter) -> DataFrame | None:
+    """The ids of the selected students, or None where no filter is set.
+
+    A semi join with them narrows a table of events or enrollments before it is
+    summed; Spark chooses the join by the ids' size.
+    """
+    if selection == NO_FILTER:
+        return None
+    return students_with_programme(tables, selection).select("StudentID")
+
+
 def search_students(
     tables: Mapping[str, DataFrame], text: str = "", selection: StudentFilter = NO_FILTER
 ) -> DataFrame:

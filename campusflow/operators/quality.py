@@ -80,6 +80,24 @@ def _dangling_keys(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
     return _value_counts(tables[rule.table], [column]).join(parents, column, "left_anti")
 
 
+def _dangling_counts(tables: Mapping[str, DataFrame], rules: dict[int, Rule]) -> DataFrame:
+    """Rows with values that a parent table lacks, for all rules that refer to one column of it.
+
+    The values of all referring columns, counted each, meet the parent in one
+    join, so it is read and shuffled once however many tables refer to it.
+    """
+    first = next(iter(rules.values()))
+    parents = tables[first.parent].select(F.col(first.parent_key).alias("_value"))
+    kind = parents.schema["_value"].dataType
+    counted = [
+        _value_counts(tables[r.table], r.columns).select(
+            F.col(r.columns[0]).cast(kind).alias("_value"), F.lit(i).alias("RuleNo"), F.col("n").alias("v")
+        )
+        for i, r in rules.items()
+    ]
+    return reduce(DataFrame.unionByName, counted).join(parents, "_value", "left_anti").select("RuleNo", "v")
+
+
 def check_rules(tables: Mapping[str, DataFrame], rules: Iterable[Rule] | None = None) -> DataFrame:
     """Violation counts of all given rules (the whole contract by default).
 
@@ -88,15 +106,17 @@ def check_rules(tables: Mapping[str, DataFrame], rules: Iterable[Rule] | None =
     """
     numbered = dict(enumerate(contract_rules() if rules is None else rules))
     row_rules: dict[str, dict[int, Rule]] = {}
+    references: dict[tuple[str, str], dict[int, Rule]] = {}
     found = []
     for i, rule in numbered.items():
         if rule.kind in ROW_KINDS:
             row_rules.setdefault(rule.table, {})[i] = rule
         elif rule.kind == "foreign_key":
-            found.append(_dangling_keys(tables, rule).select(F.lit(i).alias("RuleNo"), F.col("n").alias("v")))
+            references.setdefault((rule.parent, rule.parent_key), {})[i] = rule
         else:
             found.append(_key_violations(tables[rule.table], i, rule))
     found += [_row_violations(tables[name], group) for name, group in row_rules.items()]
+    found += [_dangling_counts(tables, group) for group in references.values()]
     totals = reduce(DataFrame.unionByName, found).groupBy("RuleNo").agg(F.sum("v").alias("Violations"))
     described = load_literals(
         found[0].sparkSession,

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.functions import full_name, largest_first
-from campusflow.operators.filters import NO_FILTER, StudentFilter, students_with_programme
+from campusflow.operators.filters import NO_FILTER, StudentFilter, chosen_ids, students_with_programme
 
 Tables = Mapping[str, DataFrame]
 PAIR = ["StudentID", "CourseOfferingID"]
 
 
-def _effort_per_enrollment(tables: Tables) -> DataFrame:
+def _effort_per_enrollment(tables: Tables, chosen: DataFrame | None = None) -> DataFrame:
     """Events and minutes per student, offering and grade; every enrollment counts.
 
     Activity is summed per pair before it is joined, so a student with very
@@ -22,20 +22,21 @@ def _effort_per_enrollment(tables: Tables) -> DataFrame:
     keeps the SQL meaning where an enrollment has several results: each of
     them counts the pair's activity.  That second sum needs no shuffle of its
     own because the join already placed the pairs together.
+
+    With ``chosen`` students, events and enrollments of others are left out
+    before anything is summed, and results meet the chosen enrollments only.
     """
+    events, enrollments = tables["LMSActivity"], tables["Enrollment"].select("EnrollmentID", *PAIR)
+    if chosen is not None:
+        events = events.join(chosen, "StudentID", "left_semi")
+        enrollments = enrollments.join(chosen, "StudentID", "left_semi")
     activity = (
-        tables["LMSActivity"]
-        .groupBy(*PAIR)
+        events.groupBy(*PAIR)
         .agg(F.count("ActivityID").alias("events"), F.sum("DurationMinutes").alias("minutes"))
     )
     results = tables["AssessmentResult"].select("EnrollmentID", "FinalGrade")
     offered = tables["CourseOffering"].select("CourseOfferingID")
-    enrolled = (
-        tables["Enrollment"]
-        .select("EnrollmentID", *PAIR)
-        .join(offered, "CourseOfferingID", "left_semi")
-        .join(results, "EnrollmentID", "left")
-    )
+    enrolled = enrollments.join(offered, "CourseOfferingID", "left_semi").join(results, "EnrollmentID", "left")
     return (
         enrolled.join(activity, PAIR, "left")
         .groupBy(*PAIR, "FinalGrade")
@@ -52,7 +53,7 @@ def engagement_outcome(tables: Tables, selection: StudentFilter = NO_FILTER) ->
         "StudentID", full_name().alias("FullName"), "ProgrammeName"
     )
     return (
-        _effort_per_enrollment(tables)
+        _effort_per_enrollment(tables, chosen_ids(tables, selection))
         .join(students, "StudentID")
         .select("StudentID", "FullName", "ProgrammeName", "CourseOfferingID", "Events", "Minutes", "FinalGrade")
     )

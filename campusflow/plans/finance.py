@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.functions import full_name, largest_first
-from campusflow.operators.filters import NO_FILTER, StudentFilter, students_with_programme
+from campusflow.operators.filters import NO_FILTER, StudentFilter, chosen_ids, students_with_programme
 
 Tables = Mapping[str, DataFrame]
 
@@ -28,11 +28,13 @@ def payment_totals(tables: Tables) -> DataFrame:
     )
 
 
-def _debtors(tables: Tables) -> DataFrame:
-    """Students whose balances sum to more than zero, before names are joined."""
+def _debtors(tables: Tables, selection: StudentFilter = NO_FILTER) -> DataFrame:
+    """Selected students whose balances sum to more than zero, before names are joined."""
+    payments, chosen = tables["FeePayment"], chosen_ids(tables, selection)
+    if chosen is not None:
+        payments = payments.join(chosen, "StudentID", "left_semi")
     return (
-        tables["FeePayment"]
-        .groupBy("StudentID")
+        payments.groupBy("StudentID")
         .agg(F.sum("AmountPaid").alias("paid"), F.sum("Balance").alias("owed"))
         .filter(F.col("owed") > 0)
     )
@@ -44,7 +46,7 @@ def outstanding_worklist(tables: Tables, selection: StudentFilter = NO_FILTER) -
         "StudentID", full_name().alias("FullName"), "ProgrammeName"
     )
     return (
-        students.join(_debtors(tables), "StudentID")
+        students.join(_debtors(tables, selection), "StudentID")
         .withColumnsRenamed({"paid": "Paid", "owed": "Outstanding"})
         .orderBy(*largest_first("Outstanding", "StudentID"))
     )

@@ -17,7 +17,7 @@ from campusflow.functions import (
     rounded_double,
     weighted_mark,
 )
-from campusflow.operators.filters import NO_FILTER, StudentFilter, students_with_programme
+from campusflow.operators.filters import NO_FILTER, StudentFilter, chosen_ids, students_with_programme
 
 Tables = Mapping[str, DataFrame]
 
@@ -34,8 +34,12 @@ def _with_course(df: DataFrame, tables: Tables, *columns: str) -> DataFrame:
     return df.join(offering, "CourseOfferingID").join(course, "CourseID")
 
 
-def _results_of_students(tables: Tables) -> DataFrame:
+def _results_of_students(tables: Tables, selection: StudentFilter = NO_FILTER) -> DataFrame:
+    """Results with their student; those of the selected students where a filter is set."""
     enrollment = tables["Enrollment"].select("EnrollmentID", "StudentID")
+    chosen = chosen_ids(tables, selection)
+    if chosen is not None:
+        enrollment = enrollment.join(chosen, "StudentID", "left_semi")
     return tables["AssessmentResult"].join(enrollment, "EnrollmentID")
 
 
@@ -78,7 +82,7 @@ def _marks_by_programme(tables: Tables, selection: StudentFilter) -> DataFrame:
     """
     mark = weighted_mark()
     per_student = (
-        _results_of_students(tables)
+        _results_of_students(tables, selection)
         .groupBy("StudentID")
         .agg(
             F.sum(mark).alias("mark_sum"),
@@ -136,7 +140,7 @@ def score_scatter(tables: Tables, selection: StudentFilter = NO_FILTER) -> DataF
     """Both scores, grade and programme name of every result of the selected students."""
     students = students_with_programme(tables, selection).select("StudentID", "ProgrammeName")
     return (
-        _results_of_students(tables)
+        _results_of_students(tables, selection)
         .join(students, "StudentID")
         .select("CourseworkScore", "ExamScore", "FinalGrade", "ProgrammeName")
     )
@@ -155,7 +159,7 @@ def grade_quadrants(tables: Tables, selection: StudentFilter = NO_FILTER) -> Dat
         "exam only": ~coursework & exam,
         "neither": ~coursework & ~exam,
     }
-    per_student = _results_of_students(tables).groupBy("StudentID").agg(
+    per_student = _results_of_students(tables, selection).groupBy("StudentID").agg(
         *[count_where(test).alias(label) for label, test in cases.items()]
     )
     students = students_with_programme(tables, selection).select("StudentID")

@@ -227,10 +227,46 @@ DEFAULTS: dict[str, dict[str, str]] = {
 
 # Canonical spelling of result columns that are no table column.
 RESULT_COLUMNS = (
-    "Students Enrollments Results Events Minutes Total Payments Paid Outstanding Count "
-    "FullName CourseName Grade AvgMark TotalPaid TotalBalance NumPayments NumSections "
-    "n label StudentName"
-).split()
+    "Students",
+    "Enrollments",
+    "Results",
+    "Events",
+    "Minutes",
+    "Total",
+    "Payments",
+    "Paid",
+    "Outstanding",
+    "Count",
+    "FullName",
+    "CourseName",
+    "Grade",
+    "AvgMark",
+    "TotalPaid",
+    "TotalBalance",
+    "NumPayments",
+    "NumSections",
+    "n",
+    "label",
+    "StudentName",
+    # Further results of this library.
+    "AvgWeightedMark",
+    "CoursesTaken",
+    "Grade_A",
+    "Grade_F",
+    "LMSEvents",
+    "NextKey",
+    "OutstandingBalance",
+    "Quadrant",
+    "RowCount",
+    "TableName",
+    "TotalCreditHours",
+    "TotalEnrollments",
+    "TotalMinutes",
+    "TotalRevenue",
+    "TotalStudents",
+    "Violations",
+    "WeightedMark",
+)
 
 
 @dataclass(frozen=True)

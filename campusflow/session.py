@@ -26,3 +26,11 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
     return builder
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Give a running session those of the settings that can change while it runs."""
+    for name, value in SETTINGS.items():
+        if name.startswith("spark.sql."):
+            spark.conf.set(name, value)
+    return spark

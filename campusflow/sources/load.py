@@ -16,11 +16,29 @@ from campusflow.schema import DEFAULTS, PRIMARY_KEYS, RESULT_COLUMNS, SCHEMAS
 _PADDED = {"AssessmentResult": ("FinalGrade",)}
 
 
-def _read(spark: SparkSession, path: str, schema: StructType, file_format: str) -> DataFrame:
-    reader = spark.read.schema(schema)
+# How files are written and read, so that every value comes back as it was.
+CSV_OPTIONS = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+_NOTHING = "\x00nothing"
+
+
+def _read(spark: SparkSession, path: str, schema: StructType, file_format: str, line_breaks: bool) -> DataFrame:
     if file_format == "csv":
-        reader = reader.options(header=True, enforceSchema=False, mode="FAILFAST")
-    return reader.format(file_format).load(path)
+        reader = spark.read.schema(schema).options(**CSV_OPTIONS)
+        # Nothing between two commas is NULL, "" is an empty text: the mark for the first must differ from the second.
+        reader = reader.options(nullValue=_NOTHING, emptyValue="")
+        return reader.options(enforceSchema=False, mode="FAILFAST", multiLine=line_breaks).csv(path)
+    if file_format == "parquet":
+        # Parquet gives NULLs for a column that is not there; that is an error as it is for CSV.
+        found, expected = sorted(c.lower() for c in spark.read.parquet(path).columns), schema.names
+        if found != sorted(c.lower() for c in expected):
+            raise ValueError(f"{path} has the columns {found}, not {expected}")
+    return spark.read.schema(schema).format(file_format).load(path)
 
 
 def _number_in_arrival_order(rows: DataFrame, key: str) -> DataFrame:
@@ -42,16 +60,19 @@ def load_table(
     file_format: str = "parquet",
     schema: StructType | None = None,
     omitted: Sequence[str] = (),
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Read ``<directory>/<name>.<format>`` with its declared types.
 
-    A row that does not fit them is an error.  ``omitted`` names columns the
+    A row that does not fit them is an error, and so is a file with other columns.  CSV
+    values may hold line breaks; without ``line_breaks`` they may not, and Spark can split
+    large CSV files between tasks.  ``omitted`` names columns the
     files lack: the key is then numbered in arrival order, a column with a
     default gets it, and any other is NULL.
     """
     schema = SCHEMAS[name] if schema is None else schema
     given = StructType([field for field in schema if field.name not in omitted])
-    rows = _read(spark, f"{directory.rstrip('/')}/{name}.{file_format}", given, file_format)
+    rows = _read(spark, f"{directory.rstrip('/')}/{name}.{file_format}", given, file_format, line_breaks)
     if not omitted:
         df = rows
     else:
@@ -98,6 +119,6 @@ def apply_defaults(df: DataFrame, table: str) -> DataFrame:
 
 def canonical_columns(df: DataFrame) -> DataFrame:
     """Rename columns to their canonical spelling whatever their case; keep unknown names."""
-    known = [name for schema in SCHEMAS.values() for name in schema.names] + RESULT_COLUMNS
+    known = [*(name for schema in SCHEMAS.values() for name in schema.names), *RESULT_COLUMNS]
     spelling = {name.lower(): name for name in known}
     return df.toDF(*[spelling.get(c.lower(), c) for c in df.columns])

@@ -66,7 +66,9 @@ def _effort(who: str, columns: str) -> str:
         GROUP BY ALL"""
 
 
-_EFFORT_OF_EVERYONE = _effort(_people(_EVERYONE), "FirstName || ' ' || LastName AS FullName, ProgrammeName,")
+_NAMED = "FirstName || ' ' || LastName AS FullName, ProgrammeName,"
+_EFFORT_OF_EVERYONE = _effort(_people(_EVERYONE), _NAMED)
+_EFFORT_OF_CHOSEN = _effort(_people(_CHOSEN), _NAMED)
 
 
 # ---- student mix ---------------------------------------------------------------
@@ -84,15 +86,19 @@ _add(
        UNION SELECT 'Status', Status FROM Student
        UNION SELECT 'Gender', Gender FROM Student WHERE Gender IS NOT NULL""",
 )
-_KPI = """
-    SELECT (SELECT COUNT(*) FROM {people}) AS students,
-           (SELECT COUNT(*) FROM {people} JOIN Enrollment USING (StudentID)) AS enrollments,
-           (SELECT COUNT(*) FROM AssessmentResult) AS results,
-           (SELECT ROUND(CAST(AVG({mark}) AS DOUBLE), 2) FROM AssessmentResult) AS avg_mark,
-           (SELECT CAST(COALESCE(SUM(Balance), 0) AS DECIMAL(20,2)) FROM FeePayment) AS outstanding,
-           (SELECT COUNT(*) FROM LMSActivity) AS lms_events"""
-_add("kpi_row", lambda t: overview.kpi_row(t, EVERYONE), _KPI.format(people=_people(_EVERYONE), mark=_MARK))
-_add("kpi_row_chosen", lambda t: overview.kpi_row(t, CHOSEN), _KPI.format(people=_people(_CHOSEN), mark=_MARK))
+def _kpi(where: str) -> str:
+    return f"""
+        SELECT chosen.students, chosen.enrollments, marked.results, ROUND(CAST(marked.mean AS DOUBLE), 2) AS avg_mark,
+               owed.outstanding, logged.lms_events
+        FROM (SELECT COUNT(DISTINCT StudentID) AS students, COUNT(EnrollmentID) AS enrollments
+              FROM {_people(where)} LEFT JOIN Enrollment USING (StudentID)) AS chosen,
+             (SELECT COUNT(*) AS results, AVG({_MARK}) AS mean FROM AssessmentResult) AS marked,
+             (SELECT CAST(COALESCE(SUM(Balance), 0) AS DECIMAL(20,2)) AS outstanding FROM FeePayment) AS owed,
+             (SELECT COUNT(*) AS lms_events FROM LMSActivity) AS logged"""
+
+
+_add("kpi_row", lambda t: overview.kpi_row(t, EVERYONE), _kpi(_EVERYONE))
+_add("kpi_row_chosen", lambda t: overview.kpi_row(t, CHOSEN), _kpi(_CHOSEN))
 
 
 def _counts(keys_: str, name: str) -> str:
@@ -200,22 +206,30 @@ _add(
                COALESCE(list_position({list(GRADE_ORDER)}, FinalGrade), {len(GRADE_ORDER) + 1}) AS GradeRank
         FROM AssessmentResult""",
 )
-_SCATTER = f"""
-    SELECT CourseworkScore, ExamScore, FinalGrade, ProgrammeName
-    FROM {_people(_EVERYONE)} JOIN Enrollment USING (StudentID) JOIN AssessmentResult USING (EnrollmentID)"""
-_add("score_scatter", lambda t: marks.score_scatter(t, EVERYONE), _SCATTER)
-_add(
-    "grade_quadrants",
-    lambda t: marks.grade_quadrants(t, EVERYONE),
-    f"""SELECT Quadrant, COUNT(*) AS Results FROM (
-            SELECT CASE WHEN CourseworkScore >= 50 AND ExamScore >= 50 THEN 'both'
-                        WHEN CourseworkScore >= 50 THEN 'coursework only'
-                        WHEN ExamScore >= 50 THEN 'exam only' ELSE 'neither' END AS Quadrant
-            FROM ({_SCATTER}) AS s WHERE CourseworkScore IS NOT NULL AND ExamScore IS NOT NULL) AS q
-        GROUP BY Quadrant
-        UNION ALL SELECT 'exam only', 0
-        WHERE NOT EXISTS (SELECT 1 FROM ({_SCATTER}) AS s WHERE CourseworkScore < 50 AND ExamScore >= 50)""",
-)
+def _scatter(where: str) -> str:
+    return f"""
+        SELECT CourseworkScore, ExamScore, FinalGrade, ProgrammeName
+        FROM {_people(where)} JOIN Enrollment USING (StudentID) JOIN AssessmentResult USING (EnrollmentID)"""
+
+
+_add("score_scatter", lambda t: marks.score_scatter(t, EVERYONE), _scatter(_EVERYONE))
+_add("score_scatter_chosen", lambda t: marks.score_scatter(t, CHOSEN), _scatter(_CHOSEN))
+
+
+def _quadrants(where: str) -> str:
+    return f"""
+        SELECT Quadrant, COUNT(placed) AS Results
+        FROM (VALUES ('both'), ('coursework only'), ('exam only'), ('neither')) AS q(Quadrant)
+        LEFT JOIN (SELECT CASE WHEN CourseworkScore >= 50 AND ExamScore >= 50 THEN 'both'
+                               WHEN CourseworkScore >= 50 THEN 'coursework only'
+                               WHEN ExamScore >= 50 THEN 'exam only' ELSE 'neither' END AS placed
+                   FROM ({_scatter(where)}) AS s
+                   WHERE CourseworkScore IS NOT NULL AND ExamScore IS NOT NULL) AS p ON placed = Quadrant
+        GROUP BY Quadrant"""
+
+
+_add("grade_quadrants", lambda t: marks.grade_quadrants(t, EVERYONE), _quadrants(_EVERYONE))
+_add("grade_quadrants_chosen", lambda t: marks.grade_quadrants(t, CHOSEN), _quadrants(_CHOSEN))
 _add(
     "credit_load",
     marks.credit_load,
@@ -243,11 +257,17 @@ _add(
 # ---- engagement --------------------------------------------------------------------
 
 _add("engagement_outcome", lambda t: engagement.engagement_outcome(t, EVERYONE), _EFFORT_OF_EVERYONE)
+_add("engagement_outcome_chosen", lambda t: engagement.engagement_outcome(t, CHOSEN), _EFFORT_OF_CHOSEN)
+_TOP = "ORDER BY Minutes DESC, StudentID, CourseOfferingID, FinalGrade NULLS LAST LIMIT 15"
 _add(
     "top_engagement",
     lambda t: engagement.top_engagement(t, EVERYONE),
-    f"""SELECT * FROM ({_EFFORT_OF_EVERYONE}) AS e
-        ORDER BY Minutes DESC, StudentID, CourseOfferingID, FinalGrade NULLS LAST LIMIT 15""",
+    f"SELECT * FROM ({_EFFORT_OF_EVERYONE}) AS e {_TOP}",
+)
+_add(
+    "top_engagement_chosen",
+    lambda t: engagement.top_engagement(t, CHOSEN),
+    f"SELECT * FROM ({_EFFORT_OF_CHOSEN}) AS e {_TOP}",
 )
 _add(
     "engagement_q3",
@@ -293,6 +313,11 @@ _add(
     lambda t: finance.outstanding_worklist(t, EVERYONE),
     _debts("FirstName || ' ' || LastName AS FullName, ProgrammeName", _people(_EVERYONE), "Paid", "Outstanding"),
 )
+_add(
+    "outstanding_worklist_chosen",
+    lambda t: finance.outstanding_worklist(t, CHOSEN),
+    _debts("FirstName || ' ' || LastName AS FullName, ProgrammeName", _people(_CHOSEN), "Paid", "Outstanding"),
+)
 _add(
     "outstanding_q4",
     finance.outstanding_q4,
@@ -340,9 +365,15 @@ def _rule_oracle(rule: Rule) -> str:
     )
 
 
+def _add_damaged(name: str, query: Query, text: str) -> None:
+    """A query over tables in which every rule is broken."""
+    QUERIES[name] = lambda t: query(t.damaged())
+    ORACLES[name] = oracle(text, damaged=True)
+
+
 def _add_rules(name: str, check: Callable[..., DataFrame], *kinds: str) -> None:
     rules = [r for r in testbed_rules() if r.kind in kinds]
-    _add(name, lambda t: check(t, rules), " UNION ALL ".join(map(_rule_oracle, rules)))
+    _add_damaged(name, lambda t: check(t, rules), " UNION ALL ".join(map(_rule_oracle, rules)))
 
 
 _add_rules("check_not_null", quality.check_not_null, "not_null")
@@ -357,13 +388,13 @@ _add(
     """SELECT * FROM Course WHERE CourseCode IN
        (SELECT CourseCode FROM Course GROUP BY CourseCode HAVING COUNT(*) > 1)""",
 )
-_add(
+_add_damaged(
     "orphan_enrollments",
     quality.orphan_enrollments,
     """SELECT en.* FROM Enrollment AS en
        WHERE NOT EXISTS (SELECT 1 FROM Student AS st WHERE st.StudentID = en.StudentID)""",
 )
-_add(
+_add_damaged(
     "orphan_results",
     quality.orphan_results,
     """SELECT res.* FROM AssessmentResult AS res
@@ -397,17 +428,28 @@ ORACLES["load_tables"] = """
     FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY n_name"""
 
 
+# Payments with notes that CSV must not change: blanks, quotes, commas, line breaks, empty texts and NULL.
+_NOTED = """
+    SELECT PaymentID, StudentID, AmountPaid, PaymentDate, PaymentMethod, Balance,
+           CASE PaymentID % 7 WHEN 0 THEN ' both ends ' WHEN 1 THEN 'a "quoted" word, and a comma'
+                WHEN 2 THEN 'two' || chr(10) || 'lines' WHEN 3 THEN '' WHEN 4 THEN 'back\\slash"'
+                WHEN 5 THEN PaymentMethod || '"' END AS Note
+    FROM ({payments}) AS p"""
+
+
 def _export_and_read(t: RecordTables) -> DataFrame:
-    """Payments written as CSV next to the checkpoints and read back with their types."""
-    payments = t["FeePayment"]
-    keys.ensure_checkpoint_dir(t.spark)
-    folder = f"{t.spark.sparkContext.getCheckpointDir()}/export-{uuid4()}"
+    """Noted payments written as CSV into the shared folder and read back with their types."""
+    text = _NOTED.replace("{payments}", VIEWS["FeePayment"]).replace("back\\slash", "back\\\\slash")
+    payments = run_sql(t.spark, t.sf_dir, text)
+    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/export-{uuid4()}"
     catalog.export_csv(payments, f"{folder}/FeePayment.csv")
     loaded = load.load_tables(t.spark, folder, "csv", ["FeePayment"], schemas={"FeePayment": payments.schema})
     return loaded["FeePayment"]
 
 
-_add("export_csv", _export_and_read, "SELECT * FROM FeePayment")
+QUERIES["export_csv"] = _export_and_read
+ORACLES["export_csv"] = plain(_NOTED.replace("{payments}", VIEWS["FeePayment"]))
 
 
 def _grade_scale(t: RecordTables) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType
 
-from campusflow.schema import DOMAINS, Rule, contract_rules
+from campusflow.schema import DOMAINS, PRIMARY_KEYS, SCHEMAS, Rule, contract_rules
 
 # Declared types of the test tables, so that no job is spent on inferring them.
 SOURCE_SCHEMAS = {
@@ -74,8 +75,12 @@ VIEWS = {
         FROM {orders} GROUP BY o_custkey, o_orderkey % 100""",
     "AssessmentResult": """
         SELECT l_orderkey AS ResultID, l_orderkey AS EnrollmentID,
-               CAST(2 * MAX(l_quantity) AS DECIMAL(5,2)) AS CourseworkScore,
-               CAST(2 * MIN(l_quantity) AS DECIMAL(5,2)) AS ExamScore,
+               CASE WHEN l_orderkey % 13 = 5 THEN NULL WHEN l_orderkey % 4 = 1
+                    THEN CAST(2 * MIN(l_quantity) AS DECIMAL(5,2))
+                    ELSE CAST(2 * MAX(l_quantity) AS DECIMAL(5,2)) END AS CourseworkScore,
+               CASE WHEN l_orderkey % 17 = 3 THEN NULL WHEN l_orderkey % 4 = 1
+                    THEN CAST(2 * MAX(l_quantity) AS DECIMAL(5,2))
+                    ELSE CAST(2 * MIN(l_quantity) AS DECIMAL(5,2)) END AS ExamScore,
                CASE l_orderkey % 9 WHEN 0 THEN 'A' WHEN 1 THEN 'B+' WHEN 2 THEN 'B' WHEN 3 THEN 'C+'
                     WHEN 4 THEN 'C' WHEN 5 THEN 'D+' WHEN 6 THEN 'D' WHEN 7 THEN 'F' ELSE 'I' END AS FinalGrade
         FROM {lineitem} GROUP BY l_orderkey""",
@@ -92,6 +97,46 @@ VIEWS = {
         FROM {events}""",
 }
 
+
+
+def _damaged(name: str) -> str:
+    """A view with its own rows, and each seventh row again in three ways: as it is, without
+    required values, and with texts too long, references to nothing and values out of range.
+
+    Keys and references have the contract's type here, so texts can be too long.
+    """
+    view, key = VIEWS[name], PRIMARY_KEYS[name]
+    fields = [f for f in SCHEMAS[name] if re.search(rf"\bAS {f.name}\b", view)]
+    rules = [r for r in testbed_rules() if r.table == name]
+    widths = {r.columns[0]: r.width for r in rules if r.kind == "length"}
+    lost = {r.columns[0] for r in rules if r.kind == "foreign_key"}
+    beyond = {r.columns[-1] for r in rules if r.kind == "range"}
+
+    def typed(column: str, text: bool) -> str:
+        return f"CAST({column} AS STRING)" if text else column
+
+    def wrong(column: str, text: bool) -> str:
+        if column == key:
+            return typed(column, text) if column not in widths else f"repeat('y', {widths[column] + 1})"
+        if column in widths:
+            return f"repeat('x', {widths[column] + 1})"
+        if column == "EndDate":
+            return "StartDate"
+        if column in lost | beyond:
+            return "-1"
+        return typed(column, text)
+
+    texts = {f.name: isinstance(f.dataType, StringType) for f in fields}
+    required = {f.name for f in fields if not f.nullable} | {key}
+    kept = ", ".join(f"{typed(c, t)} AS {c}" for c, t in texts.items())
+    missing = ", ".join(f"{'NULL' if c in required else typed(c, t)} AS {c}" for c, t in texts.items())
+    spoiled = ", ".join(f"{wrong(c, t)} AS {c}" for c, t in texts.items())
+    some = f"FROM ({view}) AS v WHERE {key} % 7 = 1"
+    return f"""
+        SELECT {kept} FROM ({view}) AS v UNION ALL SELECT {kept} {some}
+        UNION ALL SELECT {missing} {some} UNION ALL SELECT {spoiled} {some}"""
+
+
 _JSON_FUNCTION = {"spark": "get_json_object", "duckdb": "json_extract_string"}
 
 # The test tables hold other words than the contract; one word of each list is
@@ -131,14 +176,26 @@ class RecordTables(dict):
         self[name] = run_sql(self.spark, self.sf_dir, VIEWS[name])
         return self[name]
 
+    def damaged(self) -> RecordTables:
+        """The same tables with rows that break every rule."""
+        return DamagedTables(self.spark, self.sf_dir)
+
     def load_all(self) -> dict[str, DataFrame]:
         return {name: self[name] for name in VIEWS}
 
 
-def oracle(text: str) -> str:
+class DamagedTables(RecordTables):
+    """Records tables in which every rule of the contract is broken."""
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = run_sql(self.spark, self.sf_dir, _damaged(name))
+        return self[name]
+
+
+def oracle(text: str, damaged: bool = False) -> str:
     """The text with the records tables it names put in front as DuckDB expressions."""
     names = [name for name in VIEWS if re.search(rf"\b{name}\b", text)]
-    ctes = ", ".join(f"{name} AS ({plain(VIEWS[name])})" for name in names)
+    ctes = ", ".join(f"{name} AS ({plain(_damaged(name) if damaged else VIEWS[name])})" for name in names)
     return f"WITH {ctes} SELECT * FROM ({text}) AS answer"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from campusflow.operators.keys import append_serial, assign_serial, next_key
 from campusflow.schema import SCHEMAS
+from campusflow.session import tune
 from campusflow.sources import catalog, load
 from campusflow.sources.first_load import first_load
 
@@ -209,6 +210,10 @@ REFUSED = [
     "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'lineSeparator')",
     "SELECT TRANSFORM(StudentID) USING 'cat' AS (x) FROM Student",
     "SELECT TRANSFORM(StudentID) USING /* */ 'cat' AS (x) FROM Student",
+    "SELECT `reflect`('java.lang.System', 'getenv', 'HOME')",
+    "SELECT try_reflect('java.lang.System', 'getenv', 'HOME')",
+    "SELECT (SELECT max(java_method('java.lang.System', 'lineSeparator')) FROM Programme) FROM Student",
+    "SELECT IDENTIFIER(reflect('java.lang.System', 'getProperty', 'user.name')) FROM Student",
     "",
 ]
 
@@ -232,6 +237,10 @@ ALLOWED = [
     ("SELECT s.*, p.* FROM Student s JOIN Programme p ON s.ProgrammeID = p.ProgrammeID", 8),
     ("SELECT * FROM Enrollment JOIN Student USING (StudentID)", 8),
     ("SELECT * FROM v_student_grade_summary", 8),
+    ("SELECT StudentID FROM Student WHERE Status <> 'Programming using Python'", 7),
+    ("SELECT 1 -- joined using the key", 1),
+    ("SELECT 'identifier', 'reflect(1)', 'ScriptTransformation' AS identifier", 1),
+    ("SELECT transform(array(1), x -> x + 1) FROM Student JOIN Programme USING (ProgrammeID)", 8),
 ]
 
 
@@ -240,11 +249,19 @@ def test_plain_queries_run(registered, text, count):
     assert len(catalog.adhoc_sql(registered, text).collect()) == count
 
 
-def test_outer_order_is_kept_and_the_setting_restored(registered):
-    registered.conf.set("spark.sql.runSQLOnFiles", "true")
+def test_outer_order_is_kept(registered):
     got = catalog.adhoc_sql(registered, "SELECT StudentID FROM Student ORDER BY StudentID DESC").collect()
     assert [r.StudentID for r in got] == [f"S0{n}" for n in range(8, 0, -1)]
-    assert registered.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_files_as_tables_must_be_off(registered):
+    registered.conf.set("spark.sql.runSQLOnFiles", "true")
+    try:
+        with pytest.raises(ValueError):
+            catalog.adhoc_sql(registered, "SELECT 1")
+    finally:
+        tune(registered)
+    assert registered.conf.get("spark.sql.runSQLOnFiles") == "false"
 
 
 def test_scan_and_shape(tables):
@@ -261,3 +278,21 @@ def test_csv_export_has_a_header_and_no_index(spark, tables, tmp_path):
     assert back.columns == SCHEMAS["FeePayment"].names and back.count() == 7
     with pytest.raises(Exception, match="(?i)exists"):
         catalog.export_csv(tables["FeePayment"], target)
+
+
+ODD = [" lead", "trail ", 'q"uote', '"', "a,b", "two\nlines", "\r\n", "back\\slash", '\\"', "", None, "#c", "\t"]
+
+
+def test_csv_gives_back_every_value(spark, tmp_path):
+    rows = spark.createDataFrame([(i, text) for i, text in enumerate(ODD)], "id int, text string")
+    catalog.export_csv(rows.repartition(2), str(tmp_path / "Odd.csv"))
+    back = load.load_table(spark, str(tmp_path), "Odd", "csv", rows.schema)
+    assert [r.text for r in back.orderBy("id").collect()] == ODD
+
+
+@pytest.mark.parametrize("columns", [["DepartmentID"], ["DepartmentID", "DepartmentName", "Faculty", "OfficeLocation", "x"]])
+def test_a_parquet_file_with_other_columns_is_an_error(spark, tmp_path, columns):
+    table = spark.range(3).select(*[F.col("id").cast("string").alias(c) for c in columns])
+    table.write.parquet(str(tmp_path / "Department.parquet"))
+    with pytest.raises(ValueError, match="columns"):
+        load.load_table(spark, str(tmp_path), "Department")
