@@ -41,18 +41,20 @@ def assign_serial(
     row count of the partitions before it; no global window over the rows.
     Partitioned rows are checkpointed because counting and numbering must see
     the same partitions, also after an executor is lost.  Rows equal in
-    ``order_by`` are told apart by their place in the input, so a large group
-    of equal rows still spreads over many partitions.
+    ``order_by`` go by a hash of all their columns, so their numbers do not
+    depend on how the input arrives.  Only rows equal in every column are told
+    apart by place, so that a large group of them still spreads over many
+    partitions; places follow a sort by content, so a repeated task gives the
+    same ones.
     """
     ensure_checkpoint_dir(df.sparkSession)
     columns = df.columns
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    sort_names = [f"_order{i}" for i in range(len(order))] + ["_place"]
-    named = df.select(
-        "*",
-        *[c.alias(name) for c, name in zip(order, sort_names)],
-        F.monotonically_increasing_id().alias("_place"),
+    sort_names = [f"_order{i}" for i in range(len(order))] + ["_content", "_place"]
+    hashed = df.select(
+        "*", *[c.alias(name) for c, name in zip(order, sort_names)], F.xxhash64(*columns).alias("_content")
     )
+    named = hashed.sortWithinPartitions("_content").withColumn("_place", F.monotonically_increasing_id())
     placed = (
         named.repartitionByRange(*[F.col(c).asc_nulls_last() for c in sort_names])
         .sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in sort_names])

@@ -24,7 +24,6 @@ ID_DIGITS = 3  # fixed value: the running number is padded to this width
 # The year in an id has four digits.
 ID_YEARS = Rule("Student", "range", ("AdmissionYear",), condition="AdmissionYear BETWEEN 1000 AND 9999")
 ARRIVAL = "_arrival"  # a row's number in the batch
-BROADCAST_ROWS = 100_000  # a few megabytes of narrow rows
 
 
 class Change(NamedTuple):
@@ -50,11 +49,6 @@ def _with_reason(df: DataFrame, broken: Column, reason: str) -> DataFrame:
     return df.withColumn("Reasons", F.concat_ws(",", so_far, F.when(broken, F.lit(reason))))
 
 
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Mark for broadcast after counting; a larger frame stays with the shuffle join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _sound() -> Column:
     return F.col("Reasons") == ""
 
@@ -217,8 +211,8 @@ def update_students(
     changes = sound.groupBy("StudentID").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ARRIVAL))).alias(f"_new_{c}") for c in settable]
     )
-    changes = _broadcast_if_small(changes.withColumn("_hit", F.lit(True)))
-    merged = existing.join(changes, "StudentID", "left")
+    # Spark measures the changes as they come out of the sum, and broadcasts them if they are small.
+    merged = existing.join(changes.withColumn("_hit", F.lit(True)), "StudentID", "left")
     updated = merged.withColumns(
         {c: F.coalesce(F.col(f"_new_{c}").cast(existing.schema[c].dataType), F.col(c)) for c in settable}
     )

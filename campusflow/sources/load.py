@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from campusflow.operators.keys import assign_serial
 from campusflow.schema import DEFAULTS, PRIMARY_KEYS, RESULT_COLUMNS, SCHEMAS
 
 # Blank-padded columns of fixed width, trimmed on load.
@@ -42,15 +42,27 @@ def _read(spark: SparkSession, path: str, schema: StructType, file_format: str,
 
 
 def _number_in_arrival_order(rows: DataFrame, key: str) -> DataFrame:
-    """Number rows by file, place of the block in the file, and place of the row in the block."""
-    arrival = rows.select(
+    """Number rows by file, place of the block in the file, and place of the row in the block.
+
+    Files and blocks are an order already: rows are counted per block, and a
+    row's number is the count of all rows before its block plus its place.  So
+    rows are neither sorted nor written in between.
+    """
+    columns = rows.columns
+    placed = rows.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    order = ["_file", "_block", "_row"]
-    return assign_serial(arrival, key, order).drop(*order)
+    blocks = placed.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
+    # One row per block of the files, which is little for one task at any size of the data.
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(
+        "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
+    )
+    number = F.col("_start") + F.col("_row") - F.col("_first") + 1
+    return placed.join(starts, ["_file", "_block"]).select(number.alias(key), *columns)
 
 
 def load_table(

@@ -175,6 +175,15 @@ def test_serial_of_many_equal_rows_is_complete_and_spread(spark):
     assert tuple(hot) == (1, 6667, 6667)
 
 
+def test_serial_does_not_depend_on_how_rows_arrive(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 50).alias("v"), F.col("id").alias("own"))
+    numbers = [
+        sorted(tuple(r) for r in assign_serial(df.repartition(n, *by), "no", ["v"]).collect())
+        for n, by in ((1, []), (3, ["own"]), (7, ["v"]))
+    ]
+    assert numbers[0] == numbers[1] == numbers[2]
+
+
 def test_next_key_and_append(spark, make, rows):
     assert rows(next_key(spark.createDataFrame([(42,), (7,)], "k int"), "k")) == [(43,)]
     assert rows(next_key(spark.createDataFrame([], "k int"), "k")) == [(1,)]
