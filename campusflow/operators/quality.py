@@ -84,10 +84,11 @@ def _dangling_counts(tables: Mapping[str, DataFrame], rules: dict[int, Rule]) ->
     """Rows with values that a parent table lacks, for all rules that refer to one column of it.
 
     The values of all referring columns, counted each, meet the parent in one
-    join, so it is read and shuffled once however many tables refer to it.
+    join, so it is read and shuffled once however many tables refer to it.  An
+    anti join would be moved below the union again, one for each rule.
     """
     first = next(iter(rules.values()))
-    parents = tables[first.parent].select(F.col(first.parent_key).alias("_value"))
+    parents = tables[first.parent].select(F.col(first.parent_key).alias("_value")).distinct()
     kind = parents.schema["_value"].dataType
     counted = [
         _value_counts(tables[r.table], r.columns).select(
@@ -95,7 +96,8 @@ def _dangling_counts(tables: Mapping[str, DataFrame], rules: dict[int, Rule]) ->
         )
         for i, r in rules.items()
     ]
-    return reduce(DataFrame.unionByName, counted).join(parents, "_value", "left_anti").select("RuleNo", "v")
+    met = reduce(DataFrame.unionByName, counted).join(parents.withColumn("_known", F.lit(True)), "_value", "left")
+    return met.filter(F.col("_known").isNull()).select("RuleNo", "v")
 
 
 def check_rules(tables: Mapping[str, DataFrame], rules: Iterable[Rule] | None = None) -> DataFrame:

@@ -14,8 +14,9 @@ from campusflow import functions as columns
 from campusflow.operators import keys, quality, updates
 from campusflow.operators.filters import StudentFilter, filter_students, search_students, students_with_programme
 from campusflow.plans import engagement, finance, marks, overview
-from campusflow.schema import BROWSED_TABLES, GRADE_ORDER, Rule
+from campusflow.schema import BROWSED_TABLES, GRADE_ORDER, SCHEMAS, Rule, contract_rules
 from campusflow.sources import catalog, load
+from campusflow.sources.first_load import first_load
 from testbed.views import VIEWS, RecordTables, oracle, plain, read_source, run_sql, testbed_rules
 
 Query = Callable[[RecordTables], DataFrame]
@@ -437,12 +438,17 @@ _NOTED = """
     FROM ({payments}) AS p"""
 
 
+def _shared_folder(t: RecordTables) -> str:
+    """A new folder that all executors can write to."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/export-{uuid4()}"
+
+
 def _export_and_read(t: RecordTables) -> DataFrame:
     """Noted payments written as CSV into the shared folder and read back with their types."""
     text = _NOTED.replace("{payments}", VIEWS["FeePayment"]).replace("back\\slash", "back\\\\slash")
     payments = run_sql(t.spark, t.sf_dir, text)
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/export-{uuid4()}"
+    folder = _shared_folder(t)
     catalog.export_csv(payments, f"{folder}/FeePayment.csv")
     loaded = load.load_tables(t.spark, folder, "csv", ["FeePayment"], schemas={"FeePayment": payments.schema})
     return loaded["FeePayment"]
@@ -452,6 +458,55 @@ QUERIES["export_csv"] = _export_and_read
 ORACLES["export_csv"] = plain(_NOTED.replace("{payments}", VIEWS["FeePayment"]))
 
 
+FIRST_LOADED = ("Department", "Programme", "Course", "Lecturer", "Semester", "FeePayment")
+
+
+def _first_load(t: RecordTables) -> DataFrame:
+    """Operational files of six tables, with rows that break the contract, loaded and reported on."""
+    tables, folder = t.damaged(), _shared_folder(t)
+    for name in FIRST_LOADED:
+        typed = tables[name].select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]])
+        catalog.export_csv(typed, f"{folder}/{name}.csv")
+    return first_load(t.spark, folder, f"{folder}-loaded", "csv", FIRST_LOADED)
+
+
+QUERIES["first_load"] = _first_load
+ORACLES["first_load"] = oracle(
+    " UNION ALL ".join(
+        _rule_oracle(r)
+        for r in contract_rules()
+        if r.table in FIRST_LOADED and (not r.parent or r.parent in FIRST_LOADED)
+    ),
+    damaged=True,
+)
+
+
+def _payments_per_term(t: RecordTables) -> DataFrame:
+    """Payments per term of a calendar that is written down as rows with ISO dates."""
+    calendar = load.load_literals(t.spark, _TERMS, SCHEMAS["Semester"])
+    dated = t["FeePayment"].join(calendar, F.expr("year(PaymentDate) = SemesterID"))
+    return (
+        dated.filter("PaymentDate BETWEEN StartDate AND EndDate")
+        .groupBy("SemesterName", "StartDate", "EndDate")
+        .agg(F.count("*").alias("Payments"))
+    )
+
+
+_TERMS = [(year, f"Spring {year}", f"{year}-02-01", f"{year}-06-30") for year in range(1995, 2002)]
+_add(
+    "load_literal_dates",
+    _payments_per_term,
+    "SELECT SemesterName, StartDate, EndDate, COUNT(*) AS Payments FROM FeePayment JOIN (VALUES "
+    + ", ".join(f"({y}, '{name}', DATE '{a}', DATE '{b}')" for y, name, a, b in _TERMS)
+    + ") AS c(SemesterID, SemesterName, StartDate, EndDate) ON PaymentDate BETWEEN StartDate AND EndDate GROUP BY ALL",
+)
+_add(
+    "apply_default_dates",
+    lambda t: load.apply_defaults(t["Enrollment"].drop("EnrollmentDate"), "Enrollment"),
+    "SELECT EnrollmentID, StudentID, CourseOfferingID, EnrollmentStatus, CURRENT_DATE AS EnrollmentDate FROM Enrollment",
+)
+
+
 def _grade_scale(t: RecordTables) -> DataFrame:
     """Results per step of a grade scale that is written down as literal rows."""
     schema = StructType().add("GradeRank", IntegerType()).add("FinalGrade", StringType())

@@ -115,21 +115,23 @@ def _damaged(name: str) -> str:
     def typed(column: str, text: bool) -> str:
         return f"CAST({column} AS STRING)" if text else column
 
+    # Nothing here is a constant, which Spark would take out of a join's condition.
     def wrong(column: str, text: bool) -> str:
-        if column == key:
-            return typed(column, text) if column not in widths else f"repeat('y', {widths[column] + 1})"
         if column in widths:
-            return f"repeat('x', {widths[column] + 1})"
+            return f"repeat('{'y' if column == key else 'x'}', {widths[column]}) || CAST({key} AS STRING)"
         if column == "EndDate":
             return "StartDate"
         if column in lost | beyond:
-            return "-1"
+            return f"-1 - {key}"
         return typed(column, text)
 
+    def missing_value(column: str, text: bool) -> str:
+        return typed(f"NULLIF({column}, {column})" if column in required else column, text)
+
     texts = {f.name: isinstance(f.dataType, StringType) for f in fields}
     required = {f.name for f in fields if not f.nullable} | {key}
     kept = ", ".join(f"{typed(c, t)} AS {c}" for c, t in texts.items())
-    missing = ", ".join(f"{'NULL' if c in required else typed(c, t)} AS {c}" for c, t in texts.items())
+    missing = ", ".join(f"{missing_value(c, t)} AS {c}" for c, t in texts.items())
     spoiled = ", ".join(f"{wrong(c, t)} AS {c}" for c, t in texts.items())
     some = f"FROM ({view}) AS v WHERE {key} % 7 = 1"
     return f"""

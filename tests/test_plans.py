@@ -6,12 +6,14 @@ import re
 
 import pytest
 
+from campusflow.operators import quality
 from campusflow.operators.filters import students_with_programme
 from campusflow.plans import engagement, finance, marks, overview
 from campusflow.sources import catalog
 from campusflow.sources.layout import save_bucketed
 from testbed.registry import CHOSEN, EVERYONE, QUERIES
 from testbed.views import RecordTables
+from testbed.views import testbed_rules as all_rules
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -96,6 +98,36 @@ def test_facts_are_aggregated_before_they_meet_students(records, no_broadcast):
         assert any("HashAggregate(keys=[StudentID" in line for line in below)
 
 
+def test_chosen_students_narrow_activity_below_its_sum(records, no_broadcast):
+    """Events, results and payments of other students are left out before anything is summed."""
+
+    def below_sum(text: str, column: str) -> bool:
+        lines = text.splitlines()
+        scan = next(i for i, line in enumerate(lines) if "FileScan" in line and column in line)
+        depth, joined = len(lines[scan]) - len(lines[scan].lstrip(" :+-")), False
+        for line in reversed(lines[:scan]):
+            at = len(line) - len(line.lstrip(" :+-"))
+            if at >= depth:
+                continue
+            depth = at
+            if "HashAggregate(keys=[" in line:
+                return joined
+            joined = joined or "LeftSemi" in line or "SortMergeJoin [EnrollmentID" in line
+        return False
+
+    assert below_sum(plan(engagement.top_engagement(records, CHOSEN)), "event_id")
+    assert below_sum(plan(finance.outstanding_worklist(records, CHOSEN)), "o_totalprice")
+    assert "LeftSemi" not in plan(finance.outstanding_worklist(records))
+
+
+def test_references_to_one_parent_are_one_join(records, no_broadcast):
+    rules = [r for r in all_rules() if r.kind == "foreign_key"]
+    parents = {(r.parent, r.parent_key) for r in rules}
+    text = plan(quality.check_foreign_key(records, rules))
+    joins = [line for line in text.splitlines() if "SortMergeJoin [_value" in line]
+    assert len(rules) == 13 and len(parents) == 8 and len(joins) == 8
+
+
 def test_second_sum_of_engagement_needs_no_shuffle(records, no_broadcast):
     lines = plan(engagement.engagement_outcome(records, EVERYONE)).splitlines()
     final = next(i for i, line in enumerate(lines) if "HashAggregate(keys=[StudentID" in line and "FinalGrade" in line)
