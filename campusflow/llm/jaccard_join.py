@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from campusflow.llm.components import connected_components
 from campusflow.llm.rows import packed, same_row, unpacked
-from campusflow.llm.stored import stored
+from campusflow.llm.stored import release, stored
 from campusflow.llm.tokens import IS_SPACE, Words, inside_text, mix, row_slices, sequence_hashes
 
 # Keys are dealt to shards of about so many; a task holds one shard, and sends keys on in chunks.
@@ -27,7 +27,7 @@ SHARD_KEYS = 1 << 20
 CHUNK_KEYS = 1 << 20
 # Partitions beyond those that pigeonholing needs; so many empty ones can be passed over.
 SPARE = 2
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 LEADERS = 3
 GROUP_SETS = 64
 
@@ -229,38 +229,61 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(_linked(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
 
 
+def _open_rows(placed: DataFrame) -> DataFrame:
+    """The postings whose key is shared by sets of different components."""
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return placed.join(mixed.filter("low <> high").select("key"), "key")
+
+
+def _linkable(tokens: DataFrame, percent: int) -> DataFrame:
+    """The sets (``node``) of which enough tokens occur in another of the sets; no other can have a link here."""
+    each = tokens.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token")
+    counted = each.join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("both"), F.min("n").alias("n"))
+    return counted.filter(100 * F.col("both") >= percent * F.col("n")).select("node")
+
+
 def _opened(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of different components that share a key.
+    """Links between sets of different components that share a key: the matrix of tokens and groups.
 
-    A group holds up to about GROUP_SETS sets of a component.  Sets meet groups, once however many keys they
-    share; sizes, then the overlap with the group's union, decide which groups are opened.
+    A group holds up to about GROUP_SETS sets with the same lowest key.  A set meets the groups it shares a key with,
+    once however many keys they share; sizes, then the overlap with the group's union, decide which groups are
+    opened, and within an opened one it is compared with the sets of other components.
     """
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_keys = mixed.filter("low <> high").select("key")
-    rows = stored(placed.join(open_keys, "key"))
-    members = rows.select("node", "component").distinct()
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP_SETS).alias("blocks"))
-    grouped = members.join(sizes, "component").select(
-        "node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
-    )
-    grouped = stored(grouped)
-    tokens = grouped.join(sets, "node")
-    unions = tokens.groupBy("component", "block").agg(
+    rows = stored(_open_rows(placed))
+    open_sets = rows.select("node").distinct()
+    able = _linkable(sets.join(open_sets, "node", "left_semi"), percent)
+    rows = stored(_open_rows(rows.join(able, "node", "left_semi")))
+
+    leads = rows.groupBy("node", "component").agg(F.min("key").alias("lead"))
+    sizes = leads.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / GROUP_SETS).alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    release(sets.sparkSession)
+    grouped = stored(leads.join(sizes, "lead").select("node", "component", F.struct("lead", block.alias("block")).alias("group")))
+    groups = grouped.join(sets, "node").groupBy("group").agg(
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"),
+        F.collect_list(F.struct("node", "component", "tokens")).alias("members"),
         F.min(F.size("tokens")).alias("least"),
         F.max(F.size("tokens")).alias("most"),
     )
-    seen = rows.select("key", F.col("node").alias("a"), F.col("component").alias("own"))
-    groups = rows.join(grouped.select("node", "block"), "node").select("key", "component", "block").distinct()
-    met = seen.join(groups, "key").filter("own < component").select("a", "component", "block").distinct()
+    keyed = rows.select("key", "node").join(grouped, "node")
+    here = keyed.groupBy("key", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    seen = keyed.select("key", F.col("node").alias("a"), F.col("component").alias("own"), F.col("group").alias("home"))
+    met = seen.join(here, "key").filter("home <= group AND NOT (low = own AND high = own)")
+    met = met.select("a", "own", "group").distinct()
+
     query = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
     size = F.size("of_a")
-    bounded = met.join(query, "a").join(unions, ["component", "block"])
+    bounded = met.join(query, "a").join(groups, "group")
     bounded = bounded.filter((100 * F.col("most") >= percent * size) & (100 * size >= percent * F.col("least")))
-    # A member shares at most what the union shares; a link needs p % of the larger set.
-    bounded = bounded.filter(100 * F.size(F.array_intersect("of_a", "union")) >= percent * F.greatest(size, F.col("least")))
-    pairs = bounded.select("a", "component", "block").join(grouped, ["component", "block"])
-    return _compared(pairs.select("a", F.col("node").alias("b")), sets, percent)
+    # A member of n tokens shares at most what the union shares, so the similarity is bound / (size + n - bound) at most.
+    bound = F.size(F.array_intersect("of_a", "union"))
+    rest = F.greatest(F.col("least") - bound, F.lit(0))
+    opened = bounded.filter(100 * bound >= percent * (size + rest))
+    linked = F.filter(
+        "members", lambda m: (m["component"] != F.col("own")) & _linked(F.col("of_a"), m["tokens"], percent)
+    )
+    return opened.select("a", F.explode(F.transform(linked, lambda m: m["node"])).alias("b"))
 
 
 def similarity_components(
@@ -299,6 +322,7 @@ def similarity_components(
     across = met.select("shard", "keys", "nodes").mapInArrow(_gathered, _POSTINGS)
     within = dealt.filter("shard IS NULL").select("key", "node")
     postings = stored(across.unionByName(within).distinct())
+    release(docs.sparkSession)
 
     wanted = rows.join(postings.select("node").distinct(), "node", "left_semi")
     chosen = wanted.groupBy("node").agg(F.min(F.struct("doc", "mark")).alias("first")).select("node", "first.*")
@@ -313,6 +337,7 @@ def similarity_components(
             )
 
     sets = stored(texts.mapInArrow(tokenised, "node long, tokens array<long>").dropDuplicates(["node"]))
+    release(docs.sparkSession)
     labels = connected_components(_links(postings, sets, percent))
     classes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
     placed = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

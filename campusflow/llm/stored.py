@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +25,12 @@ def stored(frame: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder; a lost executor costs a read, not the work before."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that stored frames have replaced.
+
+    Spark deletes them once the driver's garbage is collected, which by itself may be long after many steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
