@@ -140,7 +140,8 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     rows = packed(docs, doc_id, text)
     bodies = rows.select("doc", "mark", F.struct("body").alias("row"))
     digests = bodies.mapInArrow(_digests, _CHUNKS)
-    often = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # Stored, so that the join shuffles both sides and Spark can split a hot digest.
+    often = stored(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
     met = digests.join(often, "digest", "left_semi")
     asked = stored(met.groupBy("doc", "mark").agg(F.collect_set("place").alias("places")))
 

@@ -174,7 +174,8 @@ def score_quality(
     ``base_failed``: under 50 words, or more than half of the words in repeated 3-word windows.  ``kept``: not
     failed and ``posterior >= threshold``.  A NULL text has no words, so it fails.  Repeated rows and ids are
     judged one by one.  An empty table gives an empty result.  A caller's column that has the name of an
-    added one is replaced; all others stay.  The texts are read twice: to estimate and to judge.
+    added one is replaced; all others stay.  The texts are read twice: to estimate and to judge.  Windows of
+    one text are told apart by 64-bit hashes.
     """
     votes = rule_votes(docs, doc_id, text)
     model = stored(estimate(votes, rounds))

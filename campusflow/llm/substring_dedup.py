@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.llm.rows import packed, same_row, unpacked
+from campusflow.llm.stored import stored
 from campusflow.llm.tokens import IS_SPACE, Words, inside_text, mix, row_slices, sequence_hashes
 
 MINIMISER_WORDS = 6
@@ -24,7 +25,7 @@ MINIMISER_WORDS = 6
 HOT_BUCKET = 1000
 SORT_CHUNK = 8192
 _SUPER = "minimiser long, doc long, mark long, start int, n int"
-_PACKED = "bucket long, words binary, doc long, mark long, start int, n int, hot boolean"
+_PACKED = "bucket long, words binary, doc long, mark long, start int, n int"
 _INTERVALS = "doc long, mark long, start int, end int"
 
 
@@ -77,43 +78,85 @@ def _cut(window: int):
 
 
 def _pack(window: int, text: str):
-    """The words of the chosen super-k-mers; those of a hot bucket as single windows, each its own bucket."""
+    """The words of each row's chosen super-k-mers."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("row")
             texts = rows.flatten()[rows.type.get_field_index(text)]
-            docs, marks = batch.column("doc").to_pylist(), batch.column("mark").to_pylist()
-            for doc, mark, body, chosen in zip(docs, marks, texts, batch.column("chosen").to_pylist(), strict=True):
+            of, buckets, strings, starts, counts = [], [], [], [], []
+            for i, (body, chosen) in enumerate(zip(texts, batch.column("chosen").to_pylist(), strict=True)):
                 words = body.as_py().encode().split()
-                out: dict[str, list] = {f: [] for f in ("bucket", "words", "start", "n", "hot")}
                 for c in chosen:
-                    pieces = range(c["n"]) if c["hot"] else [0]
-                    size = 1 if c["hot"] else c["n"]
-                    for k in pieces:
-                        start = c["start"] + k
-                        out["bucket"].append(c["minimiser"])
-                        out["words"].append(b" ".join(words[start : start + size + window - 1]))
-                        out["start"].append(start)
-                        out["n"].append(size)
-                        out["hot"].append(c["hot"])
-                total = len(out["n"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(out["bucket"], pa.int64()),
-                        pa.array(out["words"], pa.binary()),
-                        pa.array([doc] * total, pa.int64()),
-                        pa.array([mark] * total, pa.int64()),
-                        pa.array(out["start"], pa.int32()),
-                        pa.array(out["n"], pa.int32()),
-                        pa.array(out["hot"], pa.bool_()),
-                    ],
-                    ["bucket", "words", "doc", "mark", "start", "n", "hot"],
-                )
+                    of.append(i)
+                    buckets.append(c["minimiser"])
+                    strings.append(b" ".join(words[c["start"] : c["start"] + c["n"] + window - 1]))
+                    starts.append(c["start"])
+                    counts.append(c["n"])
+            source = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(buckets, pa.int64()),
+                    pa.array(strings, pa.binary()),
+                    batch.column("doc").take(source),
+                    batch.column("mark").take(source),
+                    pa.array(starts, pa.int32()),
+                    pa.array(counts, pa.int32()),
+                ],
+                ["bucket", "words", "doc", "mark", "start", "n"],
+            )
 
     return pack
 
 
+def _windows(window: int):
+    """The single windows of distinct strings, with the string's name and the window's place in it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, places, windows = [], [], []
+            for i, string in enumerate(batch.column("words").to_pylist()):
+                words = string.split(b" ")
+                for k in range(len(words) - window + 1):
+                    of.append(i)
+                    places.append(k)
+                    windows.append(b" ".join(words[k : k + window]))
+            source = pa.array(of, pa.int64())
+            columns = [batch.column("name").take(source), batch.column("times").take(source)]
+            columns += [pa.array(places, pa.int32()), pa.array(windows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "times", "place", "words"])
+
+    return cut
+
+
+def _of_hot(hot: DataFrame, window: int) -> DataFrame:
+    """The stretches of repeated windows in buckets of very many super-k-mers.
+
+    Equal strings are put together first, with partial sums, so a passage with any number of copies is one row;
+    the windows of the distinct strings are then counted wherever they hash to, not by bucket.
+    """
+    named = hot.withColumn("name", F.md5("words"))
+    strings = named.groupBy("name", "words").agg(F.count(F.lit(1)).alias("times"))
+    windows = strings.select("name", "times", "words").mapInArrow(
+        _windows(window), "name string, times long, place int, words binary"
+    )
+    often = windows.groupBy("words").agg(F.sum("times").alias("times")).filter("times > 1").select("words")
+    twice = windows.join(often, "words", "left_semi")
+    places = stored(twice.groupBy("name").agg(F.array_sort(F.collect_set("place")).alias("places")))
+    found = named.select("name", "doc", "mark", "start").join(places, "name")
+    # The first and last place of each run of neighbouring places.
+    first = F.filter("places", lambda k: ~F.array_contains("places", k - 1))
+    last = F.filter("places", lambda k: ~F.array_contains("places", k + 1))
+    runs = F.arrays_zip(first.alias("first"), last.alias("last"))
+    spread = found.select("doc", "mark", "start", F.explode(runs).alias("run"))
+    return spread.select(
+        "doc",
+        "mark",
+        (F.col("start") + F.col("run.first")).alias("start"),
+        (F.col("start") + F.col("run.last") + window).alias("end"),
+    )
+
+
 def _repeated(table: pa.Table, window: int) -> pa.RecordBatch:
     """The stretches of words under windows that occur more than once in the super-k-mers of whole buckets."""
     split = pc.split_pattern(table.column("words").combine_chunks(), " ")
@@ -228,27 +271,29 @@ def remove_repeated_passages(
     column with the name of an added one is replaced.
 
     Buckets with one super-k-mer hold no repetition, so only the others' words travel.  A bucket of more than
-    ``hot_bucket`` (a line or passage that very many texts share) is dealt out by whole windows instead, counted
-    with partial sums.
+    ``hot_bucket`` (a line or passage that very many texts share) is dealt out by whole windows instead, after
+    equal strings have been put together.
     """
     rows = packed(docs, doc_id, text)
     bodies = rows.select("doc", "mark", F.struct("body").alias("row"))
     kmers = bodies.mapInArrow(_cut(window), _SUPER)
-    counts = kmers.groupBy("minimiser").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # Stored, so that the join below shuffles both sides and Spark can split a hot minimiser.
+    counts = stored(kmers.groupBy("minimiser").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
     met = kmers.join(counts, "minimiser").withColumn("hot", F.col("times") > hot_bucket)
     # A set: a row that the table repeats asks for its super-k-mers once, and then brings each copy's.
-    chosen = met.groupBy("doc", "mark").agg(F.collect_set(F.struct("minimiser", "start", "n", "hot")).alias("chosen"))
-
-    asked = rows.select("row", "doc", "mark").join(chosen, same_row(rows, chosen)).select(
-        "row", rows["doc"], rows["mark"], "chosen"
-    )
-    strings = asked.mapInArrow(_pack(window, text), _PACKED)
-    cold = strings.filter("NOT hot").select("bucket", "words", "doc", "mark", "start", "n")
-    sorted_cold = cold.repartition("bucket").sortWithinPartitions("bucket")
-    hot = strings.filter("hot").select("words", "doc", "mark", "start", (F.col("start") + window).alias("end"))
-    twice = hot.groupBy("words").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    of_hot = hot.join(twice, "words", "left_semi").select("doc", "mark", "start", F.col("end").cast("int"))
-    gone = sorted_cold.mapInArrow(_sorted_buckets(window), _INTERVALS).unionByName(of_hot)
+    chosen = met.groupBy("doc", "mark").agg(F.collect_set(F.struct("hot", "minimiser", "start", "n")).alias("chosen"))
+    chosen = stored(chosen)
+
+    def strings(hot: bool) -> DataFrame:
+        part = F.filter("chosen", lambda c: c["hot"] == F.lit(hot))
+        asked = chosen.select("doc", "mark", part.alias("chosen")).filter(F.size("chosen") > 0)
+        given = rows.select("row", "doc", "mark")
+        joined = given.join(asked, same_row(given, asked)).select("row", given["doc"], given["mark"], "chosen")
+        return joined.mapInArrow(_pack(window, text), _PACKED)
+
+    cold = strings(hot=False).repartition("bucket").sortWithinPartitions("bucket")
+    hot = strings(hot=True)
+    gone = cold.mapInArrow(_sorted_buckets(window), _INTERVALS).unionByName(_of_hot(hot, window))
     per_row = gone.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
 
     joined = rows.select("row", "doc", "mark").join(per_row, same_row(rows, per_row), "left").select("row", "gone")
