@@ -7,7 +7,6 @@ rendering it with two probe texts: what both renderings share frames the text.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -28,7 +27,17 @@ FORMATTED = (
 
 
 def _shared(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """How long a beginning the two have in common, by halving."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
 class _Conversation:
