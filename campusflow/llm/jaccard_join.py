@@ -29,7 +29,8 @@ CHUNK_KEYS = 1 << 20
 SPARE = 2
 LEADER_ROUNDS = 1
 LEADERS = 3
-GROUP_SETS = 64
+# Tokens of the sets of one group together, which bounds its row whatever the sets' sizes.
+GROUP_TOKENS = 1 << 16
 
 
 class _Keys:
@@ -236,27 +237,27 @@ def _open_rows(placed: DataFrame) -> DataFrame:
 
 
 def _linkable(tokens: DataFrame, percent: int) -> DataFrame:
-    """The sets (``node``) of which enough tokens occur in another of the sets; no other can have a link here."""
+    """``node`` and ``n`` of sets with enough tokens that another of the sets has; no other can have a link here."""
     each = tokens.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token")
     counted = each.join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("both"), F.min("n").alias("n"))
-    return counted.filter(100 * F.col("both") >= percent * F.col("n")).select("node")
+    return counted.filter(100 * F.col("both") >= percent * F.col("n")).select("node", "n")
 
 
 def _opened(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different components that share a key: the matrix of tokens and groups.
 
-    A group holds up to about GROUP_SETS sets with the same lowest key.  A set meets the groups it shares a key with,
+    A group holds sets with the same lowest key, of up to about GROUP_TOKENS tokens.  A set meets the groups it shares a key with,
     once however many keys they share; sizes, then the overlap with the group's union, decide which groups are
     opened, and within an opened one it is compared with the sets of other components.
     """
     rows = stored(_open_rows(placed))
     open_sets = rows.select("node").distinct()
     able = _linkable(sets.join(open_sets, "node", "left_semi"), percent)
-    rows = stored(_open_rows(rows.join(able, "node", "left_semi")))
+    rows = stored(_open_rows(rows.join(able, "node")))
 
-    leads = rows.groupBy("node", "component").agg(F.min("key").alias("lead"))
-    sizes = leads.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / GROUP_SETS).alias("blocks"))
+    leads = rows.groupBy("node", "component", "n").agg(F.min("key").alias("lead"))
+    sizes = leads.groupBy("lead").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     release(sets.sparkSession)
     grouped = stored(leads.join(sizes, "lead").select("node", "component", F.struct("lead", block.alias("block")).alias("group")))

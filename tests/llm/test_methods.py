@@ -249,7 +249,7 @@ def test_chunk_borders_resist_shifts():
 
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (2, 60)])
 def test_components_by_brute_force(monkeypatch, docs_of, n, percent):
-    monkeypatch.setattr(jaccard_join, "GROUP_SETS", 8)
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 300)
     monkeypatch.setattr(jaccard_join, "SHARD_KEYS", 3000)
     texts = dict(enumerate([*_varied(percent), "", None, "one", "ONE", "one two", "one two"]))
     docs = docs_of(list(texts.values()))
