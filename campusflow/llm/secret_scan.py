@@ -2,7 +2,9 @@
 
 Three kinds are found by pattern alone.  The others are reported only when a candidate, decoded from base64
 or hex, has the structure of a key or token: DER lengths that nest exactly, the fields of a known private
-key, an OpenSSH key's length-prefixed strings, or a signed token whose header names an algorithm.
+key, an OpenSSH key's length-prefixed strings, or a signed token whose header names an algorithm.  PEM blocks
+are read between their BEGIN and END lines; elsewhere a base64 key may start anywhere in a run and ends where
+its lengths say.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +31,13 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 # Candidates for confirmation.
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:\r?\n[A-Za-z0-9+/_-]{2,})*={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]++|\\[nr])*+)-----END")
+# Between the characters of a candidate; line feeds may be written as escapes.
+BREAKS = re.compile(r"(?:\s|\\[nr])+")
+# A DER sequence starts with 0x30 and a length; the OpenSSH magic is the same text every time.
+KEY_START = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjEA")
+MIN_KEY = 24
 HEX_PAIRS = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
 
 KINDS = ("assign", "access", "hex", "signed_token", "der_key", "ssh_key", "hex_key")
@@ -97,6 +106,20 @@ def is_ssh_key(data: bytes) -> bool:
     return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
 
 
+def _ssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH private key ends: after its public keys and the private part; None if it is cut short."""
+    at = len(SSH_MAGIC)
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    for _ in range(keys + 1):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else None
+
+
 def _from_base64(text: str) -> bytes | None:
     plain = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     if len(plain) % 4 == 1:
@@ -107,6 +130,56 @@ def _from_base64(text: str) -> bytes | None:
         return None
 
 
+def _bytes_at(plain: str, at: int, characters: int) -> bytes:
+    """What the next characters stand for; a last one that is no whole byte is left out."""
+    part = plain[at : at + characters]
+    return _from_base64(part[:-1] if len(part) % 4 == 1 else part) or b""
+
+
+def _key_at(plain: str, at: int) -> tuple[str, int] | None:
+    """The kind of the key that starts at a place of unbroken base64, and the place after its last character."""
+    if plain[at] == "b":
+        data = _bytes_at(plain, at, len(plain) - at)
+        if not is_ssh_key(data):
+            return None
+        size = _ssh_end(data)
+        kind, end = "ssh_key", len(plain.rstrip("=")) if size is None else at + (4 * size + 2) // 3
+    else:
+        head = _bytes_at(plain, at, 12)
+        if len(head) < 9 or head[0] != 0x30:
+            return None
+        long = head[1] & 0x7F if head[1] >= 0x80 else 0
+        if long > 4 or head[1] == 0x80 or head[2 + long] != 0x02:
+            return None
+        size = 2 + long + (int.from_bytes(head[2 : 2 + long], "big") if long else head[1])
+        kind, end = "der_key", at + (4 * size + 2) // 3
+        if end > len(plain) or not is_private_key(_bytes_at(plain, at, end - at)):
+            return None
+    return (kind, end) if end - at >= MIN_KEY else None
+
+
+def _keys(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """The keys between two places of a text that hold base64 and breaks, as (kind, start, end), from the left.
+
+    A key may start at any character and ends where its own lengths say, so what stands before or after it
+    does not matter.  Padding that a key needs belongs to it.
+    """
+    plain = BREAKS.sub("", text[start:end])
+    places, at = None, 0
+    while m := KEY_START.search(plain, at):
+        found = _key_at(plain, m.start())
+        if found is None:
+            at = m.start() + 1
+            continue
+        if places is None:
+            breaks = {p for b in BREAKS.finditer(text, start, end) for p in range(*b.span())}
+            places = [p for p in range(start, end) if p not in breaks]
+        kind, at = found
+        last = places[at - 1] + 1
+        padding = -(at - m.start()) % 4
+        yield kind, places[m.start()], last + next(k for k in range(padding, -1, -1) if text.startswith("=" * k, last))
+
+
 def is_signed_token(text: str) -> bool:
     """Whether the text is header.payload.signature with JSON in the first two and an algorithm in the header."""
     header, payload, _ = text.split(".")
@@ -130,13 +203,15 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in LONG_HEX.finditer(text)]
     if "eyJ" in text:
         found += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    blocks = PEM.finditer(text) if "PRIVATE KEY-----" in text else ()
+    keys = [key for m in blocks for key in _keys(text, *m.span(1))]
+    starts, ends = [key[1] for key in keys], [key[2] for key in keys]
     for m in BASE64.finditer(text):
-        # A DER sequence starts with 0x30 and so its base64 with M; the OpenSSH magic starts with b3Bl.
-        if m[0][0] in "Mb" and (data := _from_base64(m[0])):
-            if is_private_key(data):
-                found.append(("der_key", *m.span()))
-            elif is_ssh_key(data):
-                found.append(("ssh_key", *m.span()))
+        for key in _keys(text, *m.span()):
+            before = bisect_right(starts, key[1])
+            if not before or ends[before - 1] <= key[1]:
+                found.append(key)
+    found += keys
     for m in HEX_PAIRS.finditer(text):
         if m[0].startswith("30") and is_private_key(bytes.fromhex(m[0])):
             found.append(("hex_key", *m.span()))

@@ -97,6 +97,48 @@ def test_structures_are_confirmed():
     assert all(k != "signed_token" for k, *_ in secret_scan.scan(unsigned))
 
 
+def _pem_keys() -> dict[str, bytes]:
+    """Keys of sizes that need no padding and of sizes that do."""
+    number = b"\x02\x01\x00"
+    ed = number + _der(0x30, _der(0x06, bytes.fromhex("2b6570"))) + _der(0x04, _der(0x04, bytes(range(100, 132))))
+    ec = _der(0x30, _der(0x06, bytes.fromhex("2a8648ce3d0201")) + _der(0x06, bytes.fromhex("2a8648ce3d030107")))
+    part = b"".join(len(s).to_bytes(4, "big") + s for s in (b"none", b"none", b""))
+    public, private = ((n).to_bytes(4, "big") + b"p" * n for n in (51, 136))
+    keys = {"ed": _der(0x30, ed), "ssh": secret_scan.SSH_MAGIC + part + (1).to_bytes(4, "big") + public + private}
+    for n in (106, 107, 108):
+        keys[f"ec{n}"] = bytes(_der(0x30, number + ec + bytes([0x04, n]) + b"k" * n))
+    return keys
+
+
+@pytest.mark.parametrize("name", ["ed", "ssh", "ec106", "ec107", "ec108"])
+def test_pem_keys_are_found_with_any_padding(name):
+    data = _pem_keys()[name]
+    kind = "ssh_key" if name == "ssh" else "der_key"
+    plain = base64.b64encode(data).decode()
+    for end in ("\n", "\r\n", "\n    ", "\\n"):
+        lines = end.join(plain[k : k + 64] for k in range(0, len(plain), 64))
+        label = "OPENSSH PRIVATE KEY" if name == "ssh" else "PRIVATE KEY"
+        block = f"-----BEGIN {label}-----{end}{lines}{end}-----END {label}-----"
+        for before in ("", "a" * 40 + "\n", "config/path/of/a/certificate-file\n"):
+            text = f"é {before}{block}{end}next words {block}"
+            want = [(kind, m, m + len(lines)) for m in (text.index(lines), text.rindex(lines))]
+            assert [f for f in secret_scan.scan(text) if f[0] == kind] == want
+
+
+@pytest.mark.parametrize("name", ["ed", "ssh", "ec106", "ec107", "ec108"])
+def test_bare_keys_end_where_their_lengths_say(name):
+    data = _pem_keys()[name]
+    kind = "ssh_key" if name == "ssh" else "der_key"
+    plain = base64.b64encode(data).decode()
+    lines = "\n".join(plain[k : k + 64] for k in range(0, len(plain), 64))
+    for key in (plain, lines):
+        for before in ("", "a" * 30 + "\n", "name-of-it/", "M" * 26 + "\n"):
+            for after in ("", "\nword\nword", "\n-----END PRIVATE KEY-----", "\n" + key):
+                text = before + key + after
+                starts = [len(before)] + ([text.rindex(key)] if key in after else [])
+                assert [f for f in secret_scan.scan(text) if f[0] == kind] == [(kind, s, s + len(key)) for s in starts]
+
+
 def test_random_encodings_are_not_reported():
     rng = random.Random(5)
     for _ in range(300):
