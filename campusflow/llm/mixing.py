@@ -1,12 +1,13 @@
 """Mixing sources to target weights: raking token weights to marginals, then sampling by calibrated probabilities.
 
 Documents are counted into cells (source, language, topic).  Iterative proportional fitting scales the cells'
-weights to each marginal in turn; a document's probability is its cell's weight per token, relative to the
-cell with the highest.
+weights to each marginal in turn; a document's probability is its cell's weight per token, times one factor: that
+of a wanted share of the corpus, or, without one, that at which the highest cell keeps all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -103,6 +104,69 @@ def _draw(seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _factor(raked: DataFrame, share: float) -> float:
+    """The factor at which ``share`` of all tokens is expected, with rates of 1 at most; infinite if all are kept.
+
+    Cells that reach 1 are taken at their tokens and the others scaled to the rest, until no more reach it.
+    """
+    factor, full_cells = 0.0, -1
+    while True:
+        full = F.col("rate") * factor >= 1
+        now = raked.agg(
+            F.sum(F.col("tokens").cast("double")).alias("total"),
+            F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(0.0)).alias("held"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("rest"),
+            F.count(F.when(full, 1)).alias("cells"),
+        ).first()
+        if now.cells == full_cells:
+            return factor
+        if not now.rest:
+            return math.inf
+        factor, full_cells = max(factor, (share * now.total - now.held) / now.rest), now.cells
+
+
+def _rated(cells: DataFrame, targets: Mapping[str, Target], rounds: int, share: float | None) -> DataFrame:
+    """The raked cells with ``probability``."""
+    raked = rake(cells, targets, rounds).withColumn(
+        "rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
+    )
+    raked = stored(raked)
+    if share is None:
+        raked = raked.withColumn("highest", raked.agg(F.max("rate")).scalar())
+        probability = F.when(F.col("highest") > 0, F.col("rate") / F.col("highest"))
+    else:
+        if not 0 < share <= 1:
+            raise ValueError("share must be over 0 and at most 1")
+        probability = F.when(F.col("rate") > 0, F.least(F.lit(1.0), F.col("rate") * F.lit(_factor(raked, share))))
+    return raked.withColumn("probability", probability.otherwise(F.lit(0.0)))
+
+
+def _cells(featured: DataFrame) -> DataFrame:
+    return stored(featured.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
+
+
+def mixture_cells(
+    docs: DataFrame,
+    targets: Mapping[str, Target] | None = None,
+    rounds: int = ROUNDS,
+    share: float | None = None,
+    text: str = "text",
+) -> DataFrame:
+    """One row per cell: what ``mix_sources`` with the same arguments makes of it.
+
+    ``tokens`` are the cell's, ``probability`` is that of its documents, ``expected`` its sampled tokens in
+    expectation, ``goal`` what the targets give it of all expected tokens, and ``short`` marks a cell that stays
+    below its goal although all of it is kept.
+    """
+    rated = _rated(_cells(_featured(docs, text)), TARGETS if targets is None else targets, rounds, share)
+    rated = rated.withColumn("expected", F.col("probability") * F.col("tokens"))
+    sums = rated.agg(F.sum("expected").alias("e"), F.sum("weight").alias("w"))
+    goal = F.col("weight") / sums.select("w").scalar() * sums.select("e").scalar()
+    rated = rated.withColumn("goal", F.coalesce(goal, F.lit(0.0)))
+    short = (F.col("probability") >= 1) & (F.col("expected") < F.col("goal") * (1 - 1e-9))
+    return rated.select(*DIMENSIONS, "tokens", "probability", "expected", "goal", short.alias("short"))
+
+
 def mix_sources(
     docs: DataFrame,
     targets: Mapping[str, Target] | None = None,
@@ -110,13 +174,16 @@ def mix_sources(
     seed: int = SEED,
     doc_id: str = "doc_id",
     text: str = "text",
+    share: float | None = None,
 ) -> DataFrame:
     """The documents with ``topic``, ``n_tokens``, ``probability`` and ``sampled``.
 
     ``docs`` has ``source`` and ``lang``.  Tokens are words without ASCII white space; a NULL source or language is
-    a value of its own.  Kept with their probabilities, documents have tokens in the targets' proportions in
-    expectation; the cell that needs the highest rate keeps all of its documents.  A document of a cell
-    without tokens is never sampled.  The draw depends on the id and the seed alone, so a repeated
+    a value of its own.  ``share`` is the part of all tokens to expect in the sample: one factor on the cells' rates
+    meets it, and cells whose rate would be over 1 keep all and fall short of the targets, which ``mixture_cells``
+    reports.  Without it, documents have tokens in the targets' proportions in expectation and the cell that needs
+    the highest rate keeps all of its documents, so a single tiny cell can make the sample small, whatever
+    the size of the corpus.  A document of a cell without tokens is never sampled.  The draw depends on the id and the seed alone, so a repeated
     document is sampled with its copies; without an id the text decides.  A caller's column with the name of an
     added one is replaced.
 
@@ -139,15 +206,8 @@ def mix_sources(
         *DIMENSIONS,
         "n_tokens",
     )
-    cells = stored(featured.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    raked = rake(cells, targets, rounds).withColumn(
-        "rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
-    )
-    raked = stored(raked)
-    highest = raked.agg(F.max("rate")).scalar()
-    rates = raked.withColumn("highest", highest).select(
-        *[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS],
-        F.when(F.col("highest") > 0, F.col("rate") / F.col("highest")).otherwise(F.lit(0.0)).alias("probability"),
+    rates = _rated(_cells(featured), targets, rounds, share).select(
+        *[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], "probability"
     )
     names = [F.coalesce(F.octet_length(f"cell_{d}"), F.lit(0)) for d in DIMENSIONS]
     size = rates.agg(F.sum(reduce(lambda a, b: a + b, names) + 64)).first()[0] or 0

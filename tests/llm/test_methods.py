@@ -443,3 +443,25 @@ def test_rates_join_without_a_broadcast(monkeypatch, spark):
     small = rows()
     monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
     assert rows() == small
+
+
+def test_a_tiny_cell_does_not_throttle_a_wanted_share(spark, docs_of):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(150)), "en", f"src{i % 3}", 1) for i in range(300)]
+    rows.append((300, "a few words of a new source", "xx", "rare", 1))
+    docs = docs_of(rows)
+    total = 300 * 150 + 7
+    plain = mixing.mix_sources(docs).agg(F.sum(F.col("probability") * F.col("n_tokens"))).first()[0]
+    assert plain < 0.5 * total
+    for share in (0.6, 1.0):
+        mixed = mixing.mix_sources(docs, share=share).collect()
+        assert sum(r.probability * r.n_tokens for r in mixed) == pytest.approx(share * total, rel=1e-9)
+        assert {r.sampled for r in mixed if r.probability == 1} <= {True}
+        cells = mixing.mixture_cells(docs, share=share).collect()
+        assert sum(c.expected for c in cells) == pytest.approx(share * total, rel=1e-9)
+        assert sum(c.goal for c in cells) == pytest.approx(share * total, rel=1e-9)
+        free = [c for c in cells if c.probability < 1]
+        assert len({round(c.expected / c.goal, 9) for c in free}) <= 1
+        assert {c.source for c in cells if c.short} >= ({"rare"} if share > 0.3 else set())
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, share=0.0)
