@@ -61,11 +61,44 @@ def _is_multi(lines: list[str]) -> bool:
     return sum(1 for line in lines if line and not line.isspace()) >= MIN_LINES
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(body: str) -> Iterator[tuple[int, list[str]]]:
+    """From each line that is not blank to the next such line, blank ones between them included."""
+    lines = body.split("\n")
+    last = None
+    for i, line in enumerate(lines):
+        if line and not line.isspace():
+            if last is not None:
+                yield last, lines[last : i + 1]
+            last = i
+
+
+def _kept_of_runs(body: str, gone: set[int]) -> tuple[list[str], int]:
+    """The lines outside the pairs that start at ``gone``, and how many runs of lines were cut.
+
+    A pair that overlaps its own first occurrence (a line three times in a row) stays with it.
+    """
+    lines = body.split("\n")
+    cut = [False] * len(lines)
+    before, before_place = None, None
+    for place, pair in _pairs(body):
+        own_first = before == pair and before_place not in gone
+        if place in gone and not own_first:
+            cut[place : place + len(pair)] = [True] * len(pair)
+        before, before_place = pair, place
+    kept = [line for line, out in zip(lines, cut, strict=True) if not out]
+    return kept, sum(out and not (i and cut[i - 1]) for i, out in enumerate(cut))
+
+
+def _kept_of_chunks(body: str, gone: set[int]) -> tuple[list[str], int]:
+    """The lines outside the chunks that start at ``gone``, and how many chunks were cut."""
+    return [line for place, part in _chunks(body) if place not in gone for line in part], len(gone)
+
+
+def _digests(batches: Iterator[pa.RecordBatch], parts=_chunks) -> Iterator[pa.RecordBatch]:
     for batch, texts in row_slices(batches, "body"):
         of, places, digests = [], [], []
         for i, body in enumerate(texts):
-            for place, lines in _chunks(body.as_py()):
+            for place, lines in parts(body.as_py()):
                 if _is_multi(lines):
                     of.append(i)
                     places.append(place)
@@ -82,12 +115,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _texts_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts_of_chunks(batches: Iterator[pa.RecordBatch], parts=_chunks) -> Iterator[pa.RecordBatch]:
     for batch, texts in row_slices(batches, "body"):
         of, places, chunks = [], [], []
         for i, (body, asked) in enumerate(zip(texts, batch.column("places").to_pylist(), strict=True)):
             asked = set(asked)
-            for place, lines in _chunks(body.as_py()):
+            for place, lines in parts(body.as_py()):
                 if place in asked:
                     of.append(i)
                     places.append(place)
@@ -98,24 +131,21 @@ def _texts_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(columns, ["doc", "mark", "place", "chunk"])
 
 
-def _without(text: str):
+def _without(text: str, kept_of=_kept_of_chunks):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in row_slices(batches, text):
             left, n_lines, n_chunks, n_removed = [], [], [], []
             for body, gone in zip(texts, batch.column("gone").to_pylist(), strict=True):
                 body = body.as_py()
-                n_lines.append((body or "").count("\n") + 1)
-                gone, removed = set(gone or ()), 0
+                lines, cuts, removed = (body or "").count("\n") + 1, 0, 0
                 if gone:
-                    kept = []
-                    for place, part in _chunks(body):
-                        if place in gone:
-                            removed += len(part)
-                        else:
-                            kept += part
-                    body = "\n".join(kept)
+                    kept, cuts = kept_of(body, set(gone))
+                    removed = lines - len(kept)
+                    if removed:
+                        body = "\n".join(kept)
                 left.append(body)
-                n_chunks.append(len(gone))
+                n_lines.append(lines)
+                n_chunks.append(cuts)
                 n_removed.append(removed)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(left, pa.string()), pa.array(n_lines, pa.int64())]
@@ -137,16 +167,31 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Digests of all chunks are counted, with partial sums; only texts of digests that occur more than once travel,
     and are grouped by their bytes, so a chunk that very many texts share is one row per task.
     """
+    return _removed(docs, doc_id, text, _chunks, _kept_of_chunks)
+
+
+def remove_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``remove_repeated_chunks``, but every repeated run of lines goes up to its edges.
+
+    A run has two lines or more that are not blank.  Each pair of such lines that follow each other (blank ones
+    between them included) is compared with all others by its bytes; of equal pairs the first stays, and the lines
+    of the others go.  A pair that overlaps its own first occurrence stays with it.  ``n_removed_chunks`` counts the
+    runs of lines cut.  A line that goes has an equal one in a pair that comes before it.
+    """
+    return _removed(docs, doc_id, text, _pairs, _kept_of_runs)
+
+
+def _removed(docs: DataFrame, doc_id: str, text: str, parts, kept_of) -> DataFrame:
     rows = packed(docs, doc_id, text)
     bodies = rows.select("doc", "mark", F.struct("body").alias("row"))
-    digests = bodies.mapInArrow(_digests, _CHUNKS)
+    digests = bodies.mapInArrow(lambda batches: _digests(batches, parts), _CHUNKS)
     # Stored, so that the join shuffles both sides and Spark can split a hot digest.
     often = stored(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
     met = digests.join(often, "digest", "left_semi")
     asked = stored(met.groupBy("doc", "mark").agg(F.collect_set("place").alias("places")))
 
     wanted = bodies.join(asked, same_row(bodies, asked)).select("row", bodies["doc"], bodies["mark"], "places")
-    chunks = wanted.mapInArrow(_texts_of_chunks, "doc long, mark long, place int, chunk string")
+    chunks = wanted.mapInArrow(lambda batches: _texts_of_chunks(batches, parts), "doc long, mark long, place int, chunk string")
     firsts = chunks.groupBy("chunk").agg(F.min(F.struct("doc", "mark", "place")).alias("first")).select("first.*")
     staying = firsts.groupBy("doc", "mark").agg(F.collect_set("place").alias("staying"))
     decided = asked.join(staying, same_row(asked, staying), "left").select(
@@ -160,7 +205,7 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     joined = given.join(decided, same_row(given, decided), "left").select("row", "gone")
     counts = ("n_lines", "n_removed_chunks", "n_removed_lines")
     schema = given.select("row").withColumns({"left": F.lit(None).cast("string")} | {c: F.lit(None).cast("long") for c in counts})
-    cut = joined.mapInArrow(_without(text), schema.schema)
+    cut = joined.mapInArrow(_without(text, kept_of), schema.schema)
     kept = [
         F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c)
         for c in docs.columns

@@ -57,7 +57,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.remove_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = line_dedup.remove_repeated_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = ["n_lines", "n_removed_chunks", "n_removed_lines"]
     return cut.select("doc_id", *counts, F.sha2("text", 256).alias("kept_sha256"))
 

@@ -277,6 +277,42 @@ def test_line_chunks_by_brute_force(docs_of):
     assert sum(map(len, found.values())) < 0.7 * sum(map(len, texts))
 
 
+def _without_repeated_runs(texts: dict[int, str]) -> dict[int, str]:
+    """Line runs of any length looked for in all lines before them, by plain comparison."""
+    left = {}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                run = lines[a:b]
+                if lines[a].strip() and lines[b - 1].strip() and sum(1 for x in run if x.strip()) >= 2:
+                    others = [texts[j].split("\n") for j in sorted(texts) if j < i] + [lines[:a]]
+                    if any(o[k : k + len(run)] == run for o in others for k in range(len(o))):
+                        gone |= set(range(a, b))
+        left[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return left
+
+
+def test_every_repeated_run_goes_to_its_edges(docs_of):
+    rng = random.Random(6)
+    blocks = [[f"Block {k}, line {i}." for i in range(n)] for k, n in enumerate((2, 3, 4, 6, 10))]
+    blocks[3][2] = " "
+    texts = []
+    for _ in range(16):
+        parts = [[f"own {rng.random()}"] + rng.choice(blocks) for _ in range(2)]
+        texts.append("\n".join(line for part in parts for line in [*part, f"own {rng.random()}"]))
+    texts += ["", "\n\n\n", "a\n\nb", "x\na\n\nb\ny", "a\na\na\na\na", "a\nb\nc"]
+    rows = line_dedup.remove_repeated_runs(docs_of(texts)).collect()
+    found = {r.doc_id: r.text for r in rows}
+    want = _without_repeated_runs(dict(enumerate(texts)))
+    assert found == want
+    assert sum(r.n_removed_lines for r in rows) == sum(len(t.split("\n")) for t in texts) - sum(
+        len(t.split("\n")) if t or not texts[i] else 0 for i, t in found.items()
+    )
+    assert "Block" not in "".join(t for i, t in found.items() if i > 12)
+
+
 def test_chunk_borders_resist_shifts():
     rng = random.Random(8)
     hashes = [rng.getrandbits(64) for _ in range(300)]
