@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 Turn = dict[str, str]
 Template = Callable[[list[Turn]], str]
 
-# Rendering every prefix costs the square of the turns, so beyond this many the oldest half is dropped, as
-# long as the template renders the others the same without them.
+# Rendering every prefix costs the square of the turns.  For a template that its caller declares turn-local, the
+# oldest half is dropped beyond this many, as long as the others are rendered the same without them.
 WINDOW = 64
 PROBES = ("0", "1")
 FORMATTED = (
@@ -43,12 +43,12 @@ def _shared(a: str, b: str) -> int:
 class _Conversation:
     """The rendering of one conversation so far; ``before`` counts the code points of turns let go."""
 
-    def __init__(self, template: Template, window: int) -> None:
+    def __init__(self, template: Template, window: int, turn_local: bool) -> None:
         self.template, self.window = template, window
         self.turns: list[Turn] = []
         self.output = ""
         self.before = 0
-        self.local = True
+        self.local = turn_local
 
     def add(self, role: str, text: str) -> dict:
         prefix = [*self.turns]
@@ -86,12 +86,14 @@ class _Conversation:
             self.turns, self.output = kept, new
 
 
-def format_turns(rows: Iterable[dict], template: Template, train: tuple[str, ...], window: int = WINDOW) -> Iterator[dict]:
+def format_turns(
+    rows: Iterable[dict], template: Template, train: tuple[str, ...], window: int = WINDOW, turn_local: bool = False
+) -> Iterator[dict]:
     """The spans of each turn, from rows in the order of conversation and turn."""
     current, place, now = None, 0, None
     for row in rows:
         if now is None or row["conv_id"] != current:
-            current, place, now = row["conv_id"], 0, _Conversation(template, window)
+            current, place, now = row["conv_id"], 0, _Conversation(template, window, turn_local)
         role, text = row["role"] or "", row["text"] or ""
         span = now.add(role, text)
         given = {"conv_id": row["conv_id"], "turn": row["turn"], "role": role, "text": text}
@@ -116,7 +118,11 @@ def in_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 512) -> Iter
 
 
 def format_conversations(
-    conversations: DataFrame, template: Template, train: tuple[str, ...] = ("assistant",), window: int = WINDOW
+    conversations: DataFrame,
+    template: Template,
+    train: tuple[str, ...] = ("assistant",),
+    window: int = WINDOW,
+    turn_local: bool = False,
 ) -> DataFrame:
     """One row per turn: its span and text span in the conversation's output, its piece of output, its loss flag.
 
@@ -127,8 +133,9 @@ def format_conversations(
     ``text_end`` are NULL if the template changes the text so that its frame cannot be told.  The rows of a
     conversation stay together and in order within a partition.
 
-    A task streams its turns and holds at most ``window`` of a conversation, whose formatting is sequential by
-    nature.  Only a template whose turns depend on much earlier ones makes it hold the conversation.
+    Every prefix is rendered whole, which costs the square of a conversation's turns, and a task holds one conversation.
+    ``turn_local`` declares that the template renders a turn the same whatever the number of the others; a task then
+    streams its turns and holds at most ``window`` of them, as long as a comparison bears the declaration out.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -141,7 +148,7 @@ def format_conversations(
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = (row for batch in batches for row in batch.to_pylist())
-        return in_batches(format_turns(each, template, train, window), schema)
+        return in_batches(format_turns(each, template, train, window, turn_local), schema)
 
     return ordered.mapInArrow(formatted, FORMATTED)
 

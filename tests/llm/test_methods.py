@@ -456,6 +456,37 @@ def test_a_template_that_rewrites_history_is_reported():
     assert [s["rewrites"] for s in spans] == [False, True, True]
 
 
+@pytest.mark.parametrize("kind", ["last only", "shortened"])
+def test_templates_that_depend_on_the_number_of_turns(kind):
+    def template(turns):
+        if kind == "last only":
+            return "".join(f"[{t['text']}]" for t in turns[-80:])
+        return "".join(f"[{t['text'][:2] if len(turns) > 100 else t['text']}]" for t in turns)
+
+    given = [("user", f"text {k * k}") for k in range(130)]
+    turns = [{"role": r, "text": t} for r, t in given]
+    spans = _format(given, template)
+    assert [s["rewrites"] for s in spans] == [
+        not template(turns[: k + 1]).startswith(template(turns[:k])) for k in range(130)
+    ]
+    assert any(s["rewrites"] for s in spans)
+    assert [s["end"] for s in spans] == [len(template(turns[: k + 1])) for k in range(130)]
+    assert spans == _format(given, template, window=1000)
+
+
+def test_declared_templates_use_the_window():
+    seen = []
+
+    def template(turns):
+        seen.append(len(turns))
+        return chat_format.marked_template(turns)
+
+    rows = [{"conv_id": 1, "turn": k, "role": "user", "text": f"text {k}"} for k in range(200)]
+    windowed = list(chat_format.format_turns(rows, template, ("assistant",), 6, turn_local=True))
+    assert max(seen) <= 7
+    assert windowed == list(chat_format.format_turns(rows, template, ("assistant",), 6))
+
+
 # Mixture.
 
 
