@@ -236,7 +236,8 @@ def find_contamination(
     added one is replaced.  Texts are streamed where they lie, without a shuffle; a task holds about a megabyte
     of text (or one text) and one automaton.
     """
-    pieces = stored(_item_pieces(benchmark, item_id, item_text, window))
+    # Equal rows would all be dealt to one block.
+    pieces = stored(_item_pieces(benchmark, item_id, item_text, window).distinct())
     total = pieces.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total / block_words))
     chosen = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))

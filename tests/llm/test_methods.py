@@ -246,6 +246,22 @@ def test_long_items_go_in_pieces(monkeypatch, spark, docs_of):
     assert all(r.n_hit == 10 and r["items"] == [1] for r in decontamination.find_contamination(docs, items).collect())
 
 
+def test_repeated_items_do_not_fill_a_block(monkeypatch, spark, docs_of):
+    built = []
+    build = decontamination.Automaton.__init__
+
+    def noted(self, items, window):
+        built.append(sum(len(w) for _, w in items))
+        build(self, items, window)
+
+    monkeypatch.setattr(decontamination.Automaton, "__init__", noted)
+    item = " ".join(f"q{i}" for i in range(20))
+    items = spark.createDataFrame([(1, item)] * 40 + [(None, item)] * 3, "item_id long, text string")
+    found = decontamination.find_contamination(docs_of([item]), items, block_words=50).collect()
+    assert [(r.n_hit, r["items"]) for r in found] == [(20, [1])]
+    assert built == [40]
+
+
 # Line chunks.
 
 
