@@ -369,6 +369,7 @@ def _rule_oracle(rule: Rule) -> str:
 def _add_damaged(name: str, query: Query, text: str) -> None:
     """A query over tables in which every rule is broken."""
     QUERIES[name] = lambda t: query(t.damaged())
+    TEXTS[name] = text
     ORACLES[name] = oracle(text, damaged=True)
 
 

@@ -126,7 +126,9 @@ def test_random_records(records, spark, name):
     tables, connection = records
 
     class Records(dict):
-        pass
+        def damaged(self):
+            """These records break the rules already."""
+            return self
 
     given = Records(tables)
     given.spark = spark
