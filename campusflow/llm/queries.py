@@ -9,7 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import chat_format, decontamination, jaccard_join, license_scan, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, substring_dedup
+from campusflow.llm import (
+    chat_format,
+    clustering,
+    decontamination,
+    divergence,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +137,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.drop("embedding", "scanned")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -134,6 +163,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
+    "op11_toxicity": op11_toxicity,
+    "op12_clustering": op12_clustering,
+    "op13_divergence": op13_divergence,
 }
 
 SUBSTRING_SQL = """
@@ -200,4 +232,6 @@ ORACLES: dict[str, str] = {
     "op9_chat_format": CHAT_SQL,
     "op10_mixing": mixing.mix_sources_sql(),
     "op1_quality_rules": quality_rules.score_quality_sql(),
+    "op12_clustering": clustering.cluster_vectors_sql(),
+    "op13_divergence": divergence.audit_divergence_sql(),
 }
