@@ -203,7 +203,7 @@ _PLACES = pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("place", pa.
 
 
 def _places(terms: frozenset[str]):
-    """The different neighbourhoods (word before, word after) that each of the terms has, by label."""
+    """The different places of each of the terms, by label: the words before and after a word, the words of a beginning."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +214,7 @@ def _places(terms: frozenset[str]):
                 for k in range(1, len(words) - 1):
                     for t in _terms_of(words[k]):
                         if t in terms:
-                            found.add((t, toxic, f"{words[k - 1]} {words[k + 1]}"))
+                            found.add((t, toxic, words[k] if t[-1] == "*" else f"{words[k - 1]} {words[k + 1]}"))
             term, toxic, place = zip(*found, strict=True) if found else ((), (), ())
             yield _batch({"term": list(term), "toxic": list(toxic), "place": list(place)}, _PLACES)
 
@@ -267,9 +267,10 @@ def _sample(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str, t
 def learn(sample: DataFrame, weight: float) -> Grammar:
     """The grammar that the labelled documents (``body``, ``toxic``) support; a clean one counts ``weight`` times.
 
-    A term's strength is the share of its places that lie in toxic documents.  A place is the word before and
-    after it, counted once for each label, so copies of a document say nothing new; terms that only one group of
-    near copies has stay weak.  Terms are kept whose strength is high beyond chance.  Then the clauses they match
+    A term's strength is the share of its places that lie in toxic documents.  A word's place is the word before and
+    after it, a beginning's place is the word that it begins, each counted once for each label.  So copies of a
+    document say nothing new, terms that only one group of near copies has stay weak, and a beginning needs many
+    words of its own.  Terms are kept whose strength is high beyond chance.  Then the clauses they match
     are counted by state, and the states' weights follow from the counts and the prior.
     """
     start = Grammar.listed()
