@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +23,15 @@ from campusflow.llm.stored import shared_folder
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
-# Documents are counted in blocks of about this many entries (document, chunk), which bounds a worker's memory.
-BLOCK_ENTRIES = 2_000_000
+# Documents are counted in blocks of about this many bytes of text, which bounds a worker's memory.
+BLOCK_BYTES = 32 << 20
 # Terms times sources compared in one task.
 CELLS = 2_000_000
 
-# A block's row is a chunk with the documents that have it, or (without chunk) a group with its documents.
-_COUNTED = "block long, chunk string, docs array<int>, counts array<int>, lang string, source string"
-_ARROW = pa.schema(
-    [
-        ("block", pa.int64()),
-        ("chunk", pa.string()),
-        ("docs", pa.list_(pa.int32())),
-        ("counts", pa.list_(pa.int32())),
-        ("lang", pa.string()),
-        ("source", pa.string()),
-    ]
-)
+# A block's row is a chunk with (document, count) entries, or (without chunk) a group with its documents; the
+# entries are packed four-byte numbers, which Spark passes on as they are.
+_COUNTED = "block long, chunk string, entries binary, lang string, source string"
+_ARROW = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("entries", pa.binary()), ("lang", pa.string()), ("source", pa.string())])
 _TERMS = "lang string, source string, term string, n_docs long, n long"
 
 
@@ -49,69 +40,85 @@ def _texts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
     return docs.select(*[F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("")).alias(n) for n, c in names.items()])
 
 
+def _packed(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: the numbers up to each end."""
+    offsets = np.concatenate(([0], ends * 4)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(numbers.astype("<i4"))])
+
+
+def _unpacked(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All the numbers, and how many each value has."""
+    values = pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], pa.binary())
+    sizes = pc.binary_length(values).to_numpy(zero_copy_only=False)
+    start = np.frombuffer(values.buffers()[1], np.int32)[values.offset] if len(values) else 0
+    data = values.buffers()[2]
+    numbers = np.frombuffer(data, "<i4", int(sizes.sum()) // 4, int(start)) if len(values) and data else np.empty(0, "<i4")
+    return numbers.astype(np.int64), sizes // 4
+
+
+def _block_rows(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+    n = len(table)
+    # Split at ASCII white space only, none of which is part of a term.
+    words = pc.ascii_split_whitespace(table.column("text").combine_chunks().cast(pa.large_string()))
+    doc = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    chunks = words.flatten().dictionary_encode()
+    key, counts = np.unique(chunks.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
+    ends = np.searchsorted(key, (np.arange(len(chunks.dictionary)) + 1) * n)
+    entries = _packed(np.stack([key % n, counts], 1).ravel(), ends * 2)
+    columns = [chunks.dictionary.cast(pa.string()), entries, pa.nulls(len(entries), pa.string()), pa.nulls(len(entries), pa.string())]
+    yield from _rows_of(block, columns)
+
+    groups = table.select(["lang", "source"]).append_column("doc", pa.array(np.arange(n, dtype=np.int32)))
+    found = groups.group_by(["lang", "source"], use_threads=False).aggregate([("doc", "list")])
+    docs = found.column("doc_list").combine_chunks()
+    entries = _packed(docs.flatten().to_numpy(), np.cumsum(pc.list_value_length(docs).to_numpy()))
+    yield from _rows_of(block, [pa.nulls(len(found), pa.string()), entries, *[found.column(c).combine_chunks() for c in ("lang", "source")]])
+
+
+def _rows_of(block: int, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), block)), *columns], schema=_ARROW)
+    yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
+
+
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block of documents: its chunks with the numbers of the documents and the counts there, and its groups."""
-    block = TaskContext.get().partitionId() << 32
-    chunks: dict[bytes, tuple[list[int], list[int]]] = {}
-    groups: dict[tuple[str, str], list[int]] = {}
-    entries = docs = 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        named = [
-            ([c.decode() for c in chunks], [d for d, _ in chunks.values()], [n for _, n in chunks.values()], [None] * len(chunks), [None] * len(chunks)),
-            ([None] * len(groups), list(groups.values()), [None] * len(groups), [g[0] for g in groups], [g[1] for g in groups]),
-        ]
-        for columns in named:
-            values = [[block] * len(columns[0]), *columns]
-            batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _ARROW.types, strict=True)], schema=_ARROW)
-            yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
-
+    block, held, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
-        texts = batch.column("text")
-        of = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
-        for i, group in enumerate(of):
-            # Bytes are split at ASCII white space only, none of which is part of a term.
-            counts = Counter(texts[i].as_py().encode().split())
-            groups.setdefault(group, []).append(docs)
-            for chunk, n in counts.items():
-                entry = chunks.get(chunk)
-                if entry is None:
-                    chunks[chunk] = ([docs], [n])
-                else:
-                    entry[0].append(docs)
-                    entry[1].append(n)
-            entries += len(counts)
-            docs += 1
-            if entries >= BLOCK_ENTRIES:
-                yield from rows()
-                chunks, groups, entries, docs, block = {}, {}, 0, 0, block + 1
-    yield from rows()
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES - size, "right")))
+            held.append(batch.slice(start, stop - start))
+            size += int(ends[stop - 1]) - before
+            start = stop
+            if size >= BLOCK_BYTES or start < batch.num_rows:
+                yield from _block_rows(block, pa.Table.from_batches(held))
+                held, size, block = [], 0, block + 1
+    if held:
+        yield from _block_rows(block, pa.Table.from_batches(held))
 
 
 def _count_terms(block: pa.Table) -> pa.Table:
     """One block's terms per group: in how many documents, and how often."""
     is_group = pc.is_null(block.column("term"))
-    headers = block.filter(is_group)
-    named = block.filter(pc.invert(is_group))
-    names = list(zip(headers.column("lang").to_pylist(), headers.column("source").to_pylist(), strict=True))
-    members = headers.column("docs").to_pylist()
-    group = np.zeros(sum(map(len, members)), np.int64)
-    for g, docs in enumerate(members):
-        group[docs] = g
+    headers, named = block.filter(is_group), block.filter(pc.invert(is_group))
+    members, sizes = _unpacked(headers.column("entries"))
+    group = np.zeros(len(members), np.int64)
+    group[members] = np.repeat(np.arange(len(sizes)), sizes)
     terms = named.column("term").combine_chunks().dictionary_encode()
-    docs = named.column("docs").combine_chunks()
-    code = np.repeat(terms.indices.to_numpy().astype(np.int64), docs.value_lengths().to_numpy())
-    doc = docs.flatten().to_numpy().astype(np.int64)
-    cell = code * len(names) + group[doc]
+    numbers, sizes = _unpacked(named.column("entries"))
+    doc, count = numbers[::2], numbers[1::2]
+    code = np.repeat(terms.indices.to_numpy().astype(np.int64), sizes // 2)
+    n_groups, n = max(len(headers), 1), max(len(group), 1)
     # A document may have a term by several chunks.
-    once = np.unique(code * len(group) + doc)
-    cells, n_docs = np.unique(once // max(len(group), 1) * len(names) + group[once % max(len(group), 1)], return_counts=True)
-    n = np.bincount(np.searchsorted(cells, cell), named.column("counts").combine_chunks().flatten().to_numpy(), len(cells))
-    found = terms.dictionary.take(pa.array(cells // max(len(names), 1)))
-    at = cells % max(len(names), 1)
-    lang, source = (pa.array([name[k] for name in names], pa.string()).take(pa.array(at)) for k in (0, 1))
-    columns = {"lang": lang, "source": source, "term": found, "n_docs": pa.array(n_docs.astype(np.int64)), "n": pa.array(n.astype(np.int64))}
-    return pa.table(columns)
+    once = np.unique(code * n + doc)
+    cells, n_docs = np.unique(once // n * n_groups + group[once % n], return_counts=True)
+    occurrences = np.bincount(np.searchsorted(cells, code * n_groups + group[doc]), count, len(cells)).astype(np.int64)
+    at = pa.array(cells % n_groups)
+    found = {c: headers.column(c).combine_chunks().take(at) for c in ("lang", "source")}
+    found |= {"term": terms.dictionary.take(pa.array(cells // n_groups)), "n_docs": pa.array(n_docs), "n": pa.array(occurrences)}
+    return pa.table(found)
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
@@ -131,11 +138,14 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     counted = spark.read.schema(_COUNTED).parquet(folder)
     cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
     dictionary = counted.filter("chunk IS NOT NULL").select("chunk").distinct().select("chunk", cut.alias("terms"))
-    joined = counted.join(dictionary.filter(F.size("terms") > 0), "chunk")
-    by_term = joined.select("block", F.explode("terms").alias("term"), "docs", "counts", "lang", "source")
-    headers = counted.filter("chunk IS NULL").withColumnRenamed("chunk", "term")
+    # A chunk is one row of the dictionary, so a hash table of a partition of it does not depend on hot chunks.
+    joined = counted.join(dictionary.filter(F.size("terms") > 0).hint("shuffle_hash"), "chunk")
+    by_term = joined.select("block", F.explode("terms").alias("term"), "entries", "lang", "source")
+    headers = counted.filter("chunk IS NULL").withColumnRenamed("chunk", "term").select(*by_term.columns)
     in_block = by_term.unionByName(headers).groupBy("block").applyInArrow(_count_terms, _TERMS)
-    return in_block.groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    # Dealt by language and term, which serves sums over a language as well.
+    dealt = in_block.repartition("lang", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -192,8 +202,9 @@ def audit_divergence(
     groups = _texts(docs, lang, source, text).select("lang", "source").distinct()
     counts = term_counts(docs, lang, source, text)
     folder = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("lang_n"))
-    kept = counts.drop("n_docs").join(of_lang.filter(F.col("n_docs") >= min_docs).drop("n_docs"), ["lang", "term"])
+    same = Window.partitionBy("lang", "term")
+    counts = counts.withColumns({"docs_of_lang": F.sum("n_docs").over(same), "lang_n": F.sum("n").over(same)})
+    kept = counts.filter(F.col("docs_of_lang") >= min_docs).select("lang", "term", "source", "n", "lang_n")
     kept.write.parquet(folder)
     kept = spark.read.schema("lang string, term string, source string, n long, lang_n long").parquet(folder)
 
