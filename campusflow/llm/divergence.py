@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,13 +26,16 @@ SCALE = 1_000_000_000
 # Documents are counted in blocks of about this many bytes of text, which bounds a worker's memory.
 BLOCK_BYTES = 32 << 20
 # Terms times sources compared in one task.
-CELLS = 2_000_000
+CELLS = 250_000
 
-# A block's row is a chunk with (document, count) entries, or (without chunk) a group with its documents; the
-# entries are packed four-byte numbers, which Spark passes on as they are.
-_COUNTED = "block long, chunk string, entries binary, lang string, source string"
-_ARROW = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("entries", pa.binary()), ("lang", pa.string()), ("source", pa.string())])
-_TERMS = "lang string, source string, term string, n_docs long, n long"
+# A block's row is a chunk with its entries, or (without chunk) a group with its documents.  Both are packed
+# four-byte numbers, which Spark passes on as they are; an entry is a document's number and a count.
+_COUNTED = "block long, chunk string, entries binary, of int"
+_ARROW = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("entries", pa.binary()), ("of", pa.int32())])
+# An entry holds a count up to this; a larger one takes several entries.
+MOST = 63
+BLOCK_DOCS = 1 << 24
+_TERMS = "lang int, of int, term string, n_docs long, n long"
 
 
 def _texts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
@@ -56,23 +59,28 @@ def _unpacked(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return numbers.astype(np.int64), sizes // 4
 
 
-def _block_rows(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+def _block_rows(block: int, table: pa.Table, number: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
     n = len(table)
     # Split at ASCII white space only, none of which is part of a term.
     words = pc.ascii_split_whitespace(table.column("text").combine_chunks().cast(pa.large_string()))
     doc = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False))
     chunks = words.flatten().dictionary_encode()
     key, counts = np.unique(chunks.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
+    if counts.max(initial=0) > MOST:
+        copies = (counts - 1) // MOST + 1
+        last = np.cumsum(copies) - 1
+        rest = counts - (copies - 1) * MOST
+        key, counts = np.repeat(key, copies), np.full(copies.sum(), MOST)
+        counts[last] = rest
     ends = np.searchsorted(key, (np.arange(len(chunks.dictionary)) + 1) * n)
-    entries = _packed(np.stack([key % n, counts], 1).ravel(), ends * 2)
-    columns = [chunks.dictionary.cast(pa.string()), entries, pa.nulls(len(entries), pa.string()), pa.nulls(len(entries), pa.string())]
-    yield from _rows_of(block, columns)
+    entries = _packed(key % n * (MOST + 1) + counts, ends)
+    yield from _rows_of(block, [chunks.dictionary.cast(pa.string()), entries, pa.nulls(len(entries), pa.int32())])
 
-    groups = table.select(["lang", "source"]).append_column("doc", pa.array(np.arange(n, dtype=np.int32)))
-    found = groups.group_by(["lang", "source"], use_threads=False).aggregate([("doc", "list")])
-    docs = found.column("doc_list").combine_chunks()
-    entries = _packed(docs.flatten().to_numpy(), np.cumsum(pc.list_value_length(docs).to_numpy()))
-    yield from _rows_of(block, [pa.nulls(len(found), pa.string()), entries, *[found.column(c).combine_chunks() for c in ("lang", "source")]])
+    pairs = zip(table.column("lang").to_pylist(), table.column("source").to_pylist(), strict=True)
+    of = np.array([number[pair] for pair in pairs])
+    found, sizes = np.unique(of, return_counts=True)
+    entries = _packed(np.argsort(of, kind="stable"), np.cumsum(sizes))
+    yield from _rows_of(block, [pa.nulls(len(found), pa.string()), entries, pa.array(found.astype(np.int32))])
 
 
 def _rows_of(block: int, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -80,45 +88,84 @@ def _rows_of(block: int, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
     yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
 
 
-def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_chunks(number: dict[tuple[str, str], int]):
     """For each block of documents: its chunks with the numbers of the documents and the counts there, and its groups."""
-    block, held, size = TaskContext.get().partitionId() << 32, [], 0
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            before = int(ends[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES - size, "right")))
-            held.append(batch.slice(start, stop - start))
-            size += int(ends[stop - 1]) - before
-            start = stop
-            if size >= BLOCK_BYTES or start < batch.num_rows:
-                yield from _block_rows(block, pa.Table.from_batches(held))
-                held, size, block = [], 0, block + 1
-    if held:
-        yield from _block_rows(block, pa.Table.from_batches(held))
-
-
-def _count_terms(block: pa.Table) -> pa.Table:
-    """One block's terms per group: in how many documents, and how often."""
-    is_group = pc.is_null(block.column("term"))
-    headers, named = block.filter(is_group), block.filter(pc.invert(is_group))
-    members, sizes = _unpacked(headers.column("entries"))
-    group = np.zeros(len(members), np.int64)
-    group[members] = np.repeat(np.arange(len(sizes)), sizes)
-    terms = named.column("term").combine_chunks().dictionary_encode()
-    numbers, sizes = _unpacked(named.column("entries"))
-    doc, count = numbers[::2], numbers[1::2]
-    code = np.repeat(terms.indices.to_numpy().astype(np.int64), sizes // 2)
-    n_groups, n = max(len(headers), 1), max(len(group), 1)
-    # A document may have a term by several chunks.
-    once = np.unique(code * n + doc)
-    cells, n_docs = np.unique(once // n * n_groups + group[once % n], return_counts=True)
-    occurrences = np.bincount(np.searchsorted(cells, code * n_groups + group[doc]), count, len(cells)).astype(np.int64)
-    at = pa.array(cells % n_groups)
-    found = {c: headers.column(c).combine_chunks().take(at) for c in ("lang", "source")}
-    found |= {"term": terms.dictionary.take(pa.array(cells // n_groups)), "n_docs": pa.array(n_docs), "n": pa.array(occurrences)}
-    return pa.table(found)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size, docs = TaskContext.get().partitionId() << 32, [], 0, 0
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES - size, "right")))
+                held.append(batch.slice(start, stop - start))
+                size, docs = size + int(ends[stop - 1]) - before, docs + stop - start
+                start = stop
+                if size >= BLOCK_BYTES or start < batch.num_rows or docs >= BLOCK_DOCS:
+                    yield from _block_rows(block, pa.Table.from_batches(held), number)
+                    block, held, size, docs = block + 1, [], 0, 0
+        if held:
+            yield from _block_rows(block, pa.Table.from_batches(held), number)
+
+    return count
+
+
+def _count_terms(langs: np.ndarray):
+    """One block's terms per group: in how many documents, and how often.  ``langs`` has each group's language."""
+
+    def count(block: pa.Table) -> pa.Table:
+        is_group = pc.is_null(block.column("term"))
+        headers, named = block.filter(is_group), block.filter(pc.invert(is_group))
+        members, sizes = _unpacked(headers.column("entries"))
+        groups = headers.column("of").to_numpy().astype(np.int64)
+        group = np.zeros(len(members), np.int64)
+        group[members] = np.repeat(np.arange(len(sizes)), sizes)
+        terms = named.column("term").combine_chunks().dictionary_encode()
+        entries, sizes = _unpacked(named.column("entries"))
+        doc, times = entries // (MOST + 1), entries % (MOST + 1)
+        code = np.repeat(terms.indices.to_numpy().astype(np.int64), sizes)
+        n_groups, n = max(len(headers), 1), max(len(group), 1)
+        # A document may have a term by several chunks.
+        once = np.unique(code * n + doc)
+        cells, n_docs = np.unique(once // n * n_groups + group[once % n], return_counts=True)
+        occurrences = np.bincount(np.searchsorted(cells, code * n_groups + group[doc]), times, len(cells)).astype(np.int64)
+        of = groups[cells % n_groups] if len(cells) else np.empty(0, np.int64)
+        found = {"lang": pa.array(langs[of].astype(np.int32)), "of": pa.array(of.astype(np.int32))}
+        found |= {"term": terms.dictionary.take(pa.array(cells // n_groups)), "n_docs": pa.array(n_docs), "n": pa.array(occurrences)}
+        return pa.table(found)
+
+    return count
+
+
+def _numbered_counts(texts: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
+    """``lang`` and ``of`` (numbers of the language and the group), ``term``, ``n_docs``, ``n``; dealt by term and language."""
+    spark = texts.sparkSession
+    folder = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    languages = {name: i for i, name in enumerate(sorted({lang for lang, _ in groups}))}
+    langs = np.array([languages[lang] for lang, _ in groups], np.int64)
+    texts.mapInArrow(_count_chunks({g: i for i, g in enumerate(groups)}), _COUNTED).write.parquet(folder)
+    counted = spark.read.schema(_COUNTED).parquet(folder)
+    # Both sides of the join read this one shuffle: the dictionary has the chunks with the blocks they are in.
+    dealt = counted.filter("chunk IS NOT NULL").select("block", "chunk", "entries").repartition("chunk")
+    cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
+    chunks = dealt.groupBy("chunk").agg(F.count("block").alias("blocks"), F.max(F.length("entries")).alias("longest"))
+    dictionary = chunks.select("chunk", cut.alias("terms"), "blocks", "longest").filter("size(terms) > 0 AND blocks > 0 AND longest > 0")
+    # A chunk is one row of the dictionary, so a hash table of a partition of it does not depend on hot chunks.
+    joined = dealt.join(dictionary.hint("shuffle_hash"), "chunk")
+    by_term = joined.select("block", F.explode("terms").alias("term"), "entries", F.lit(None).cast("int").alias("of"))
+    headers = counted.filter("chunk IS NULL").select("block", F.lit(None).cast("string").alias("term"), "entries", "of")
+    in_block = by_term.unionByName(headers).groupBy("block").applyInArrow(_count_terms(langs), _TERMS)
+    # Dealt by term and language, which serves sums over a language as well.
+    return in_block.repartition("term", "lang").groupBy("lang", "of", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+
+
+def _groups(texts: DataFrame) -> list[tuple[str, str]]:
+    return sorted((r.lang, r.source) for r in texts.select("lang", "source").distinct().collect())
+
+
+def _named(spark: SparkSession, groups: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(i, *g) for i, g in enumerate(groups)], "of int, lang string, source string")
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
@@ -130,22 +177,12 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     The counted chunks are written to the shared folder once: what is cut into terms and what they are joined to
     then agree on the blocks, also when an executor is lost.  A block's documents are numbered, so distinct
     documents are counted inside a block and summed up: a chunk or term that every document has meets in one
-    task as one row per block, not as one row per document.
+    task as one row per block, not as one row per document.  The list of groups comes to the driver.
     """
-    spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
-    _texts(docs, lang, source, text).mapInArrow(_count_chunks, _COUNTED).write.parquet(folder)
-    counted = spark.read.schema(_COUNTED).parquet(folder)
-    cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    dictionary = counted.filter("chunk IS NOT NULL").select("chunk").distinct().select("chunk", cut.alias("terms"))
-    # A chunk is one row of the dictionary, so a hash table of a partition of it does not depend on hot chunks.
-    joined = counted.join(dictionary.filter(F.size("terms") > 0).hint("shuffle_hash"), "chunk")
-    by_term = joined.select("block", F.explode("terms").alias("term"), "entries", "lang", "source")
-    headers = counted.filter("chunk IS NULL").withColumnRenamed("chunk", "term").select(*by_term.columns)
-    in_block = by_term.unionByName(headers).groupBy("block").applyInArrow(_count_terms, _TERMS)
-    # Dealt by language and term, which serves sums over a language as well.
-    dealt = in_block.repartition("lang", "term")
-    return dealt.groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    texts = _texts(docs, lang, source, text)
+    groups = _groups(texts)
+    named = F.broadcast(_named(docs.sparkSession, groups))  # the list that the driver holds
+    return _numbered_counts(texts, groups).drop("lang").join(named, "of").select("lang", "source", "term", "n_docs", "n")
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -157,27 +194,20 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _pair_sums(sources: dict[str, list[tuple[str, int]]]):
-    """Per language and shard of its terms: the summed gaps of every ordered pair of sources.
+def _pair_sums(absent: np.ndarray, langs: np.ndarray):
+    """For one shard of a language's terms: the summed gaps of every ordered pair of the language's groups.
 
-    ``sources`` has each language's sources and the share of a term they do not have.
+    ``absent`` has each group's share of a term it does not have.
     """
+
     def sums(key: tuple, table: pa.Table) -> pa.Table:
-        lang = key[0].as_py()
-        names = [s for s, _ in sources[lang]]
-        number = {s: i for i, s in enumerate(names)}
+        groups = np.flatnonzero(langs == key[0].as_py())
         terms = table.column("term").combine_chunks().dictionary_encode()
-        shares = np.repeat(np.array([[p] for _, p in sources[lang]], np.int64), len(terms.dictionary), axis=1)
-        of = np.array([number[s] for s in table.column("source").to_pylist()], np.int64)
-        shares[of, terms.indices.to_numpy()] = table.column("p").to_numpy()
-        out: dict[str, list] = {"lang": [], "source": [], "item": [], "value": []}
-        for i, name in enumerate(names):
-            total = ((shares[i] - shares) ** 2 // shares).sum(1)
-            for j, other in enumerate(names):
-                if i != j:
-                    for column, value in zip(out, (lang, name, other, int(total[j])), strict=True):
-                        out[column].append(value)
-        return pa.table(out, pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())]))
+        shares = np.repeat(absent[groups][:, None], len(terms.dictionary), axis=1)
+        shares[np.searchsorted(groups, table.column("of").to_numpy()), terms.indices.to_numpy()] = table.column("p").to_numpy()
+        values = np.concatenate([((share - shares) ** 2 // shares).sum(1) for share in shares])
+        pairs = {"of": np.repeat(groups, len(groups)), "other": np.tile(groups, len(groups)), "value": values}
+        return pa.table({k: pa.array(v.astype(np.int64)) for k, v in pairs.items()})
 
     return sums
 
@@ -195,52 +225,52 @@ def audit_divergence(
     all.  Ranks go by value, then by the item's bytes.
 
     NULL texts, languages and sources are empty ones; repeated rows count; other columns are ignored; an empty table
-    gives an empty result.  The lists of sources and languages come to the driver: the result has one row for every
+    gives an empty result.  The list of sources and languages comes to the driver: the result has one row for every
     two of them.  Terms are dealt to shards by hash, so that a task compares at most about ``CELLS`` shares.
     """
     spark = docs.sparkSession
-    groups = _texts(docs, lang, source, text).select("lang", "source").distinct()
-    counts = term_counts(docs, lang, source, text)
+    texts = _texts(docs, lang, source, text)
+    groups = _groups(texts)
+    counts = _numbered_counts(texts, groups)
     folder = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
-    same = Window.partitionBy("lang", "term")
+    same = Window.partitionBy("term", "lang")
     counts = counts.withColumns({"docs_of_lang": F.sum("n_docs").over(same), "lang_n": F.sum("n").over(same)})
-    kept = counts.filter(F.col("docs_of_lang") >= min_docs).select("lang", "term", "source", "n", "lang_n")
-    kept.write.parquet(folder)
-    kept = spark.read.schema("lang string, term string, source string, n long, lang_n long").parquet(folder)
-
-    totals = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
-    vocabulary = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
-    vocabulary = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
-    totals = totals.join(vocabulary, "lang", "left").na.fill(0)
-    facts = totals.collect()
-    totals = spark.createDataFrame(facts, totals.schema)  # one row a source and language
-
-    sources: dict[str, list[tuple[str, int]]] = {}
-    shards: dict[str, int] = {}
-    for r in sorted(facts, key=lambda r: (r.lang, r.source)):
-        share = 1 + SCALE // (r.total + r.terms) if r.terms else 1
-        sources.setdefault(r.lang, []).append((r.source, share))
-        shards[r.lang] = r.terms
-    shards = {k: max(1, math.ceil(v * len(sources[k]) / CELLS)) for k, v in shards.items()}
-    dealt = spark.createDataFrame(list(shards.items()), "lang string, shards int")
-
-    given = kept.join(totals, ["lang", "source"])
+    counts.filter(F.col("docs_of_lang") >= min_docs).select("lang", "term", "of", "n", "lang_n").write.parquet(folder)
+    kept = spark.read.schema("lang int, term string, of int, n long, lang_n long").parquet(folder)
+
+    languages = sorted({name for name, _ in groups})
+    langs = np.array([languages.index(name) for name, _ in groups], np.int64)
+    total = {r.of: r.n for r in kept.groupBy("of").agg(F.sum("n").alias("n")).collect()}
+    once = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang")
+    vocabulary = {r.lang: (r.terms, r.n) for r in once.agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("n")).collect()}
+    facts, absent = [], np.ones(len(groups), np.int64)
+    for i, (of_lang, _) in enumerate(groups):
+        terms, lang_total = vocabulary.get(int(langs[i]), (0, 0))
+        shards = max(1, math.ceil(terms * int((langs == langs[i]).sum()) / CELLS))
+        facts.append((i, of_lang, groups[i][1], total.get(i, 0), terms, lang_total, shards))
+        if terms:
+            absent[i] = 1 + SCALE // (total.get(i, 0) + terms)
+    # One row a group: the list that the driver holds already.
+    facts = spark.createDataFrame(facts, "of int, lang string, source string, total long, terms long, lang_total long, shards int")
     p, q = _share(F.col("n"), F.col("total"), F.col("terms")), _share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
-    shares = given.select("lang", "source", "term", p.alias("p"), q.alias("q"))
-
     shard = F.pmod(F.xxhash64("term"), F.col("shards")).alias("shard")
-    sharded = shares.join(dealt, "lang").select("lang", shard, "source", "term", "p")
-    summed = sharded.groupBy("lang", "shard").applyInArrow(_pair_sums(sources), "lang string, source string, item string, value long")
-    summed = summed.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    others = groups.withColumnRenamed("source", "item").join(groups, "lang").filter("source <> item")
-    pairs = others.join(summed, ["lang", "source", "item"], "left").select(
-        "lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value")
-    )
-    above = shares.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
-
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = F.row_number().over(order).alias("rank")
-    return pairs.select("*", ranked).unionByName(above.select("*", ranked).filter(F.col("rank") <= top_terms))
+    numbers = facts.select("of", "total", "terms", "lang_total", "shards")
+    shares = kept.join(F.broadcast(numbers), "of").select("lang", shard, "of", "term", p.alias("p"), q.alias("q"))
+
+    summed = shares.select("lang", "shard", "of", "term", "p").groupBy("lang", "shard")
+    summed = summed.applyInArrow(_pair_sums(absent, langs), "of long, other long, value long")
+    summed = summed.groupBy("of", "other").agg(F.sum("value").alias("value"))
+    one = facts.select("of", "lang", "source")
+    other = one.select(F.col("of").alias("other"), "lang", F.col("source").alias("item"))
+    pairs = one.join(other, "lang").filter("of <> other").join(summed, ["of", "other"], "left")
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+
+    by_value = [F.desc("value"), "item"]
+    above = shares.filter("p > q").select("of", F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
+    ranked = above.withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy(*by_value))).filter(F.col("rank") <= top_terms)
+    terms = ranked.join(F.broadcast(one), "of").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    order = Window.partitionBy("lang", "source").orderBy(*by_value)
+    return pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms)
 
 
 def audit_divergence_sql(documents: str = "documents", min_docs: int = 3, top_terms: int = 200) -> str:
