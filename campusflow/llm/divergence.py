@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,14 +28,16 @@ BLOCK_BYTES = 32 << 20
 # Terms times sources compared in one task.
 CELLS = 250_000
 
-# A block's row is a chunk with its entries, or (without chunk) a group with its documents.  Both are packed
-# four-byte numbers, which Spark passes on as they are; an entry is a document's number and a count.
-_COUNTED = "block long, chunk string, entries binary, of int"
-_ARROW = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("entries", pa.binary()), ("of", pa.int32())])
+# A block's row is a chunk with its entries, packed four-byte numbers which Spark passes on as they are: a document's
+# number and a count.  A block's documents are numbered group by group; the row whose chunk is this mark and the
+# block's number has the groups and their sizes instead.  No chunk begins with white space.
+_MARK = "\n"
+_COUNTED = "block long, chunk string, entries binary"
+_ARROW = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("entries", pa.binary())])
 # An entry holds a count up to this; a larger one takes several entries.
 MOST = 63
 BLOCK_DOCS = 1 << 24
-_TERMS = "lang int, of int, term string, n_docs long, n long"
+_TERMS = "of int, term string, n_docs long, n long"
 
 
 def _texts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
@@ -61,31 +63,27 @@ def _unpacked(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _block_rows(block: int, table: pa.Table, number: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
     n = len(table)
+    pairs = zip(table.column("lang").to_pylist(), table.column("source").to_pylist(), strict=True)
+    of = np.array([number[pair] for pair in pairs])
+    place = np.empty(n, np.int64)
+    place[np.argsort(of, kind="stable")] = np.arange(n)
     # Split at ASCII white space only, none of which is part of a term.
     words = pc.ascii_split_whitespace(table.column("text").combine_chunks().cast(pa.large_string()))
-    doc = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    doc = np.repeat(place, pc.list_value_length(words).to_numpy(zero_copy_only=False))
     chunks = words.flatten().dictionary_encode()
     key, counts = np.unique(chunks.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
     if counts.max(initial=0) > MOST:
         copies = (counts - 1) // MOST + 1
-        last = np.cumsum(copies) - 1
         rest = counts - (copies - 1) * MOST
         key, counts = np.repeat(key, copies), np.full(copies.sum(), MOST)
-        counts[last] = rest
+        counts[np.cumsum(copies) - 1] = rest
     ends = np.searchsorted(key, (np.arange(len(chunks.dictionary)) + 1) * n)
     entries = _packed(key % n * (MOST + 1) + counts, ends)
-    yield from _rows_of(block, [chunks.dictionary.cast(pa.string()), entries, pa.nulls(len(entries), pa.int32())])
-
-    pairs = zip(table.column("lang").to_pylist(), table.column("source").to_pylist(), strict=True)
-    of = np.array([number[pair] for pair in pairs])
-    found, sizes = np.unique(of, return_counts=True)
-    entries = _packed(np.argsort(of, kind="stable"), np.cumsum(sizes))
-    yield from _rows_of(block, [pa.nulls(len(found), pa.string()), entries, pa.array(found.astype(np.int32))])
-
-
-def _rows_of(block: int, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-    batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), block)), *columns], schema=_ARROW)
-    yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
+    groups, sizes = np.unique(of, return_counts=True)
+    header = _packed(np.stack([groups, sizes], 1).ravel(), np.array([2 * len(groups)]))
+    for names, values in ((chunks.dictionary.cast(pa.string()), entries), (pa.array([f"{_MARK}{block}"]), header)):
+        batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block)), names, values], schema=_ARROW)
+        yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
 
 
 def _count_chunks(number: dict[tuple[str, str], int]):
@@ -111,53 +109,54 @@ def _count_chunks(number: dict[tuple[str, str], int]):
     return count
 
 
-def _count_terms(langs: np.ndarray):
-    """One block's terms per group: in how many documents, and how often.  ``langs`` has each group's language."""
-
-    def count(block: pa.Table) -> pa.Table:
-        is_group = pc.is_null(block.column("term"))
-        headers, named = block.filter(is_group), block.filter(pc.invert(is_group))
-        members, sizes = _unpacked(headers.column("entries"))
-        groups = headers.column("of").to_numpy().astype(np.int64)
-        group = np.zeros(len(members), np.int64)
-        group[members] = np.repeat(np.arange(len(sizes)), sizes)
-        terms = named.column("term").combine_chunks().dictionary_encode()
-        entries, sizes = _unpacked(named.column("entries"))
-        doc, times = entries // (MOST + 1), entries % (MOST + 1)
-        code = np.repeat(terms.indices.to_numpy().astype(np.int64), sizes)
-        n_groups, n = max(len(headers), 1), max(len(group), 1)
-        # A document may have a term by several chunks.
-        once = np.unique(code * n + doc)
-        cells, n_docs = np.unique(once // n * n_groups + group[once % n], return_counts=True)
-        occurrences = np.bincount(np.searchsorted(cells, code * n_groups + group[doc]), times, len(cells)).astype(np.int64)
-        of = groups[cells % n_groups] if len(cells) else np.empty(0, np.int64)
-        found = {"lang": pa.array(langs[of].astype(np.int32)), "of": pa.array(of.astype(np.int32))}
-        found |= {"term": terms.dictionary.take(pa.array(cells // n_groups)), "n_docs": pa.array(n_docs), "n": pa.array(occurrences)}
-        return pa.table(found)
-
-    return count
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.empty(0, np.int64)
+
+
+def _count_terms(block: pa.Table) -> pa.Table:
+    """One block's terms per group: in how many documents, and how often."""
+    is_header = pc.starts_with(block.column("term"), _MARK)
+    header, named = block.filter(is_header), block.filter(pc.invert(is_header))
+    groups, sizes = _unpacked(header.column("entries"))[0].reshape(-1, 2).T
+    group, n = np.repeat(np.arange(len(groups)), sizes), max(int(sizes.sum()), 1)
+    terms = named.column("term").combine_chunks().dictionary_encode()
+    entries, lengths = _unpacked(named.column("entries"))
+    code = np.repeat(terms.indices.to_numpy().astype(np.int64), lengths)
+    # By term, then by document, hence by group; a document may have a term by several chunks.
+    key = np.sort((code * n + entries // (MOST + 1)) * (MOST + 1) + entries % (MOST + 1))
+    times, key = key % (MOST + 1), key // (MOST + 1)
+    once = _starts(key)
+    code, of = key[once] // n, group[key[once] % n]
+    cell = _starts(code * (len(groups) + 1) + of)
+    n_docs = np.diff(np.append(cell, len(once)))
+    total = np.add.reduceat(times, once[cell]) if len(cell) else np.empty(0, np.int64)
+    found = {"of": groups[of[cell]].astype(np.int32), "term": terms.dictionary.take(pa.array(code[cell])), "n_docs": n_docs, "n": total}
+    return pa.table({k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in found.items()})
 
 
 def _numbered_counts(texts: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
     """``lang`` and ``of`` (numbers of the language and the group), ``term``, ``n_docs``, ``n``; dealt by term and language."""
-    spark = texts.sparkSession
-    folder = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
-    languages = {name: i for i, name in enumerate(sorted({lang for lang, _ in groups}))}
-    langs = np.array([languages[lang] for lang, _ in groups], np.int64)
-    texts.mapInArrow(_count_chunks({g: i for i, g in enumerate(groups)}), _COUNTED).write.parquet(folder)
-    counted = spark.read.schema(_COUNTED).parquet(folder)
-    # Both sides of the join read this one shuffle: the dictionary has the chunks with the blocks they are in.
-    dealt = counted.filter("chunk IS NOT NULL").select("block", "chunk", "entries").repartition("chunk")
+    counted = texts.mapInArrow(_count_chunks({g: i for i, g in enumerate(groups)}), _COUNTED)
+    # Both sides of the join read this one shuffle: the dictionary has the chunks with what their rows hold.
+    dealt = counted.repartition("chunk")
     cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    chunks = dealt.groupBy("chunk").agg(F.count("block").alias("blocks"), F.max(F.length("entries")).alias("longest"))
-    dictionary = chunks.select("chunk", cut.alias("terms"), "blocks", "longest").filter("size(terms) > 0 AND blocks > 0 AND longest > 0")
+    terms = F.when(F.startswith("chunk", F.lit(_MARK)), F.array("chunk")).otherwise(cut)
+    chunks = dealt.groupBy("chunk").agg(F.min("block").alias("first"), F.max(F.length("entries")).alias("longest"))
+    dictionary = chunks.select("chunk", terms.alias("terms"), "first", "longest").filter("first >= 0 AND longest > 0")
     # A chunk is one row of the dictionary, so a hash table of a partition of it does not depend on hot chunks.
     joined = dealt.join(dictionary.hint("shuffle_hash"), "chunk")
-    by_term = joined.select("block", F.explode("terms").alias("term"), "entries", F.lit(None).cast("int").alias("of"))
-    headers = counted.filter("chunk IS NULL").select("block", F.lit(None).cast("string").alias("term"), "entries", "of")
-    in_block = by_term.unionByName(headers).groupBy("block").applyInArrow(_count_terms(langs), _TERMS)
+    by_term = joined.select("block", F.explode("terms").alias("term"), "entries")
+    in_block = by_term.groupBy("block").applyInArrow(_count_terms, _TERMS)
     # Dealt by term and language, which serves sums over a language as well.
-    return in_block.repartition("term", "lang").groupBy("lang", "of", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    named = in_block.withColumn("lang", F.get(F.array(*[F.lit(i) for i in _languages(groups)]), "of"))
+    return named.repartition("term", "lang").groupBy("lang", "of", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+
+
+def _languages(groups: list[tuple[str, str]]) -> list[int]:
+    """The number of each group's language."""
+    names = {name: i for i, name in enumerate(sorted({lang for lang, _ in groups}))}
+    return [names[lang] for lang, _ in groups]
 
 
 def _groups(texts: DataFrame) -> list[tuple[str, str]]:
@@ -174,10 +173,10 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     Terms are runs of ASCII letters and characters beyond ASCII, A-Z lower-cased.  A row is a document, also if
     it repeats another; NULL texts, languages and sources are empty ones.
 
-    The counted chunks are written to the shared folder once: what is cut into terms and what they are joined to
-    then agree on the blocks, also when an executor is lost.  A block's documents are numbered, so distinct
-    documents are counted inside a block and summed up: a chunk or term that every document has meets in one
-    task as one row per block, not as one row per document.  The list of groups comes to the driver.
+    A block's documents are numbered, so distinct documents are counted inside a block and summed up: a chunk or
+    term that every document has meets in one task as one row per block, not as one row per document.  A block is a
+    run of a partition's rows, so ``docs`` should come from files or a stored frame, whose rows come in the same
+    order again when an executor is lost.  The list of groups comes to the driver.
     """
     texts = _texts(docs, lang, source, text)
     groups = _groups(texts)
@@ -185,31 +184,43 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     return _numbered_counts(texts, groups).drop("lang").join(named, "of").select("lang", "source", "term", "n_docs", "n")
 
 
-def _share(n: Column, total: Column, terms: Column) -> Column:
-    """``1 + floor(SCALE * (n + 1) / (total + terms))``, exactly."""
-    return 1 + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + terms).cast("decimal(20,0)"))
+def _exact_share(n: np.ndarray, whole: np.ndarray | int) -> np.ndarray:
+    """``1 + floor(SCALE * (n + 1) / whole)``; in Python's numbers where eight bytes are too few."""
+    if len(n) and int(n.max()) >= 9_000_000_000:
+        n = n.astype(object)
+    return (1 + SCALE * (n + 1) // whole).astype(np.int64)
 
 
-def _gap(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q)
+def _gaps(langs: np.ndarray, totals: np.ndarray, terms_of: np.ndarray, lang_totals: np.ndarray, top_terms: int):
+    """For one shard of a language's terms: the summed gaps of every ordered pair of its groups, and each group's top terms.
 
-
-def _pair_sums(absent: np.ndarray, langs: np.ndarray):
-    """For one shard of a language's terms: the summed gaps of every ordered pair of the language's groups.
-
-    ``absent`` has each group's share of a term it does not have.
+    The arrays have, for each group, its language, its occurrences of kept terms, and its language's terms and
+    occurrences.
     """
 
-    def sums(key: tuple, table: pa.Table) -> pa.Table:
+    def gaps(key: tuple, table: pa.Table) -> pa.Table:
         groups = np.flatnonzero(langs == key[0].as_py())
-        terms = table.column("term").combine_chunks().dictionary_encode()
-        shares = np.repeat(absent[groups][:, None], len(terms.dictionary), axis=1)
-        shares[np.searchsorted(groups, table.column("of").to_numpy()), terms.indices.to_numpy()] = table.column("p").to_numpy()
+        size = int(terms_of[groups[0]])
+        of, n = table.column("of").to_numpy(), table.column("n").to_numpy()
+        column = table.column("term").combine_chunks()
+        terms = column.dictionary_encode()
+        p, q = _exact_share(n, totals[of] + size), _exact_share(table.column("lang_n").to_numpy(), int(lang_totals[groups[0]]) + size)
+        absent = _exact_share(np.zeros(len(groups), np.int64), totals[groups] + size)
+        shares = np.repeat(absent[:, None], len(terms.dictionary), axis=1)
+        shares[np.searchsorted(groups, of), terms.indices.to_numpy()] = p
         values = np.concatenate([((share - shares) ** 2 // shares).sum(1) for share in shares])
         pairs = {"of": np.repeat(groups, len(groups)), "other": np.tile(groups, len(groups)), "value": values}
-        return pa.table({k: pa.array(v.astype(np.int64)) for k, v in pairs.items()})
+        found = pa.table({**{k: pa.array(v.astype(np.int64)) for k, v in pairs.items()}, "item": pa.nulls(len(values), pa.string())})
+        # A group's top terms are among the top terms of its shards.
+        above = np.flatnonzero(p > q)
+        listed = pa.table({"of": of[above].astype(np.int64), "value": (p[above] - q[above]) ** 2 // q[above], "item": column.take(pa.array(above))})
+        listed = listed.sort_by([("of", "ascending"), ("value", "descending"), ("item", "ascending")])
+        begin = _starts(listed.column("of").to_numpy())
+        rank = np.arange(len(listed)) - np.repeat(begin, np.diff(np.append(begin, len(listed))))
+        listed = listed.filter(pa.array(rank < top_terms)).add_column(1, "other", pa.array(np.full(int((rank < top_terms).sum()), -1)))
+        return pa.concat_tables([found, listed.select(found.column_names)])
 
-    return sums
+    return gaps
 
 
 def audit_divergence(
@@ -238,39 +249,30 @@ def audit_divergence(
     counts.filter(F.col("docs_of_lang") >= min_docs).select("lang", "term", "of", "n", "lang_n").write.parquet(folder)
     kept = spark.read.schema("lang int, term string, of int, n long, lang_n long").parquet(folder)
 
-    languages = sorted({name for name, _ in groups})
-    langs = np.array([languages.index(name) for name, _ in groups], np.int64)
+    langs = np.array(_languages(groups), np.int64)
     total = {r.of: r.n for r in kept.groupBy("of").agg(F.sum("n").alias("n")).collect()}
     once = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang")
     vocabulary = {r.lang: (r.terms, r.n) for r in once.agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("n")).collect()}
-    facts, absent = [], np.ones(len(groups), np.int64)
-    for i, (of_lang, _) in enumerate(groups):
-        terms, lang_total = vocabulary.get(int(langs[i]), (0, 0))
-        shards = max(1, math.ceil(terms * int((langs == langs[i]).sum()) / CELLS))
-        facts.append((i, of_lang, groups[i][1], total.get(i, 0), terms, lang_total, shards))
-        if terms:
-            absent[i] = 1 + SCALE // (total.get(i, 0) + terms)
+    totals = np.array([total.get(i, 0) for i in range(len(groups))], np.int64)
+    terms_of, lang_totals = (np.array([vocabulary.get(int(i), (0, 0))[k] for i in langs], np.int64) for k in (0, 1))
+    shards = [max(1, math.ceil(int(terms_of[langs == i][0]) * int((langs == i).sum()) / CELLS)) for i in range(len(set(langs)))]
+    shard = F.pmod(F.xxhash64("term"), F.get(F.array(*[F.lit(k) for k in shards]), "lang")).alias("shard")
+    sharded = kept.select("lang", shard, "of", "term", "n", "lang_n").groupBy("lang", "shard")
+    gaps = sharded.applyInArrow(_gaps(langs, totals, terms_of, lang_totals, top_terms), "of long, other long, value long, item string")
+    gaps = gaps.groupBy("of", "other", "item").agg(F.sum("value").alias("value"))
+
     # One row a group: the list that the driver holds already.
-    facts = spark.createDataFrame(facts, "of int, lang string, source string, total long, terms long, lang_total long, shards int")
-    p, q = _share(F.col("n"), F.col("total"), F.col("terms")), _share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
-    shard = F.pmod(F.xxhash64("term"), F.col("shards")).alias("shard")
-    numbers = facts.select("of", "total", "terms", "lang_total", "shards")
-    shares = kept.join(F.broadcast(numbers), "of").select("lang", shard, "of", "term", p.alias("p"), q.alias("q"))
-
-    summed = shares.select("lang", "shard", "of", "term", "p").groupBy("lang", "shard")
-    summed = summed.applyInArrow(_pair_sums(absent, langs), "of long, other long, value long")
-    summed = summed.groupBy("of", "other").agg(F.sum("value").alias("value"))
-    one = facts.select("of", "lang", "source")
-    other = one.select(F.col("of").alias("other"), "lang", F.col("source").alias("item"))
-    pairs = one.join(other, "lang").filter("of <> other").join(summed, ["of", "other"], "left")
-    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-
-    by_value = [F.desc("value"), "item"]
-    above = shares.filter("p > q").select("of", F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
-    ranked = above.withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy(*by_value))).filter(F.col("rank") <= top_terms)
-    terms = ranked.join(F.broadcast(one), "of").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
-    order = Window.partitionBy("lang", "source").orderBy(*by_value)
-    return pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms)
+    one = F.broadcast(_named(spark, groups))
+    other = F.broadcast(_named(spark, groups).select(F.col("of").alias("other"), F.col("lang").alias("other_lang"), F.col("source").alias("name")))
+    found = gaps.join(one, "of").join(other, "other", "left")
+    part, item = F.when(F.col("other") >= 0, F.lit("pair")).otherwise(F.lit("term")).alias("part"), F.coalesce("item", "name").alias("item")
+    rows = found.filter("of <> other").select("lang", "source", part, item, "value")
+    # Languages without terms have no shards, but pairs.
+    bare = {lang for (lang, _), terms in zip(groups, terms_of, strict=True) if not terms}
+    pairs = one.join(other, (F.col("lang") == F.col("other_lang")) & (F.col("of") != F.col("other"))).filter(F.col("lang").isin(*bare))
+    rows = rows.unionByName(pairs.select("lang", "source", F.lit("pair").alias("part"), F.col("name").alias("item"), F.lit(0).cast("long").alias("value")))
+    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
+    return rows.withColumn("rank", F.row_number().over(order)).filter((F.col("part") == "pair") | (F.col("rank") <= top_terms))
 
 
 def audit_divergence_sql(documents: str = "documents", min_docs: int = 3, top_terms: int = 200) -> str:
