@@ -137,16 +137,19 @@ def _count_terms(block: pa.Table) -> pa.Table:
 
 def _numbered_counts(texts: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
     """``lang`` and ``of`` (numbers of the language and the group), ``term``, ``n_docs``, ``n``; dealt by term and language."""
-    counted = texts.mapInArrow(_count_chunks({g: i for i, g in enumerate(groups)}), _COUNTED)
+    spark = texts.sparkSession
+    folder = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    texts.mapInArrow(_count_chunks({g: i for i, g in enumerate(groups)}), _COUNTED).write.parquet(folder)
     # Both sides of the join read this one shuffle: the dictionary has the chunks with what their rows hold.
-    dealt = counted.repartition("chunk")
+    dealt = spark.read.schema(_COUNTED).parquet(folder).repartition("chunk")
     cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
     terms = F.when(F.startswith("chunk", F.lit(_MARK)), F.array("chunk")).otherwise(cut)
     chunks = dealt.groupBy("chunk").agg(F.min("block").alias("first"), F.max(F.length("entries")).alias("longest"))
     dictionary = chunks.select("chunk", terms.alias("terms"), "first", "longest").filter("first >= 0 AND longest > 0")
     # A chunk is one row of the dictionary, so a hash table of a partition of it does not depend on hot chunks.
     joined = dealt.join(dictionary.hint("shuffle_hash"), "chunk")
-    by_term = joined.select("block", F.explode("terms").alias("term"), "entries")
+    # An inner explode would put a filter on the terms under the shuffle of one side, which then is not the other's.
+    by_term = joined.select("block", F.explode_outer("terms").alias("term"), "entries").filter("term IS NOT NULL")
     in_block = by_term.groupBy("block").applyInArrow(_count_terms, _TERMS)
     # Dealt by term and language, which serves sums over a language as well.
     named = in_block.withColumn("lang", F.get(F.array(*[F.lit(i) for i in _languages(groups)]), "of"))
@@ -174,9 +177,9 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     it repeats another; NULL texts, languages and sources are empty ones.
 
     A block's documents are numbered, so distinct documents are counted inside a block and summed up: a chunk or
-    term that every document has meets in one task as one row per block, not as one row per document.  A block is a
-    run of a partition's rows, so ``docs`` should come from files or a stored frame, whose rows come in the same
-    order again when an executor is lost.  The list of groups comes to the driver.
+    term that every document has meets in one task as one row per block, not as one row per document.  The counted
+    chunks are written to the shared folder once, so all that reads them agrees on the blocks, also when an executor
+    is lost.  The list of groups comes to the driver.
     """
     texts = _texts(docs, lang, source, text)
     groups = _groups(texts)
