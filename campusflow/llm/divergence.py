@@ -28,12 +28,10 @@ BLOCK_BYTES = 32 << 20
 # Terms times sources compared in one task.
 CELLS = 250_000
 
-# A block's row is a chunk with its entries, packed four-byte numbers which Spark passes on as they are: a document's
-# number and a count.  A block's documents are numbered group by group; the row whose chunk is this mark and the
-# block's number has the groups and their sizes instead.  No chunk begins with white space.
-_MARK = "\n"
-_COUNTED = "block long, chunk string, entries binary"
-_ARROW = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("entries", pa.binary())])
+# A block has a row for each chunk, with the chunk's number in the block, and one row with its places: which documents
+# have which chunk how often.  Only the chunks travel to the dictionary; their terms come back to the places.
+_COUNTED = "block long, chunk string, k int, places binary"
+_ARROW = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("k", pa.int32()), ("places", pa.binary())])
 # An entry holds a count up to this; a larger one takes several entries.
 MOST = 63
 BLOCK_DOCS = 1 << 24
@@ -45,20 +43,17 @@ def _texts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
     return docs.select(*[F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("")).alias(n) for n, c in names.items()])
 
 
-def _packed(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary values: the numbers up to each end."""
-    offsets = np.concatenate(([0], ends * 4)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(numbers.astype("<i4"))])
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of four-byte numbers, compressed; ``_unpacked`` gives them back."""
+    sizes = np.array([len(arrays), *map(len, arrays)])
+    data = np.concatenate([sizes, *arrays]).astype("<i4").tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def _unpacked(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All the numbers, and how many each value has."""
-    values = pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], pa.binary())
-    sizes = pc.binary_length(values).to_numpy(zero_copy_only=False)
-    start = np.frombuffer(values.buffers()[1], np.int32)[values.offset] if len(values) else 0
-    data = values.buffers()[2]
-    numbers = np.frombuffer(data, "<i4", int(sizes.sum()) // 4, int(start)) if len(values) and data else np.empty(0, "<i4")
-    return numbers.astype(np.int64), sizes // 4
+def _unpacked(value: bytes) -> list[np.ndarray]:
+    data = np.frombuffer(pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True), "<i4").astype(np.int64)
+    ends = data[0] + 1 + np.cumsum(data[1 : data[0] + 1])
+    return np.split(data[data[0] + 1 :], ends[:-1] - data[0] - 1)
 
 
 def _block_rows(block: int, table: pa.Table, number: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
@@ -77,13 +72,15 @@ def _block_rows(block: int, table: pa.Table, number: dict[tuple[str, str], int])
         rest = counts - (copies - 1) * MOST
         key, counts = np.repeat(key, copies), np.full(copies.sum(), MOST)
         counts[np.cumsum(copies) - 1] = rest
-    ends = np.searchsorted(key, (np.arange(len(chunks.dictionary)) + 1) * n)
-    entries = _packed(key % n * (MOST + 1) + counts, ends)
+    lengths = np.bincount(key // n, minlength=len(chunks.dictionary))
     groups, sizes = np.unique(of, return_counts=True)
-    header = _packed(np.stack([groups, sizes], 1).ravel(), np.array([2 * len(groups)]))
-    for names, values in ((chunks.dictionary.cast(pa.string()), entries), (pa.array([f"{_MARK}{block}"]), header)):
-        batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block)), names, values], schema=_ARROW)
-        yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
+    # Documents of a chunk ascend, so differences are small numbers.
+    places = _packed(groups, sizes, lengths, np.diff(key % n * (MOST + 1) + counts, prepend=0))
+    numbers = pa.array(np.arange(len(lengths), dtype=np.int32))
+    columns = [pa.array(np.full(len(lengths), block)), chunks.dictionary.cast(pa.string()), numbers, pa.nulls(len(lengths), pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+    yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
+    yield pa.RecordBatch.from_pylist([{"block": block, "places": places}], schema=_ARROW)
 
 
 def _count_chunks(number: dict[tuple[str, str], int]):
@@ -116,13 +113,17 @@ def _starts(sorted_values: np.ndarray) -> np.ndarray:
 
 def _count_terms(block: pa.Table) -> pa.Table:
     """One block's terms per group: in how many documents, and how often."""
-    is_header = pc.starts_with(block.column("term"), _MARK)
-    header, named = block.filter(is_header), block.filter(pc.invert(is_header))
-    groups, sizes = _unpacked(header.column("entries"))[0].reshape(-1, 2).T
+    is_term = pc.is_valid(block.column("term"))
+    groups, sizes, lengths, steps = _unpacked(block.filter(pc.invert(is_term)).column("places")[0].as_py())
     group, n = np.repeat(np.arange(len(groups)), sizes), max(int(sizes.sum()), 1)
+    named = block.filter(is_term)
     terms = named.column("term").combine_chunks().dictionary_encode()
-    entries, lengths = _unpacked(named.column("entries"))
-    code = np.repeat(terms.indices.to_numpy().astype(np.int64), lengths)
+    chunk = named.column("k").to_numpy().astype(np.int64)
+    # The entries of each row's chunk, one after the other.
+    begin, size = (np.cumsum(lengths) - lengths)[chunk], lengths[chunk]
+    at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+    entries = np.cumsum(steps)[at]
+    code = np.repeat(terms.indices.to_numpy().astype(np.int64), size)
     # By term, then by document, hence by group; a document may have a term by several chunks.
     key = np.sort((code * n + entries // (MOST + 1)) * (MOST + 1) + entries % (MOST + 1))
     times, key = key % (MOST + 1), key // (MOST + 1)
@@ -139,18 +140,20 @@ def _numbered_counts(texts: DataFrame, groups: list[tuple[str, str]]) -> DataFra
     """``lang`` and ``of`` (numbers of the language and the group), ``term``, ``n_docs``, ``n``; dealt by term and language."""
     spark = texts.sparkSession
     folder = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
-    texts.mapInArrow(_count_chunks({g: i for i, g in enumerate(groups)}), _COUNTED).write.parquet(folder)
+    counted = texts.mapInArrow(_count_chunks({g: i for i, g in enumerate(groups)}), _COUNTED)
+    counted.write.option("compression", "zstd").parquet(folder)
+    counted = spark.read.schema(_COUNTED).parquet(folder)
     # Both sides of the join read this one shuffle: the dictionary has the chunks with what their rows hold.
-    dealt = spark.read.schema(_COUNTED).parquet(folder).repartition("chunk")
+    dealt = counted.filter("chunk IS NOT NULL").select("block", "chunk", "k").repartition("chunk")
     cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    terms = F.when(F.startswith("chunk", F.lit(_MARK)), F.array("chunk")).otherwise(cut)
-    chunks = dealt.groupBy("chunk").agg(F.min("block").alias("first"), F.max(F.length("entries")).alias("longest"))
-    dictionary = chunks.select("chunk", terms.alias("terms"), "first", "longest").filter("first >= 0 AND longest > 0")
+    chunks = dealt.groupBy("chunk").agg(F.min("block").alias("first"), F.max("k").alias("last"))
+    dictionary = chunks.select("chunk", cut.alias("terms"), "first", "last").filter("first >= 0 AND last >= 0")
     # A chunk is one row of the dictionary, so a hash table of a partition of it does not depend on hot chunks.
     joined = dealt.join(dictionary.hint("shuffle_hash"), "chunk")
     # An inner explode would put a filter on the terms under the shuffle of one side, which then is not the other's.
-    by_term = joined.select("block", F.explode_outer("terms").alias("term"), "entries").filter("term IS NOT NULL")
-    in_block = by_term.groupBy("block").applyInArrow(_count_terms, _TERMS)
+    by_term = joined.select("block", "k", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
+    places = counted.filter("places IS NOT NULL").select("block", "k", F.lit(None).cast("string").alias("term"), "places")
+    in_block = by_term.withColumn("places", F.lit(None).cast("binary")).unionByName(places).groupBy("block").applyInArrow(_count_terms, _TERMS)
     # Dealt by term and language, which serves sums over a language as well.
     named = in_block.withColumn("lang", F.get(F.array(*[F.lit(i) for i in _languages(groups)]), "of"))
     return named.repartition("term", "lang").groupBy("lang", "of", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
