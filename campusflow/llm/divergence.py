@@ -28,10 +28,11 @@ BLOCK_BYTES = 32 << 20
 # Terms times sources compared in one task.
 CELLS = 250_000
 
-# A block has a row for each chunk, with the chunk's number in the block, and one row with its places: which documents
-# have which chunk how often.  Only the chunks travel to the dictionary; their terms come back to the places.
-_COUNTED = "block long, chunk string, k int, places binary"
-_ARROW = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("k", pa.int32()), ("places", pa.binary())])
+# A block has a row for each chunk, with the chunk's number in the block, and one row with its places (which documents
+# have which chunk how often) and the chunks' names.  Only the chunks travel to the dictionary; their terms come back to
+# the places, unless a chunk is its own term.
+_COUNTED = "block long, chunk string, k int, places binary, names binary"
+_ARROW = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("k", pa.int32()), ("places", pa.binary()), ("names", pa.binary())])
 # An entry holds a count up to this; a larger one takes several entries.
 MOST = 63
 BLOCK_DOCS = 1 << 24
@@ -46,12 +47,19 @@ def _texts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
 def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays of four-byte numbers, compressed; ``_unpacked`` gives them back."""
     sizes = np.array([len(arrays), *map(len, arrays)])
-    data = np.concatenate([sizes, *arrays]).astype("<i4").tobytes()
+    return _small(np.concatenate([sizes, *arrays]).astype("<i4").tobytes())
+
+
+def _small(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
+def _whole(value: bytes) -> bytes:
+    return pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True)
+
+
 def _unpacked(value: bytes) -> list[np.ndarray]:
-    data = np.frombuffer(pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True), "<i4").astype(np.int64)
+    data = np.frombuffer(_whole(value), "<i4").astype(np.int64)
     ends = data[0] + 1 + np.cumsum(data[1 : data[0] + 1])
     return np.split(data[data[0] + 1 :], ends[:-1] - data[0] - 1)
 
@@ -76,11 +84,12 @@ def _block_rows(block: int, table: pa.Table, number: dict[tuple[str, str], int])
     groups, sizes = np.unique(of, return_counts=True)
     # Documents of a chunk ascend, so differences are small numbers.
     places = _packed(groups, sizes, lengths, np.diff(key % n * (MOST + 1) + counts, prepend=0))
-    numbers = pa.array(np.arange(len(lengths), dtype=np.int32))
-    columns = [pa.array(np.full(len(lengths), block)), chunks.dictionary.cast(pa.string()), numbers, pa.nulls(len(lengths), pa.binary())]
+    names = _small("\n".join(chunks.dictionary.to_pylist()).encode())  # no chunk has a line feed
+    numbers, none = pa.array(np.arange(len(lengths), dtype=np.int32)), pa.nulls(len(lengths), pa.binary())
+    columns = [pa.array(np.full(len(lengths), block)), chunks.dictionary.cast(pa.string()), numbers, none, none]
     batch = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
     yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
-    yield pa.RecordBatch.from_pylist([{"block": block, "places": places}], schema=_ARROW)
+    yield pa.RecordBatch.from_pylist([{"block": block, "places": places, "names": names}], schema=_ARROW)
 
 
 def _count_chunks(number: dict[tuple[str, str], int]):
@@ -113,12 +122,18 @@ def _starts(sorted_values: np.ndarray) -> np.ndarray:
 
 def _count_terms(block: pa.Table) -> pa.Table:
     """One block's terms per group: in how many documents, and how often."""
-    is_term = pc.is_valid(block.column("term"))
-    groups, sizes, lengths, steps = _unpacked(block.filter(pc.invert(is_term)).column("places")[0].as_py())
+    is_chunk = pc.is_valid(block.column("k"))
+    own, sent = block.filter(pc.invert(is_chunk)), block.filter(is_chunk)
+    groups, sizes, lengths, steps = _unpacked(own.column("places")[0].as_py())
     group, n = np.repeat(np.arange(len(groups)), sizes), max(int(sizes.sum()), 1)
-    named = block.filter(is_term)
-    terms = named.column("term").combine_chunks().dictionary_encode()
-    chunk = named.column("k").to_numpy().astype(np.int64)
+    # The chunks that nothing came back for are terms; the others are what came back, which may be nothing.
+    names = pa.array(_whole(own.column("names")[0].as_py()).decode().split("\n"))
+    is_term = np.ones(len(lengths), bool)
+    is_term[sent.column("k").to_numpy()] = False
+    sent = sent.filter(pc.is_valid(sent.column("term")))
+    alone = np.flatnonzero(is_term)
+    chunk = np.concatenate([alone, sent.column("k").to_numpy()]).astype(np.int64)
+    terms = pa.concat_arrays([names.take(pa.array(alone)), sent.column("term").combine_chunks()]).dictionary_encode()
     # The entries of each row's chunk, one after the other.
     begin, size = (np.cumsum(lengths) - lengths)[chunk], lengths[chunk]
     at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
@@ -137,7 +152,7 @@ def _count_terms(block: pa.Table) -> pa.Table:
 
 
 def _numbered_counts(texts: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
-    """``lang`` and ``of`` (numbers of the language and the group), ``term``, ``n_docs``, ``n``; dealt by term and language."""
+    """``lang`` and ``of`` (numbers of the language and the group), ``term``, ``n_docs``, ``n``; dealt by term."""
     spark = texts.sparkSession
     folder = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
     counted = texts.mapInArrow(_count_chunks({g: i for i, g in enumerate(groups)}), _COUNTED)
@@ -147,16 +162,18 @@ def _numbered_counts(texts: DataFrame, groups: list[tuple[str, str]]) -> DataFra
     dealt = counted.filter("chunk IS NOT NULL").select("block", "chunk", "k").repartition("chunk")
     cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
     chunks = dealt.groupBy("chunk").agg(F.min("block").alias("first"), F.max("k").alias("last"))
-    dictionary = chunks.select("chunk", cut.alias("terms"), "first", "last").filter("first >= 0 AND last >= 0")
+    dictionary = chunks.select(F.col("chunk").alias("word"), cut.alias("terms"), "first", "last").filter("first >= 0 AND last >= 0")
     # A chunk is one row of the dictionary, so a hash table of a partition of it does not depend on hot chunks.
-    joined = dealt.join(dictionary.hint("shuffle_hash"), "chunk")
-    # An inner explode would put a filter on the terms under the shuffle of one side, which then is not the other's.
-    by_term = joined.select("block", "k", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
-    places = counted.filter("places IS NOT NULL").select("block", "k", F.lit(None).cast("string").alias("term"), "places")
-    in_block = by_term.withColumn("places", F.lit(None).cast("binary")).unionByName(places).groupBy("block").applyInArrow(_count_terms, _TERMS)
-    # Dealt by term and language, which serves sums over a language as well.
-    named = in_block.withColumn("lang", F.get(F.array(*[F.lit(i) for i in _languages(groups)]), "of"))
-    return named.repartition("term", "lang").groupBy("lang", "of", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    # What is asked of the dictionary's side alone would go below the shuffle of that side, which then is not the other's.
+    changed = (F.col("k") < 0) | (F.col("terms") != F.array("chunk"))
+    joined = dealt.join(dictionary.hint("shuffle_hash"), (F.col("chunk") == F.col("word")) & changed)
+    by_term = joined.select("block", "k", F.explode_outer("terms").alias("term"))
+    none = F.lit(None).cast("binary")
+    places = counted.filter("places IS NOT NULL").select("block", "k", F.lit(None).cast("string").alias("term"), "places", "names")
+    in_block = by_term.withColumns({"places": none, "names": none}).unionByName(places).groupBy("block").applyInArrow(_count_terms, _TERMS)
+    # Dealt by term, which serves sums over a language as well.
+    summed = in_block.repartition("term").groupBy("of", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    return summed.withColumn("lang", F.get(F.array(*[F.lit(i) for i in _languages(groups)]), "of"))
 
 
 def _languages(groups: list[tuple[str, str]]) -> list[int]:
