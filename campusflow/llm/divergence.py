@@ -73,20 +73,24 @@ def _block_rows(block: int, table: pa.Table, number: dict[tuple[str, str], int])
     # Split at ASCII white space only, none of which is part of a term.
     words = pc.ascii_split_whitespace(table.column("text").combine_chunks().cast(pa.large_string()))
     doc = np.repeat(place, pc.list_value_length(words).to_numpy(zero_copy_only=False))
-    chunks = words.flatten().dictionary_encode()
-    key, counts = np.unique(chunks.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
+    found = words.flatten().dictionary_encode()
+    # In order, which packs better here and in the shuffle.
+    order = pc.sort_indices(found.dictionary)
+    chunks, code = found.dictionary.take(order).cast(pa.string()), np.empty(len(order), np.int64)
+    code[order.to_numpy()] = np.arange(len(order))
+    key, counts = np.unique(code[found.indices.to_numpy()] * n + doc, return_counts=True)
     if counts.max(initial=0) > MOST:
         copies = (counts - 1) // MOST + 1
         rest = counts - (copies - 1) * MOST
         key, counts = np.repeat(key, copies), np.full(copies.sum(), MOST)
         counts[np.cumsum(copies) - 1] = rest
-    lengths = np.bincount(key // n, minlength=len(chunks.dictionary))
+    lengths = np.bincount(key // n, minlength=len(chunks))
     groups, sizes = np.unique(of, return_counts=True)
     # Documents of a chunk ascend, so differences are small numbers.
     places = _packed(groups, sizes, lengths, np.diff(key % n * (MOST + 1) + counts, prepend=0))
-    names = _small("\n".join(chunks.dictionary.to_pylist()).encode())  # no chunk has a line feed
+    names = _small("\n".join(chunks.to_pylist()).encode())  # no chunk has a line feed
     numbers, none = pa.array(np.arange(len(lengths), dtype=np.int32)), pa.nulls(len(lengths), pa.binary())
-    columns = [pa.array(np.full(len(lengths), block)), chunks.dictionary.cast(pa.string()), numbers, none, none]
+    columns = [pa.array(np.full(len(lengths), block)), chunks, numbers, none, none]
     batch = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
     yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
     yield pa.RecordBatch.from_pylist([{"block": block, "places": places, "names": names}], schema=_ARROW)
