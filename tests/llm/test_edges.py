@@ -14,6 +14,7 @@ from campusflow.llm import (
     quality_rules,
     secret_scan,
     substring_dedup,
+    toxicity,
 )
 
 
@@ -37,6 +38,7 @@ PER_ROW = {
     "scores": lambda s, d: lm_scoring.score_corpus(d),
     "scores, no training": lambda s, d: lm_scoring.score_corpus(d, training=F.lit(False)),
     "mixture": lambda s, d: mixing.mix_sources(d),
+    "toxicity": lambda s, d: toxicity.score_toxicity(d),
 }
 OWN_SHAPE = ("similarity", "licenses")
 FILTERS = {
