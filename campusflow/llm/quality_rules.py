@@ -1,7 +1,7 @@
 """Weak supervision of text quality: rules vote, expectation-maximisation weighs them, a posterior decides.
 
 Everything is a column expression: counting the words, lines and repeated windows of a text, the votes, the
-estimation (a fold over the at most 3^6 vote patterns, in one row) and the posterior.
+estimation (a fold over the at most 3^7 vote patterns, in one row) and the posterior.
 """
 
 from __future__ import annotations
@@ -91,7 +91,8 @@ def _counts(body: Column) -> Column:
 
 def rule_votes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``row``, the counts of its text, and ``votes``: 1, -1 or 0 (abstains) for each rule, in the rules' order."""
-    counted = packed(docs, doc_id, text).select("row", _counts(F.col("body")).alias("c"))
+    # A generator of one row: a later filter on a count or verdict stays above it, and counts once.
+    counted = packed(docs, doc_id, text).select("row", F.explode_outer(F.array(_counts(F.col("body")))).alias("c"))
     flat = counted.select(
         "row",
         F.col("c.words.n").cast("long").alias("n_words"),
