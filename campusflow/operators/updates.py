@@ -6,19 +6,39 @@ rows; callers write the new table to a fresh directory.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.operators.keys import append_serial, assign_serial
+from campusflow.operators.keys import assign_serial, next_key, renumber
 from campusflow.operators.quality import ROW_KINDS, row_violation
 from campusflow.schema import PRIMARY_KEYS, Rule, contract_rules
 from campusflow.sources.load import apply_defaults
 
 Tables = Mapping[str, DataFrame]
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Make sure reliable checkpoints have a folder.
+
+    The cluster names a shared one in ``spark.checkpoint.dir``.  Only a local
+    session without that setting gets a folder of its own.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="campusflow-checkpoint-")
+    context.setCheckpointDir(folder)
+
+
 ID_PREFIX = "UG"  # fixed value: student ids are this, the year and a running number
 ID_DIGITS = 3  # fixed value: the running number is padded to this width
 # The year in an id has four digits.
@@ -104,11 +124,11 @@ def _validate(
     """Split the batch into sound rows and refused rows, which get ``Reasons``.
 
     The batch is numbered first, so that rows equal in ``order_by`` have a
-    first and a second too.  Numbering writes a checkpoint: every check sees
-    the same rows, and the query behind the batch is not run again.  The
-    verdicts are checkpointed as well, because sound and refused rows are
-    both read from them and numbering passes over the sound ones repeatedly.
+    first and a second too; the numbers depend on the rows alone, so every
+    check sees the same ones.  The verdicts are checkpointed, once, because
+    sound and refused rows are both read from them.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     judged = df.withColumn("Reasons", _row_reasons(rules, df.columns))
     batch = assign_serial(judged, ARRIVAL, order_by)
     checked = batch
@@ -154,8 +174,9 @@ def append_students(
     sound, rejected = _validate(rows, tables, "Student", own_rules, order)
 
     valid = sound.withColumn("_year", F.coalesce("AdmissionYear", F.year(F.current_date())))
-    numbered = assign_serial(valid, "_serial", ["_year", ARRIVAL])
+    numbered = renumber(valid, "_serial", ARRIVAL, within=["_year"])
     pattern = rf"^{ID_PREFIX}(\d{{4}})(\d{{{ID_DIGITS},}})$"
+    # One row per four-digit year.
     taken = (
         existing.filter(F.col(key).rlike(pattern))
         .select(
@@ -165,18 +186,10 @@ def append_students(
         .groupBy("_year")
         .agg(F.max("_number").alias("_last"))
     )
-    # The shift from overall serial to number within the year: one row per
-    # four-digit year, so it is safe to broadcast.
-    shift = (
-        numbered.groupBy("_year")
-        .agg(F.min("_serial").alias("_first"))
-        .join(taken, "_year", "left")
-        .select("_year", (F.coalesce("_last", F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
-    )
-    number = (F.col("_serial") + F.col("_shift")).cast("string")
+    number = (F.coalesce("_last", F.lit(0)) + F.col("_serial")).cast("string")
     padded = F.when(F.length(number) < ID_DIGITS, F.lpad(number, ID_DIGITS, "0")).otherwise(number)
     accepted = (
-        numbered.join(F.broadcast(shift), "_year")
+        numbered.join(taken, "_year", "left")
         .withColumn(key, F.concat(F.lit(ID_PREFIX), F.col("_year").cast("string"), padded))
         .select(*existing.columns)
     )
@@ -237,5 +250,7 @@ def enrol_students(
     rows = _conform(apply_defaults(batch, "Enrollment"), existing, order).drop(key)
     own_rules = [r for r in _rules_of("Enrollment", rules) if key not in r.columns]
     sound, rejected = _validate(rows, tables, "Enrollment", own_rules, order)
-    accepted = append_serial(existing, sound, key, [ARRIVAL]).select(*existing.columns)
+    number = next_key(existing, key).scalar() + F.col("_serial") - 1
+    numbered = renumber(sound, "_serial", ARRIVAL).withColumn(key, number.cast(existing.schema[key].dataType))
+    accepted = numbered.select(*existing.columns)
     return Change(existing.unionByName(accepted), accepted, rejected)

@@ -95,7 +95,7 @@ def test_numbering_spreads_a_hot_order_value(spark):
     spark.conf.set(name, "false")  # the rows here are few enough to be merged
     try:
         df = spark.range(0, 40_000, 1, 4).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("v"))
-        numbered = assign_serial(df, "no", ["v"]).withColumn("part", F.spark_partition_id())
+        numbered = assign_serial(df, "no", ["v"], bucket_rows=2_000).withColumn("part", F.spark_partition_id())
         sizes = numbered.filter("v = -1").groupBy("part").count().collect()
     finally:
         spark.conf.set(name, "true")

@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from campusflow.operators.keys import append_serial, assign_serial, next_key
+from campusflow.operators.keys import append_serial, assign_serial, next_key, renumber
 from campusflow.schema import SCHEMAS
 from campusflow.session import tune
 from campusflow.sources import catalog, load
@@ -168,7 +168,7 @@ def test_serial_descending_order_and_missing_values(spark):
 
 def test_serial_of_many_equal_rows_is_complete_and_spread(spark):
     df = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("v"))
-    numbered = assign_serial(df, "no", ["v"])
+    numbered = assign_serial(df, "no", ["v"], bucket_rows=500)
     assert numbered.select("no").distinct().count() == 20_000
     assert tuple(numbered.agg(F.min("no"), F.max("no")).first()) == (1, 20_000)
     hot = numbered.filter("v = 0").agg(F.min("no"), F.max("no"), F.count("*")).first()
@@ -178,10 +178,40 @@ def test_serial_of_many_equal_rows_is_complete_and_spread(spark):
 def test_serial_does_not_depend_on_how_rows_arrive(spark):
     df = spark.range(0, 3000).select((F.col("id") % 50).alias("v"), F.col("id").alias("own"))
     numbers = [
-        sorted(tuple(r) for r in assign_serial(df.repartition(n, *by), "no", ["v"]).collect())
-        for n, by in ((1, []), (3, ["own"]), (7, ["v"]))
+        sorted(tuple(r) for r in assign_serial(df.repartition(n, *by), "no", ["v"], bucket_rows=rows).collect())
+        for n, by, rows in ((1, [], 10_000), (3, ["own"], 100), (7, ["v"], 100), (5, ["own"], 1000))
     ]
-    assert numbers[0] == numbers[1] == numbers[2]
+    assert numbers[0] == numbers[1] == numbers[2] == numbers[3]
+
+
+def test_serial_in_buckets_orders_missing_and_mixed_values(spark):
+    df = spark.range(0, 5000).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % 13).alias("v"), F.concat(F.lit("t"), F.col("id") % 31).alias("w"), "id"
+    )
+    found = assign_serial(df, "no", ["v", "w", -F.col("id")], first=11, bucket_rows=60).orderBy("no").collect()
+    expected = sorted(df.collect(), key=lambda r: (r.v is None, r.v or 0, r.w, -r.id))
+    assert [(r.no, r.id) for r in found] == [(i, r.id) for i, r in enumerate(expected, start=11)]
+
+
+def test_serial_writes_nothing_in_between(spark, monkeypatch):
+    def refuse(self, *_):
+        raise AssertionError("a checkpoint")
+
+    df = spark.range(0, 3000, 1, 4)
+    monkeypatch.setattr(type(df), "checkpoint", refuse)
+    numbered = assign_serial(df, "no", [-F.col("id")], bucket_rows=100)
+    assert "rangepartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.no, r.id) for r in numbered.collect()) == [(n, 3000 - n) for n in range(1, 3001)]
+
+
+def test_renumber_within_groups(spark):
+    df = spark.range(0, 4000).select((F.col("id") * 3).alias("old"), F.when(F.col("id") % 4 > 0, 7).otherwise(F.col("id") % 5).alias("g"))
+    found = renumber(df.repartition(5), "no", "old", within=["g"], bucket_rows=700).collect()
+    for g in {r.g for r in found}:
+        own = sorted((r.old, r.no) for r in found if r.g == g)
+        assert [no for _, no in own] == list(range(1, len(own) + 1))
+    assert sorted(r.no for r in renumber(df, "no", "old", bucket_rows=50).collect()) == list(range(1, 4001))
+    assert renumber(df.limit(0), "no", "old").collect() == []
 
 
 def test_next_key_and_append(spark, make, rows):
