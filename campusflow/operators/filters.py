@@ -64,6 +64,15 @@ def chosen_ids(tables: Mapping[str, DataFrame], selection: StudentFilter) -> Dat
     return students_with_programme(tables, selection).select("StudentID")
 
 
+def top_students(ranked: DataFrame, names: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """The ``limit`` first rows of known students, and only then their ``names`` (one row per ``StudentID``).
+
+    Ids decide who is known, so no name is read for rows that the limit cuts.
+    """
+    first = ranked.join(names.select("StudentID"), "StudentID", "left_semi").orderBy(*order).limit(limit)
+    return first.join(names, "StudentID").orderBy(*order).limit(limit)
+
+
 def search_students(
     tables: Mapping[str, DataFrame], text: str = "", selection: StudentFilter = NO_FILTER
 ) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.functions import full_name, largest_first
-from campusflow.operators.filters import NO_FILTER, StudentFilter, chosen_ids, students_with_programme
+from campusflow.operators.filters import NO_FILTER, StudentFilter, chosen_ids, students_with_programme, top_students
 
 Tables = Mapping[str, DataFrame]
 PAIR = ["StudentID", "CourseOfferingID"]
+OUTCOME = ["StudentID", "FullName", "ProgrammeName", "CourseOfferingID", "Events", "Minutes", "FinalGrade"]
 
 
 def _effort_per_enrollment(tables: Tables, chosen: DataFrame | None = None) -> DataFrame:
@@ -47,25 +48,21 @@ def _effort_per_enrollment(tables: Tables, chosen: DataFrame | None = None) -> D
     )
 
 
+def _named(tables: Tables, selection: StudentFilter) -> DataFrame:
+    return students_with_programme(tables, selection).select("StudentID", full_name().alias("FullName"), "ProgrammeName")
+
+
 def engagement_outcome(tables: Tables, selection: StudentFilter = NO_FILTER) -> DataFrame:
     """Activity and grade per enrollment of the selected students, zeros included."""
-    students = students_with_programme(tables, selection).select(
-        "StudentID", full_name().alias("FullName"), "ProgrammeName"
-    )
-    return (
-        _effort_per_enrollment(tables, chosen_ids(tables, selection))
-        .join(students, "StudentID")
-        .select("StudentID", "FullName", "ProgrammeName", "CourseOfferingID", "Events", "Minutes", "FinalGrade")
-    )
+    students = _named(tables, selection)
+    return _effort_per_enrollment(tables, chosen_ids(tables, selection)).join(students, "StudentID").select(*OUTCOME)
 
 
 def top_engagement(tables: Tables, selection: StudentFilter = NO_FILTER, limit: int = 15) -> DataFrame:
     """The ``limit`` enrollments with the most minutes."""
-    return (
-        engagement_outcome(tables, selection)
-        .orderBy(*largest_first("Minutes", *PAIR, "FinalGrade"))
-        .limit(limit)
-    )
+    effort = _effort_per_enrollment(tables, chosen_ids(tables, selection))
+    order = largest_first("Minutes", *PAIR, "FinalGrade")
+    return top_students(effort, _named(tables, selection), order, limit).select(*OUTCOME)
 
 
 def engagement_q3(tables: Tables, limit: int = 100) -> DataFrame:

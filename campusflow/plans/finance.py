@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.functions import full_name, largest_first
-from campusflow.operators.filters import NO_FILTER, StudentFilter, chosen_ids, students_with_programme
+from campusflow.operators.filters import NO_FILTER, StudentFilter, chosen_ids, students_with_programme, top_students
 
 Tables = Mapping[str, DataFrame]
 
@@ -55,12 +55,9 @@ def outstanding_worklist(tables: Tables, selection: StudentFilter = NO_FILTER) -
 def outstanding_q4(tables: Tables, limit: int = 100) -> DataFrame:
     """The ``limit`` students who owe most, with what they paid."""
     students = tables["Student"].select("StudentID", full_name().alias("FullName"))
-    return (
-        students.join(_debtors(tables), "StudentID")
-        .withColumnsRenamed({"paid": "TotalPaid", "owed": "OutstandingBalance"})
-        .orderBy(*largest_first("OutstandingBalance", "StudentID"))
-        .limit(limit)
-    )
+    debts = _debtors(tables).withColumnsRenamed({"paid": "TotalPaid", "owed": "OutstandingBalance"})
+    top = top_students(debts, students, largest_first("OutstandingBalance", "StudentID"), limit)
+    return top.select("StudentID", "FullName", "TotalPaid", "OutstandingBalance")
 
 
 def outstanding_max(tables: Tables) -> DataFrame:

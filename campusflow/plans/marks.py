@@ -17,12 +17,12 @@ from campusflow.functions import (
     rounded_double,
     weighted_mark,
 )
-from campusflow.operators.filters import NO_FILTER, StudentFilter, chosen_ids, students_with_programme
+from campusflow.operators.filters import NO_FILTER, StudentFilter, chosen_ids, students_with_programme, top_students
 
 Tables = Mapping[str, DataFrame]
 
 
-def _with_course(df: DataFrame, tables: Tables, *columns: str) -> DataFrame:
+def with_course(df: DataFrame, tables: Tables, *columns: str) -> DataFrame:
     """Add columns of the course behind each row's offering.
 
     Offerings and courses are joined one after the other: each is then judged
@@ -57,7 +57,7 @@ def grade_summary(tables: Tables) -> DataFrame:
         "FinalGrade",
     )
     return (
-        _with_course(enrollment.join(results, "EnrollmentID", "left"), tables, "CourseCode", "CourseTitle")
+        with_course(enrollment.join(results, "EnrollmentID", "left"), tables, "CourseCode", "CourseTitle")
         .join(students, "StudentID")
         .select(
             "EnrollmentID",
@@ -176,7 +176,7 @@ def credit_load(tables: Tables, limit: int = 100) -> DataFrame:
     """
     enrollment = tables["Enrollment"].select("EnrollmentID", "StudentID", "CourseOfferingID")
     load = (
-        _with_course(enrollment, tables, "CreditHours")
+        with_course(enrollment, tables, "CreditHours")
         .groupBy("StudentID")
         .agg(
             F.count("EnrollmentID").alias("CoursesTaken"),
@@ -186,11 +186,8 @@ def credit_load(tables: Tables, limit: int = 100) -> DataFrame:
     students = students_with_programme(tables).select(
         "StudentID", full_name().alias("FullName"), "ProgrammeName"
     )
-    return (
-        students.join(load, "StudentID")
-        .orderBy(*largest_first("TotalCreditHours", "StudentID"))
-        .limit(limit)
-    )
+    top = top_students(load, students, largest_first("TotalCreditHours", "StudentID"), limit)
+    return top.select("StudentID", "FullName", "ProgrammeName", "CoursesTaken", "TotalCreditHours")
 
 
 def student_programme(tables: Tables) -> DataFrame:
@@ -210,7 +207,7 @@ def student_courses(tables: Tables) -> DataFrame:
     students = tables["Student"].select("StudentID", "FirstName", "LastName")
     enrollment = tables["Enrollment"].select("StudentID", "CourseOfferingID")
     return (
-        _with_course(enrollment, tables, "CourseTitle")
+        with_course(enrollment, tables, "CourseTitle")
         .join(students, "StudentID")
         .select("FirstName", "LastName", "CourseID", "CourseTitle")
     )
@@ -224,7 +221,7 @@ def course_enrolment(tables: Tables) -> DataFrame:
     """
     counted = tables["Enrollment"].groupBy("CourseOfferingID").agg(F.count("EnrollmentID").alias("n"))
     return (
-        _with_course(counted, tables, "CourseTitle")
+        with_course(counted, tables, "CourseTitle")
         .groupBy("CourseTitle")
         .agg(F.sum("n").alias("TotalEnrollments"))
         .orderBy(*largest_first("TotalEnrollments", "CourseTitle"))

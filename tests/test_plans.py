@@ -79,6 +79,21 @@ def test_limits_after_a_sort_keep_only_the_top_rows(records, query):
     assert "TakeOrderedAndProject" in plan(query(records))
 
 
+@pytest.mark.parametrize(
+    "query", [engagement.top_engagement, finance.outstanding_q4, marks.credit_load], ids=lambda q: q.__name__
+)
+def test_names_are_joined_to_the_top_rows_only(records, query, no_broadcast):
+    """Names come from a scan whose join lies above the inner limit."""
+    lines = plan(query(records)).splitlines()
+    limits = [i for i, line in enumerate(lines) if "TakeOrderedAndProject" in line]
+    names = [i for i, line in enumerate(lines) if "FileScan" in line and "c_name" in line]
+    assert len(limits) == 2 and len(names) == 1
+    depth = [re.search(r"[A-Za-z*]", line).start() for line in lines]
+    # Nothing between the inner limit and its end reads a name.
+    end = next((i for i in range(limits[1] + 1, len(lines)) if depth[i] <= depth[limits[1]]), len(lines))
+    assert not limits[1] < names[0] < end
+
+
 def joins_over(text: str, key: str) -> list[str]:
     return [line for line in text.splitlines() if "SortMergeJoin" in line and key in line]
 
