@@ -209,7 +209,7 @@ class StoredStates(Mapping):
                 save_partitioned(state, f"{folder}/people", "StudentID", parts)
             else:
                 versions[name] = _version()
-                state.coalesce(1).write.parquet(f"{folder}/{name}/{versions[name]}")
+                state.write.parquet(f"{folder}/{name}/{versions[name]}")
         return cls(spark, folder, versions, parts)
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -236,7 +236,7 @@ class StoredStates(Mapping):
         """
         fresh = {name: _version() for name in changes if name != "people"}
         for name, version in fresh.items():
-            changes[name].coalesce(1).write.parquet(f"{self.folder}/{name}/{version}")
+            changes[name].write.parquet(f"{self.folder}/{name}/{version}")
         touched = []
         if "people" in changes:
             touched = rewrite_changed(self.spark, f"{self.folder}/people", changes["people"], "StudentID", self.parts)

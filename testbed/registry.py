@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from campusflow import functions as columns
-from campusflow.operators import keys, quality, updates
+from campusflow.operators import keys, maintained, quality, updates
 from campusflow.operators.filters import StudentFilter, filter_students, search_students, students_with_programme
 from campusflow.plans import engagement, finance, marks, overview
 from campusflow.schema import BROWSED_TABLES, GRADE_ORDER, SCHEMAS, Rule, contract_rules
-from campusflow.sources import catalog, load
+from campusflow.sources import catalog, load, partitions
 from campusflow.sources.first_load import first_load
 from testbed.views import VIEWS, RecordTables, oracle, plain, read_source, run_sql, testbed_rules
 
@@ -654,17 +654,13 @@ def _add_with(name: str, query: Query, ctes: str, text: str) -> None:
     ORACLES[name] = f"WITH {ctes} {text}"
 
 
-_add_with(
-    "append_students",
-    lambda t: _append(t).table,
-    _JUDGED_APPLICANTS,
-    f"""SELECT * FROM present UNION ALL BY NAME
+_WITH_APPLICANTS = f"""SELECT * FROM present UNION ALL BY NAME
         SELECT 'UG' || AdmissionYear ||
                CASE WHEN number < 1000 THEN lpad(CAST(number AS VARCHAR), 3, '0') ELSE CAST(number AS VARCHAR) END
                AS StudentID, ProgrammeID, FirstName, LastName, Gender, Email, AdmissionYear, 'Active' AS Status
         FROM (SELECT *, {_LAST_NUMBER} + ROW_NUMBER() OVER (PARTITION BY AdmissionYear ORDER BY Place) AS number
-              FROM placed WHERE Reasons = '') AS numbered""",
-)
+              FROM placed WHERE Reasons = '') AS numbered"""
+_add_with("append_students", lambda t: _append(t).table, _JUDGED_APPLICANTS, _WITH_APPLICANTS)
 _add_with(
     "append_students_refused",
     lambda t: _refused(_append(t).rejected),
@@ -680,19 +676,15 @@ _JUDGED_UPDATES = f"""
                           THEN 'Update.StudentID.foreign_key,' ELSE '' END
                   || CASE WHEN ProgrammeID = 99 THEN 'Student.ProgrammeID.foreign_key,' ELSE '' END AS Reasons
         FROM ({plain(_UPDATES)}) AS u)"""
-_add_with(
-    "update_students",
-    lambda t: _update(t).table,
-    _JUDGED_UPDATES,
-    """SELECT st.* REPLACE (
+_WITH_UPDATES = """SELECT st.* REPLACE (
             COALESCE((SELECT arg_max(j.ProgrammeID, j.Place) FROM judged AS j
                       WHERE j.StudentID = st.StudentID AND j.Reasons = '' AND j.ProgrammeID IS NOT NULL),
                      st.ProgrammeID) AS ProgrammeID,
             COALESCE((SELECT arg_max(j.Status, j.Place) FROM judged AS j
                       WHERE j.StudentID = st.StudentID AND j.Reasons = '' AND j.Status IS NOT NULL),
                      st.Status) AS Status)
-       FROM Student AS st""",
-)
+       FROM Student AS st"""
+_add_with("update_students", lambda t: _update(t).table, _JUDGED_UPDATES, _WITH_UPDATES)
 _add_with(
     "update_students_refused",
     lambda t: _refused(_update(t).rejected),
@@ -713,18 +705,103 @@ _JUDGED_REQUESTS = f"""
                    OR ROW_NUMBER() OVER (PARTITION BY StudentID, CourseOfferingID, wrong = '' ORDER BY Place) > 1)
                   THEN 'Enrollment.StudentID+CourseOfferingID.unique,' ELSE '' END AS Reasons
         FROM judged AS j)"""
-_add_with(
-    "enrol_students",
-    lambda t: _enrol(t).table,
-    _JUDGED_REQUESTS,
-    """SELECT * FROM Enrollment UNION ALL BY NAME
+_WITH_REQUESTS = """SELECT * FROM Enrollment UNION ALL BY NAME
        SELECT (SELECT MAX(EnrollmentID) FROM Enrollment) + ROW_NUMBER() OVER (ORDER BY Place) AS EnrollmentID,
               StudentID, CourseOfferingID, EnrollmentDate, EnrollmentStatus
-       FROM placed WHERE Reasons = ''""",
-)
+       FROM placed WHERE Reasons = ''"""
+_add_with("enrol_students", lambda t: _enrol(t).table, _JUDGED_REQUESTS, _WITH_REQUESTS)
 _add_with(
     "enrol_students_refused",
     lambda t: _refused(_enrol(t).rejected),
     _JUDGED_REQUESTS,
     "SELECT Place, rtrim(Reasons, ',') AS Reasons FROM placed WHERE Reasons <> ''",
 )
+
+# ---- figures kept up to date ---------------------------------------------------------------
+
+
+def _states(t: RecordTables, tables: dict[str, DataFrame]) -> maintained.StoredStates:
+    """The stored states of some tables, in a new shared folder."""
+    return maintained.StoredStates.create(t.spark, maintained.summarise(tables), _shared_folder(t), parts=8)
+
+
+def _after_append(t: RecordTables) -> DataFrame:
+    """The cube after new students came, merged from their rows alone."""
+    none = {name: t[name].limit(0) for name in ("Enrollment", "AssessmentResult", "FeePayment", "LMSActivity")}
+    none["Enrollment"] = none["Enrollment"].withColumn("StudentID", F.col("StudentID").cast("string"))
+    states = _states(t, none | {"Student": run_sql(t.spark, t.sf_dir, _TEXT_IDS)})
+    states.put(maintained.appended(states, _append(t).accepted))
+    return states["cube"].drop("MarkSum")
+
+
+def _after_update(t: RecordTables) -> DataFrame:
+    """The cube after students changed status and programme, with all that they carry along."""
+    states = _states(t, t)
+    changed = _update(t).accepted
+    states.put(maintained.updated(states.naming(changed), changed))
+    return states["cube"].withColumn("MarkSum", F.col("MarkSum").cast("decimal(20,3)"))
+
+
+def _enrolled(t: RecordTables) -> maintained.StoredStates:
+    states = _states(t, t)
+    accepted = _enrol(t).accepted
+    states.put(maintained.enrolled(states.naming(accepted), accepted))
+    return states
+
+
+def _rewritten(t: RecordTables) -> DataFrame:
+    """Students stored in partitions, of which an update rewrote those that it touched."""
+    folder = _shared_folder(t)
+    partitions.save_partitioned(t["Student"], folder, "StudentID", 8)
+    partitions.rewrite_changed(t.spark, folder, _update(t).accepted, "StudentID", 8)
+    return partitions.read_partitioned(t.spark, folder)
+
+
+def _views(*names: str) -> str:
+    return ", ".join(f"{name} AS ({plain(VIEWS[name])})" for name in names)
+
+
+_CUBE = f"""
+    SELECT ProgrammeID, Status, Gender, COUNT(*) AS Students, CAST(SUM(COALESCE(e.n, 0)) AS BIGINT) AS Enrollments,
+           CAST(SUM(COALESCE(r.n, 0)) AS BIGINT) AS Results, CAST(SUM(COALESCE(r.marked, 0)) AS BIGINT) AS Marked,
+           CAST(SUM(COALESCE(r.a, 0)) AS BIGINT) AS GradeA, CAST(SUM(COALESCE(r.f, 0)) AS BIGINT) AS GradeF,
+           CAST(SUM(COALESCE(r.mark, 0)) AS DECIMAL(20,3)) AS MarkSum
+    FROM changed AS s
+    LEFT JOIN (SELECT StudentID, COUNT(*) AS n FROM Enrollment GROUP BY StudentID) AS e ON e.StudentID = s.StudentID
+    LEFT JOIN (SELECT StudentID, COUNT(*) AS n, COUNT({_MARK}) AS marked, SUM({_MARK}) AS mark,
+                      SUM(CASE FinalGrade WHEN 'A' THEN 1 ELSE 0 END) AS a, SUM(CASE FinalGrade WHEN 'F' THEN 1 ELSE 0 END) AS f
+               FROM AssessmentResult JOIN Enrollment USING (EnrollmentID) GROUP BY StudentID) AS r ON r.StudentID = s.StudentID
+    GROUP BY ProgrammeID, Status, Gender"""
+_add_with(
+    "maintained_after_append",
+    _after_append,
+    f"{_JUDGED_APPLICANTS}, changed AS ({_WITH_APPLICANTS})",
+    """SELECT ProgrammeID, Status, Gender, COUNT(*) AS Students, 0::BIGINT AS Enrollments, 0::BIGINT AS Results,
+              0::BIGINT AS Marked, 0::BIGINT AS GradeA, 0::BIGINT AS GradeF FROM changed GROUP BY ALL""",
+)
+_add_with(
+    "maintained_after_update",
+    _after_update,
+    f"{_JUDGED_UPDATES}, changed AS ({_WITH_UPDATES}), {_views('Enrollment', 'AssessmentResult')}",
+    _CUBE,
+)
+_ENROLLED = f"{_JUDGED_REQUESTS}, enrolled AS ({_WITH_REQUESTS})"
+_add_with(
+    "maintained_kpi_after_enrol",
+    lambda t: maintained.kpi_row(_enrolled(t), t["Programme"], CHOSEN),
+    f"{_ENROLLED}, {_views('Student', 'Programme', 'AssessmentResult', 'FeePayment', 'LMSActivity')}",
+    f"""SELECT (SELECT COUNT(*) FROM {_people(_CHOSEN)}) AS students,
+               (SELECT COUNT(*) FROM enrolled JOIN {_people(_CHOSEN)} USING (StudentID)) AS enrollments,
+               (SELECT COUNT(*) FROM AssessmentResult) AS results,
+               (SELECT ROUND(CAST(SUM({_MARK}) AS DOUBLE) / COUNT({_MARK}) * 100) / 100 FROM AssessmentResult) AS avg_mark,
+               (SELECT CAST(COALESCE(SUM(Balance), 0) AS DECIMAL(20,2)) FROM FeePayment) AS outstanding,
+               (SELECT COUNT(*) FROM LMSActivity) AS lms_events""",
+)
+_add_with(
+    "maintained_courses_after_enrol",
+    lambda t: maintained.course_enrolment(_enrolled(t), t),
+    f"{_ENROLLED}, {_views('CourseOffering', 'Course')}",
+    """SELECT CourseTitle, COUNT(EnrollmentID) AS TotalEnrollments FROM enrolled
+       JOIN CourseOffering USING (CourseOfferingID) JOIN Course USING (CourseID) GROUP BY CourseTitle""",
+)
+_add_with("rewritten_students", _rewritten, _JUDGED_UPDATES, _WITH_UPDATES)
