@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from campusflow import functions as columns
-from campusflow.operators import keys, maintained, quality, updates
+from campusflow.operators import keycounts, keys, maintained, quality, updates
 from campusflow.operators.filters import StudentFilter, filter_students, search_students, students_with_programme
 from campusflow.plans import engagement, finance, marks, overview
 from campusflow.schema import BROWSED_TABLES, GRADE_ORDER, SCHEMAS, Rule, contract_rules
@@ -805,3 +805,57 @@ _add_with(
        JOIN CourseOffering USING (CourseOfferingID) JOIN Course USING (CourseID) GROUP BY CourseTitle""",
 )
 _add_with("rewritten_students", _rewritten, _JUDGED_UPDATES, _WITH_UPDATES)
+
+# ---- batches checked against stored counts ---------------------------------------------------
+
+# New rows that repeat keys, refer to nothing, and bring a programme that others already refer to.
+_COMING = {
+    "Programme": "SELECT 70 + n_nationkey AS ProgrammeID, n_regionkey AS DepartmentID, n_name AS ProgrammeCode, "
+    "n_name || ' again' AS ProgrammeName, 'BSc' AS DegreeType, 0 AS DurationYears FROM {nation} WHERE n_nationkey < 3",
+    "Student": """
+        SELECT CASE WHEN s_suppkey % 9 > 0 THEN 100 * s_suppkey END AS StudentID, 60 + s_suppkey % 20 AS ProgrammeID,
+               s_name AS FirstName, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS LastName, 'unknown' AS Gender,
+               CASE WHEN s_suppkey % 2 = 0 THEN 'shared@example.edu' END AS Email, '1' AS PhoneNumber,
+               1800 + s_nationkey AS AdmissionYear, 'BUILDING' AS Status
+        FROM {supplier}""",
+    "Enrollment": """
+        SELECT event_id AS EnrollmentID, CASE event_type WHEN 'error' THEN NULL ELSE 2 * user_id END AS StudentID,
+               CAST({json}(props, '$.k') AS BIGINT) AS CourseOfferingID, CAST(ts AS DATE) AS EnrollmentDate,
+               'F' AS EnrollmentStatus
+        FROM {events}""",
+}
+_COUNTED = ("Department", "Programme", "Student", "CourseOffering", "Enrollment", "AssessmentResult")
+_COUNTED_RULES = [r for r in testbed_rules() if r.table in _COUNTED and (not r.parent or r.parent in _COUNTED)]
+
+
+def _key_counts(t: RecordTables) -> tuple[keycounts.KeyCounts, dict[str, DataFrame]]:
+    # As the parents lack a programme that rows refer to, the batch can bring it.
+    tables = {name: t[name] for name in _COUNTED}
+    tables["Programme"] = tables["Programme"].filter("ProgrammeID <> 4")
+    coming = {name: run_sql(t.spark, t.sf_dir, text) for name, text in _COMING.items()}
+    coming["Programme"] = coming["Programme"].withColumn("ProgrammeID", F.expr("IF(ProgrammeID = 72, 4, ProgrammeID)"))
+    return keycounts.KeyCounts.create(t.spark, tables, _COUNTED_RULES, _shared_folder(t), parts=8), coming
+
+
+def _checked_batch(t: RecordTables) -> DataFrame:
+    """The report over tables and batch, from stored counts."""
+    counts, coming = _key_counts(t)
+    return counts.check(coming)
+
+
+def _counted_batches(t: RecordTables) -> DataFrame:
+    """The same when the batch comes in two parts, each counted in."""
+    counts, coming = _key_counts(t)
+    counts.add({name: coming[name] for name in ("Student", "Enrollment")})
+    counts.add({"Programme": coming["Programme"]})
+    return counts.report()
+
+
+_ALL_ROWS = {name: plain(VIEWS[name]) for name in _COUNTED}
+_ALL_ROWS["Programme"] = f"SELECT * FROM ({_ALL_ROWS['Programme']}) AS p WHERE ProgrammeID <> 4"
+_ALL_ROWS |= {name: f"{_ALL_ROWS[name]} UNION ALL BY NAME {plain(text)}" for name, text in _COMING.items()}
+_ALL_ROWS["Programme"] = f"""SELECT * REPLACE (CASE ProgrammeID WHEN 72 THEN 4 ELSE ProgrammeID END AS ProgrammeID)
+    FROM ({_ALL_ROWS["Programme"]}) AS p"""
+_OF_ALL_ROWS = ", ".join(f"{name} AS ({text})" for name, text in _ALL_ROWS.items())
+for _name, _query in (("checked_batch", _checked_batch), ("counted_batches", _counted_batches)):
+    _add_with(_name, _query, _OF_ALL_ROWS, " UNION ALL ".join(map(_rule_oracle, _COUNTED_RULES)))

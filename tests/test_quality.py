@@ -5,10 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections import Counter
 from decimal import Decimal
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 
 from campusflow.operators import quality
+from campusflow.operators.keycounts import KeyCounts
+from campusflow.operators.quality import check_rules
 from campusflow.schema import DOMAINS, PRIMARY_KEYS, SCHEMAS, Rule, contract_rules
 
 DAY = dt.date(2026, 3, 1)
@@ -194,3 +198,35 @@ def test_row_count_summary(tables):
 def test_domain_lists_name_real_columns():
     assert all(column in SCHEMAS[table].names for table, column in DOMAINS)
     assert list(PRIMARY_KEYS.values()) == [schema.names[0] for schema in SCHEMAS.values()]
+
+
+# ---- batches against stored counts ------------------------------------------------------
+
+
+def test_a_batch_is_judged_without_the_tables(spark, tables, make, tmp_path):
+    rules = contract_rules()
+    for name, table in tables.items():
+        table.write.parquet(str(tmp_path / "tables" / name))
+    stored = {name: spark.read.parquet(str(tmp_path / "tables" / name)) for name in tables}
+    counts = KeyCounts.create(spark, stored, rules, str(tmp_path / "counts"), parts=4)
+    batch = {
+        "Student": make("Student", [{"StudentID": i, "ProgrammeID": p, "Gender": "?"} for i, p in (("S01", 1), ("S90", 99), ("S90", 2), (None, 3))]),
+        "Programme": make("Programme", [{"ProgrammeID": 98}, {"ProgrammeID": 1}]),
+        "Enrollment": make("Enrollment", [{"EnrollmentID": 1, "StudentID": "S01", "CourseOfferingID": 1}, {"EnrollmentID": 77, "StudentID": "gone", "CourseOfferingID": 9}]),
+    }
+
+    def every(*parts):
+        return {n: reduce(DataFrame.unionByName, [p[n] for p in (tables, *parts) if n in p]) for n in tables}
+
+    def told(report):
+        return sorted((r.RuleID, r.Violations) for r in report.collect())
+
+    report = counts.check(batch)
+    assert told(report) == told(check_rules(every(batch), rules))
+    assert all("/counts/" in f for f in report.inputFiles())
+    assert len(counts.add(batch)) <= 4
+    later = {"Student": make("Student", [{"StudentID": "gone", "ProgrammeID": 98}]), "Programme": make("Programme", [{"ProgrammeID": 99}])}
+    assert told(counts.check(later)) == told(check_rules(every(batch, later), rules))
+    counts.add(later)
+    assert told(counts.report()) == told(check_rules(every(batch, later), rules))
+    assert told(counts.check({})) == told(counts.report())
