@@ -24,7 +24,7 @@ MINIMISER_WORDS = 6
 # A bucket of more super-k-mers than this is dealt out further, by whole windows.
 HOT_BUCKET = 1000
 SORT_CHUNK = 8192
-_SUPER = "minimiser long, doc long, mark long, start int, n int"
+_COUNTS = "minimiser long, times long"
 _PACKED = "bucket long, words binary, doc long, mark long, start int, n int"
 _INTERVALS = "doc long, mark long, start int, end int"
 
@@ -57,8 +57,37 @@ def _super_kmers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return hashes[lowest[starts]], places[starts], np.diff(np.append(starts, len(places)))
 
 
-def _cut(window: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(window: int):
+    """How many super-k-mers each minimiser has, summed up per slice of texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in row_slices(batches, "body"):
+            minimisers, _, _ = _super_kmers(Words(texts, IS_SPACE), window)
+            found, times = np.unique(minimisers, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["minimiser", "times"])
+
+    return count
+
+
+def _joined(words: Words, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The words from each first to each last one, with one blank between two."""
+    blank = np.full(1, 0x20, np.uint8)
+    sizes = words.end - words.start + 1
+    place = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.arange(place[-1]) - np.repeat(place[:-1] - words.start, sizes)
+    at[place[1:] - 1] = len(words.data)  # the blank after each word
+    plain = np.concatenate([words.data, blank])[at]
+    lengths = place[last + 1] - 1 - place[first]
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    taken = plain[np.arange(offsets[-1]) + np.repeat(place[first] - offsets[:-1], lengths)]
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)]
+    return pa.Array.from_buffers(pa.large_binary(), len(first), buffers).cast(pa.binary())
+
+
+def _pack(window: int):
+    """Every super-k-mer as one packed string, with its place."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in row_slices(batches, "body"):
             words = Words(texts, IS_SPACE)
             minimisers, places, n = _super_kmers(words, window)
@@ -66,43 +95,12 @@ def _cut(window: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(minimisers.view(np.int64)),
+                    _joined(words, places, places + n + window - 2),
                     batch.column("doc").take(pa.array(text)),
                     batch.column("mark").take(pa.array(text)),
                     pa.array((places - words.first[text]).astype(np.int32)),
                     pa.array(n.astype(np.int32)),
                 ],
-                ["minimiser", "doc", "mark", "start", "n"],
-            )
-
-    return cut
-
-
-def _pack(window: int, text: str):
-    """The words of each row's chosen super-k-mers."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column("row")
-            texts = rows.flatten()[rows.type.get_field_index(text)]
-            of, buckets, strings, starts, counts = [], [], [], [], []
-            for i, (body, chosen) in enumerate(zip(texts, batch.column("chosen").to_pylist(), strict=True)):
-                words = body.as_py().encode().split()
-                for c in chosen:
-                    of.append(i)
-                    buckets.append(c["minimiser"])
-                    strings.append(b" ".join(words[c["start"] : c["start"] + c["n"] + window - 1]))
-                    starts.append(c["start"])
-                    counts.append(c["n"])
-            source = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(buckets, pa.int64()),
-                    pa.array(strings, pa.binary()),
-                    batch.column("doc").take(source),
-                    batch.column("mark").take(source),
-                    pa.array(starts, pa.int32()),
-                    pa.array(counts, pa.int32()),
-                ],
                 ["bucket", "words", "doc", "mark", "start", "n"],
             )
 
@@ -219,7 +217,10 @@ def _sorted_buckets(window: int):
 
 def _by_bucket(table: pa.Table, buckets: np.ndarray) -> Iterator[pa.Table]:
     """Parts of about SORT_CHUNK rows that end where a bucket ends."""
-    start = 0
+    # A bucket with one super-k-mer holds no repetition.
+    same = buckets[1:] == buckets[:-1]
+    met = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(buckets) else np.empty(0, bool)
+    table, buckets, start = table.filter(pa.array(met)), buckets[met], 0
     while start < len(buckets):
         stop = len(buckets)
         if start + SORT_CHUNK < stop:
@@ -270,31 +271,21 @@ def remove_repeated_passages(
     text of fewer words than a window loses none.  Repeated rows are copies of each other.  A caller's
     column with the name of an added one is replaced.
 
-    Buckets with one super-k-mer hold no repetition, so only the others' words travel.  A bucket of more than
-    ``hot_bucket`` (a line or passage that very many texts share) is dealt out by whole windows instead, after
-    equal strings have been put together.
+    All super-k-mers travel, once, to the bucket of their minimiser; together they have little more words than the
+    texts.  A bucket of more than ``hot_bucket`` (a line or passage that very many texts share) is dealt out by
+    whole windows instead, after equal strings have been put together.
     """
     rows = packed(docs, doc_id, text)
     bodies = rows.select("doc", "mark", F.struct("body").alias("row"))
-    kmers = bodies.mapInArrow(_cut(window), _SUPER)
-    # Stored, so that the join below shuffles both sides and Spark can split a hot minimiser.
-    counts = stored(kmers.groupBy("minimiser").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    met = kmers.join(counts, "minimiser").withColumn("hot", F.col("times") > hot_bucket)
-    # A set: a row that the table repeats asks for its super-k-mers once, and then brings each copy's.
-    chosen = met.groupBy("doc", "mark").agg(F.collect_set(F.struct("hot", "minimiser", "start", "n")).alias("chosen"))
-    chosen = stored(chosen)
+    counts = bodies.mapInArrow(_count(window), _COUNTS).groupBy("minimiser").agg(F.sum("times").alias("times"))
+    # At most one in ``hot_bucket`` super-k-mers; Spark broadcasts them if they are few.
+    hot = stored(counts.filter(F.col("times") > hot_bucket).select(F.col("minimiser").alias("bucket")))
     release(docs.sparkSession)
-
-    def strings(hot: bool) -> DataFrame:
-        part = F.filter("chosen", lambda c: c["hot"] == F.lit(hot))
-        asked = chosen.select("doc", "mark", part.alias("chosen")).filter(F.size("chosen") > 0)
-        given = rows.select("row", "doc", "mark")
-        joined = given.join(asked, same_row(given, asked)).select("row", given["doc"], given["mark"], "chosen")
-        return joined.mapInArrow(_pack(window, text), _PACKED)
-
-    cold = strings(hot=False).repartition("bucket").sortWithinPartitions("bucket")
-    hot = strings(hot=True)
-    gone = cold.mapInArrow(_sorted_buckets(window), _INTERVALS).unionByName(_of_hot(hot, window))
+    strings = bodies.mapInArrow(_pack(window), _PACKED)
+    cold = strings.join(hot, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
+    gone = cold.mapInArrow(_sorted_buckets(window), _INTERVALS)
+    if not hot.isEmpty():
+        gone = gone.unionByName(_of_hot(strings.join(hot, "bucket", "left_semi"), window))
     per_row = gone.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
 
     joined = rows.select("row", "doc", "mark").join(per_row, same_row(rows, per_row), "left").select("row", "gone")
