@@ -204,7 +204,7 @@ def test_domain_lists_name_real_columns():
 
 
 def test_a_batch_is_judged_without_the_tables(spark, tables, make, tmp_path):
-    rules = contract_rules()
+    rules = [r for r in contract_rules() if r.table in ("Student", "Programme", "Enrollment")]
     for name, table in tables.items():
         table.write.parquet(str(tmp_path / "tables" / name))
     stored = {name: spark.read.parquet(str(tmp_path / "tables" / name)) for name in tables}
