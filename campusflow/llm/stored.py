@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
+import uuid
+from urllib.parse import urlparse
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The address of a new folder inside the shared one, for files that tasks write and map themselves."""
+    folder = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not urlparse(folder).scheme:
+        folder = f"file://{os.path.abspath(folder)}"
+    elif folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
+    files, path = pyarrow.fs.FileSystem.from_uri(folder)
+    files.create_dir(path)
+    return folder
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder; a lost executor costs a read, not the work before."""
     shared_folder(frame.sparkSession)

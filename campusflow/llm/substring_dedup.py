@@ -8,6 +8,7 @@ bucket from different super-k-mers, and sorting a bucket's windows counts them e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from campusflow.llm.lm_scoring import _find, _map, _write
 from campusflow.llm.rows import packed, same_row, unpacked
-from campusflow.llm.stored import release, stored
+from campusflow.llm.stored import new_folder, release, stored
 from campusflow.llm.tokens import IS_SPACE, Words, inside_text, mix, row_slices, sequence_hashes
 
 MINIMISER_WORDS = 6
 # A bucket of more super-k-mers than this is dealt out further, by whole windows.
 HOT_BUCKET = 1000
+# Repeated minimisers in one array.
+SHARD_MINIMISERS = 1 << 20
 SORT_CHUNK = 8192
 _COUNTS = "minimiser long, times long"
 _PACKED = "bucket long, words binary, doc long, mark long, start int, n int"
@@ -84,13 +88,58 @@ def _joined(words: Words, first: np.ndarray, last: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(first), buffers).cast(pa.binary())
 
 
-def _pack(window: int):
-    """Every super-k-mer as one packed string, with its place."""
+def _kept_minimisers(folder: str):
+    """Writes the repeated minimisers of whole shards as sorted arrays, with which of them are hot."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def put(table: pa.Table) -> pa.RecordBatch:
+            shards = table.column("shard").to_numpy()
+            hashes, hot = table.column("minimiser").to_numpy().view(np.uint64), table.column("hot").to_numpy()
+            for shard in np.unique(shards).tolist():
+                own = np.flatnonzero(shards == shard)
+                order = own[np.argsort(hashes[own])]
+                _write(folder, f"minimiser-{shard}-hash", hashes[order])
+                _write(folder, f"minimiser-{shard}-hot", hot[order].astype(np.uint8))
+            return pa.RecordBatch.from_pydict({"n": [len(table)]})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = batch.column("shard")[-1].as_py()
+            if held[0].column("shard")[0].as_py() != last:
+                # Shards come in order, so all but the last of them are whole.
+                table = pa.Table.from_batches(held)
+                whole = pc.less(table.column("shard"), last)
+                yield put(table.filter(whole))
+                held = table.filter(pc.invert(whole)).combine_chunks().to_batches()
+        if held:
+            yield put(pa.Table.from_batches(held))
+
+    return write
+
+
+def _repeated_at(folder: str, shards: int, minimisers: np.ndarray, hot: bool) -> np.ndarray:
+    """Which of the minimisers are repeated, and hot or not as asked for."""
+    found, of = np.unique(minimisers, return_inverse=True)
+    asked = np.zeros(len(found), bool)
+    shard = found.view(np.int64) % shards
+    for s, places, at in _find(folder, "minimiser", shards, found, shard):
+        asked[places] = _map(folder, f"minimiser-{s}-hot", np.uint8)[at] == hot
+    return asked[of]
+
+
+def _pack(window: int, folder: str, shards: int, hot: bool):
+    """The super-k-mers with a repeated minimiser as packed strings, with their places."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in row_slices(batches, "body"):
             words = Words(texts, IS_SPACE)
             minimisers, places, n = _super_kmers(words, window)
+            chosen = _repeated_at(folder, shards, minimisers, hot)
+            minimisers, places, n = minimisers[chosen], places[chosen], n[chosen]
             text = np.searchsorted(words.first, places, "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [
@@ -271,21 +320,29 @@ def remove_repeated_passages(
     text of fewer words than a window loses none.  Repeated rows are copies of each other.  A caller's
     column with the name of an added one is replaced.
 
-    All super-k-mers travel, once, to the bucket of their minimiser; together they have little more words than the
-    texts.  A bucket of more than ``hot_bucket`` (a line or passage that very many texts share) is dealt out by
-    whole windows instead, after equal strings have been put together.
+    Buckets with one super-k-mer hold no repetition, so only the others' words travel: the repeated minimisers are
+    written to the shared folder as sorted arrays, which workers map while they cut the texts.  A bucket of more
+    than ``hot_bucket`` (a line or passage that very many texts share) is dealt out by whole windows instead, after
+    equal strings have been put together.
     """
+    spark = docs.sparkSession
     rows = packed(docs, doc_id, text)
     bodies = rows.select("doc", "mark", F.struct("body").alias("row"))
     counts = bodies.mapInArrow(_count(window), _COUNTS).groupBy("minimiser").agg(F.sum("times").alias("times"))
-    # At most one in ``hot_bucket`` super-k-mers; Spark broadcasts them if they are few.
-    hot = stored(counts.filter(F.col("times") > hot_bucket).select(F.col("minimiser").alias("bucket")))
-    release(docs.sparkSession)
-    strings = bodies.mapInArrow(_pack(window), _PACKED)
-    cold = strings.join(hot, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
+    repeated = stored(counts.filter("times > 1").select("minimiser", (F.col("times") > hot_bucket).alias("hot")))
+    n, hot = repeated.agg(F.count(F.lit(1)), F.coalesce(F.max("hot"), F.lit(False))).first()
+    shards, folder = max(1, math.ceil(n / SHARD_MINIMISERS)), new_folder(spark, "minimisers")
+    dealt = repeated.withColumn("shard", F.pmod("minimiser", F.lit(shards))).repartition("shard").sortWithinPartitions("shard")
+    dealt.mapInArrow(_kept_minimisers(folder), "n long").agg(F.sum("n")).collect()
+    release(spark)
+
+    def strings(hot: bool) -> DataFrame:
+        return bodies.mapInArrow(_pack(window, folder, shards, hot), _PACKED)
+
+    cold = strings(hot=False).repartition("bucket").sortWithinPartitions("bucket")
     gone = cold.mapInArrow(_sorted_buckets(window), _INTERVALS)
-    if not hot.isEmpty():
-        gone = gone.unionByName(_of_hot(strings.join(hot, "bucket", "left_semi"), window))
+    if hot:
+        gone = gone.unionByName(_of_hot(strings(hot=True), window))
     per_row = gone.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
 
     joined = rows.select("row", "doc", "mark").join(per_row, same_row(rows, per_row), "left").select("row", "gone")

@@ -189,6 +189,22 @@ def test_passages_by_brute_force(docs_of, hot):
         assert found[i].n_removed == len(gone)
 
 
+def test_minimisers_of_whole_shards_are_found_again(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    rows = spark.range(5000).select(F.xxhash64("id").alias("minimiser"), (F.col("id") % 7 == 0).alias("hot"))
+    dealt = rows.withColumn("shard", F.pmod("minimiser", F.lit(9))).repartition(2, "shard").sortWithinPartitions("shard")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")  # shards end inside batches, batches inside shards
+    try:
+        assert dealt.mapInArrow(substring_dedup._kept_minimisers(folder), "n long").agg(F.sum("n")).first()[0] == 5000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    known = rows.toPandas()
+    asked = np.concatenate([known.minimiser.to_numpy(), np.arange(1000)]).view(np.uint64)
+    hot = np.concatenate([known.hot.to_numpy(), np.zeros(1000, bool)])
+    assert (substring_dedup._repeated_at(folder, 9, asked, True) == hot).all()
+    assert (substring_dedup._repeated_at(folder, 9, asked, False) == np.concatenate([~known.hot, np.zeros(1000, bool)])).all()
+
+
 def test_windows_with_one_hash_are_told_apart(monkeypatch, docs_of):
     whole = substring_dedup.sequence_hashes
     monkeypatch.setattr(substring_dedup, "mix", lambda x: x * 0)
