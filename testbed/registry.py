@@ -14,8 +14,8 @@ from campusflow import functions as columns
 from campusflow.operators import keycounts, keys, maintained, quality, updates
 from campusflow.operators.filters import StudentFilter, filter_students, search_students, students_with_programme
 from campusflow.plans import engagement, finance, marks, overview
-from campusflow.schema import BROWSED_TABLES, GRADE_ORDER, SCHEMAS, Rule, contract_rules
-from campusflow.sources import catalog, load, partitions
+from campusflow.schema import BROWSED_TABLES, GRADE_ORDER, PRIMARY_KEYS, SCHEMAS, Rule, contract_rules
+from campusflow.sources import catalog, footers, load, partitions
 from campusflow.sources.first_load import first_load
 from testbed.views import VIEWS, RecordTables, oracle, plain, read_source, run_sql, testbed_rules
 
@@ -859,3 +859,24 @@ _ALL_ROWS["Programme"] = f"""SELECT * REPLACE (CASE ProgrammeID WHEN 72 THEN 4 E
 _OF_ALL_ROWS = ", ".join(f"{name} AS ({text})" for name, text in _ALL_ROWS.items())
 for _name, _query in (("checked_batch", _checked_batch), ("counted_batches", _counted_batches)):
     _add_with(_name, _query, _OF_ALL_ROWS, " UNION ALL ".join(map(_rule_oracle, _COUNTED_RULES)))
+
+# ---- figures from file footers -----------------------------------------------------------------
+
+_NUMBERED = ("Programme", "Course", "Enrollment", "AssessmentResult", "FeePayment", "LMSActivity")
+
+
+def _stored(t: RecordTables, names: tuple[str, ...]) -> str:
+    folder = _shared_folder(t)
+    for name in names:
+        catalog.write_snapshot(t[name], f"{folder}/{name}.parquet")
+    return folder
+
+
+QUERIES["stored_row_counts"] = lambda t: footers.stored_row_counts(t.spark, _stored(t, BROWSED_TABLES), BROWSED_TABLES)
+ORACLES["stored_row_counts"] = ORACLES["row_count_summary"]
+QUERIES["stored_next_keys"] = lambda t: footers.stored_next_keys(t.spark, _stored(t, _NUMBERED), _NUMBERED)
+ORACLES["stored_next_keys"] = oracle(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS TableName, CAST(MAX({PRIMARY_KEYS[n]}) AS BIGINT) + 1 AS NextKey FROM {n}" for n in _NUMBERED
+    )
+)

@@ -9,7 +9,7 @@ import pytest
 from campusflow.operators import quality
 from campusflow.operators.filters import students_with_programme
 from campusflow.plans import engagement, finance, marks, overview
-from campusflow.sources import catalog
+from campusflow.sources import catalog, footers
 from campusflow.sources.layout import save_bucketed
 from testbed.registry import CHOSEN, EVERYONE, QUERIES
 from testbed.views import RecordTables
@@ -188,3 +188,16 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tables, no_broadcast):
     assert "Exchange" not in plan(joined) and joined.count() == 7
     got = marks.programme_marks(kept)
     assert got.collect() == marks.programme_marks(tables).collect()
+
+
+def test_footers_answer_counts_and_largest_keys(spark, make, tmp_path):
+    rows = [(n, 1, f"C{n}", "t", 3) for n in (4, 9, 2)]
+    make("Course", rows).write.parquet(str(tmp_path / "Course.parquet"))
+    make("Programme", []).write.parquet(str(tmp_path / "Programme.parquet"))
+    counts = footers.stored_row_counts(spark, str(tmp_path), ["Course", "Programme"])
+    keys = footers.stored_next_keys(spark, str(tmp_path), ["Course", "Programme"])
+    assert {tuple(r) for r in counts.collect()} == {("Course", 3), ("Programme", 0)}
+    assert {tuple(r) for r in keys.collect()} == {("Course", 10), ("Programme", 1)}
+    assert "PushedAggregation: [COUNT(*)]" in plan(counts)
+    assert "PushedAggregation: [MAX(CourseID)]" in plan(keys)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
