@@ -7,7 +7,6 @@ import corpus_pipeline
 from campusflow.llm import mixing, quality_rules
 from campusflow.llm.queries import DECONTAMINATION_SQL
 from tests.llm.conftest import components
-from tests.llm.test_methods import _without_repeated_chunks
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,6 +18,22 @@ def _sql(text: str, **tables) -> list[dict]:
     return con.execute(text).to_arrow_table().to_pylist()
 
 
+def _without_repeated_pairs(texts: dict[int, str]) -> dict[int, str]:
+    """Neighbouring lines with words that an earlier place has go, with blank lines between them."""
+    first, left = {}, {}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        full = [k for k, line in enumerate(lines) if line.strip(" \t\n\x0b\f\r")]
+        gone = set()
+        for a, b in zip(full, full[1:]):
+            pair = "\n".join(lines[a : b + 1])
+            at = first.setdefault(pair, (i, a, b))
+            if at[0] != i or at[2] < a:
+                gone |= set(range(a, b + 1))
+        left[i] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+    return left
+
+
 def test_stages_by_brute_force(spark, tmp_path):
     docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [r.asDict() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -33,7 +48,7 @@ def test_stages_by_brute_force(spark, tmp_path):
 
     kept = {r["doc_id"] for r in _sql(quality_rules.score_quality_sql(), documents=docs) if r["kept"]}
     docs = [d for d in docs if d["doc_id"] in kept]
-    cut = _without_repeated_chunks({d["doc_id"]: d["text"] for d in docs})
+    cut = _without_repeated_pairs({d["doc_id"]: d["text"] for d in docs})
     docs = [d | {"text": cut[d["doc_id"]], "n_chars": len(cut[d["doc_id"]])} for d in docs if cut[d["doc_id"]].strip()]
     low = components({d["doc_id"]: d["text"] for d in docs}, 5, 80)
     docs = [d for d in docs if low[d["doc_id"]] == d["doc_id"]]
