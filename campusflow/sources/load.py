@@ -103,11 +103,16 @@ def load_tables(
     names: Iterable[str] = tuple(SCHEMAS),
     omitted: Mapping[str, Sequence[str]] | None = None,
     schemas: Mapping[str, StructType] = SCHEMAS,
+    line_breaks: bool = True,
 ) -> dict[str, DataFrame]:
-    """Read the named tables; ``omitted`` holds the columns the files of a table lack."""
+    """Read the named tables; ``omitted`` holds the columns the files of a table lack.
+
+    Give ``line_breaks=False`` for large CSV files whose values have none: Spark then splits them between tasks.
+    """
     omitted = omitted or {}
     return {
-        name: load_table(spark, directory, name, file_format, schemas[name], omitted.get(name, ())) for name in names
+        name: load_table(spark, directory, name, file_format, schemas[name], omitted.get(name, ()), line_breaks)
+        for name in names
     }
 
 

@@ -151,6 +151,22 @@ def test_canonical_columns(spark):
     assert load.canonical_columns(df).columns == ["StudentID", "AvgMark", "MyOwn", "n"]
 
 
+def test_csv_without_line_breaks_is_split_between_tasks(spark, make, tmp_path):
+    rows = [(n, f"Department {n}", "Arts", "Hall") for n in range(1, 3001)]
+    catalog.export_csv(make("Department", rows).coalesce(1), str(tmp_path / "Department.csv"))
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, "16384")
+    try:
+        tasks = {}
+        for breaks in (True, False):
+            loaded = load.load_tables(spark, str(tmp_path), "csv", ["Department"], line_breaks=breaks)["Department"]
+            tasks[breaks] = loaded.rdd.getNumPartitions()
+            assert loaded.count() == 3000
+    finally:
+        spark.conf.set(name, before)
+    assert tasks[True] == 1 and tasks[False] > 2
+
+
 # ---- keys ----------------------------------------------------------------------------
 
 
