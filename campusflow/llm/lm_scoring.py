@@ -33,6 +33,8 @@ SHARD_TOKENS = 1 << 21
 # A word with more than this share of the tokens is hot: its bigrams are dealt by both words.  There are
 # 1 / HOT_SHARE such words at most.
 HOT_SHARE = 0.0005
+# Bigram counts are stored in four bytes; the few that are larger stand with their places in an array of their own.
+FOUR_BYTES = 0xFFFFFFFF
 _DEALT = "shard int, first binary, second binary, n binary"
 _COUNTED = "shard int, kind string, word binary, sums binary"
 _STATS = "name string, value double"
@@ -166,7 +168,10 @@ def _bigram_shards(folder: str, word_shards: int):
             code = bigram_hash(first, second)
             order = np.argsort(code)
             _write(folder, f"bigram-{shard}-hash", code[order])
-            _write(folder, f"bigram-{shard}-n", np.minimum(n[order], 0xFFFFFFFF).astype(np.uint32))
+            _write(folder, f"bigram-{shard}-n", np.minimum(n[order], FOUR_BYTES).astype(np.uint32))
+            large = np.flatnonzero(n[order] > FOUR_BYTES)
+            if len(large):
+                _write(folder, f"bigram-{shard}-large", np.column_stack((large, n[order][large])))
             of_first = np.column_stack((n, n == 1, n == 2, n >= 3, n == 3, n == 4)).astype(np.int64)
             (by_first,), sums = _summed((first,), of_first)
             (by_second,), types = _summed((second,), np.ones((len(second), 1), np.int64))
@@ -297,7 +302,12 @@ class _Scorer:
         shard = _deal(mix(np.where(np.isin(first, self.hot), code, first)), shards)
         n = np.zeros(len(code), np.int64)
         for s, asked, place in _find(self.model.folder, "bigram", shards, code, shard):
-            n[asked] = _map(self.model.folder, f"bigram-{s}-n", np.uint32)[place]
+            found = _map(self.model.folder, f"bigram-{s}-n", np.uint32)[place].astype(np.int64)
+            large = _map(self.model.folder, f"bigram-{s}-large", np.int64).reshape(-1, 2)
+            if len(large):
+                at = np.minimum(np.searchsorted(large[:, 0], place), len(large) - 1)
+                found = np.where(large[at, 0] == place, large[at, 1], found)
+            n[asked] = found
         return n
 
     def score(self, before: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -565,3 +566,16 @@ def test_a_tiny_cell_does_not_throttle_a_wanted_share(spark, docs_of):
         assert {c.source for c in cells if c.short} >= ({"rare"} if share > 0.3 else set())
     with pytest.raises(ValueError):
         mixing.mix_sources(docs, share=0.0)
+
+
+def test_bigram_counts_beyond_four_bytes(tmp_path, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FOUR_BYTES", 5)
+    first, second = np.arange(40, dtype=np.uint64), np.arange(40, dtype=np.uint64) * np.uint64(7)
+    n = (np.arange(40) % 9 + 1).astype(np.uint32)
+    row = {"shard": 0, "first": first.tobytes(), "second": second.tobytes(), "n": n.tobytes()}
+    folder = f"file://{tmp_path}"
+    list(lm_scoring._bigram_shards(folder, 1)(iter([pa.RecordBatch.from_pylist([row])])))
+    scorer = object.__new__(lm_scoring._Scorer)
+    scorer.model, scorer.hot = lm_scoring.Model(folder, 1, 1, {}), np.empty(0, np.uint64)
+    assert scorer._bigram_counts(first, second).tolist() == n.tolist()
+    assert scorer._bigram_counts(first, second + np.uint64(1)).tolist() == [0] * 40
