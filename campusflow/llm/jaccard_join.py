@@ -231,9 +231,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_rows(placed: DataFrame) -> DataFrame:
-    """The postings whose key is shared by sets of different components."""
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return placed.join(mixed.filter("low <> high").select("key"), "key")
+    """The postings whose key is shared by sets of different components, with the number of sets that share it."""
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("sharing")
+    )
+    return placed.join(mixed.filter("low <> high").select("key", "sharing"), "key")
 
 
 def _linkable(tokens: DataFrame, percent: int) -> DataFrame:
@@ -247,20 +249,23 @@ def _linkable(tokens: DataFrame, percent: int) -> DataFrame:
 def _opened(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different components that share a key: the matrix of tokens and groups.
 
-    A group holds sets with the same lowest key, of up to about GROUP_TOKENS tokens.  A set meets the groups it shares a key with,
-    once however many keys they share; sizes, then the overlap with the group's union, decide which groups are
-    opened, and within an opened one it is compared with the sets of other components.
+    A group holds sets whose most shared key is the same, of up to about GROUP_TOKENS tokens, so sets that share many
+    keys tend to be in one group.  A set meets its own group through that key alone, and each later group that it shares
+    a key with, once however many keys they share; sizes, then the overlap with the group's union, decide which
+    groups are opened, and within an opened one it is compared with the sets of other components.
     """
     rows = stored(_open_rows(placed))
     open_sets = rows.select("node").distinct()
     able = _linkable(sets.join(open_sets, "node", "left_semi"), percent)
-    rows = stored(_open_rows(rows.join(able, "node")))
+    rows = stored(_open_rows(rows.drop("sharing").join(able, "node")))
 
-    leads = rows.groupBy("node", "component", "n").agg(F.min("key").alias("lead"))
+    leads = rows.groupBy("node", "component", "n").agg(F.max_by("key", F.struct("sharing", "key")).alias("lead"))
     sizes = leads.groupBy("lead").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     release(sets.sparkSession)
-    grouped = stored(leads.join(sizes, "lead").select("node", "component", F.struct("lead", block.alias("block")).alias("group")))
+    grouped = stored(
+        leads.join(sizes, "lead").select("node", "component", "n", F.struct("lead", block.alias("block")).alias("group"))
+    )
     groups = grouped.join(sets, "node").groupBy("group").agg(
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"),
         F.collect_list(F.struct("node", "component", "tokens")).alias("members"),
@@ -268,9 +273,14 @@ def _opened(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.max(F.size("tokens")).alias("most"),
     )
     keyed = rows.select("key", "node").join(grouped, "node")
-    here = keyed.groupBy("key", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    seen = keyed.select("key", F.col("node").alias("a"), F.col("component").alias("own"), F.col("group").alias("home"))
-    met = seen.join(here, "key").filter("home <= group AND NOT (low = own AND high = own)")
+    here = keyed.groupBy("key", "group").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    seen = keyed.select("key", "n", F.col("node").alias("a"), F.col("component").alias("own"), F.col("group").alias("home"))
+    sized = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
+    met = seen.join(here, "key").filter(
+        sized & F.expr("(home < group OR (home = group AND key = group.lead)) AND NOT (low = own AND high = own)")
+    )
     met = met.select("a", "own", "group").distinct()
 
     query = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
