@@ -1,9 +1,10 @@
 """N-gram Jaccard join through a matrix of tokens and groups.
 
 Documents become sets of hashed word n-grams; equal sets are one class.  Each set gets keys such that two sets
-similar enough share at least one (see ``_Keys``).  Sets that share a key are compared with a few leaders first,
-which joins near copies into groups.  For the rest, each group stores the union of its members' tokens; a
-set is compared with a group's members only if its overlap with that union can still reach the threshold.
+similar enough share some (see ``_Keys``); a set that shares fewer with others links with none.  Sets that
+share a key are compared with a few leaders first, which joins near copies into groups.  For the rest, each
+group stores the union of its members' tokens; a set is compared with a group's members only if its overlap
+with that union can still reach the threshold.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from campusflow.llm.tokens import IS_SPACE, Words, inside_text, mix, row_slices,
 # Keys are dealt to shards of about so many; a task holds one shard, and sends keys on in chunks.
 SHARD_KEYS = 1 << 20
 CHUNK_KEYS = 1 << 20
-# Partitions beyond those that pigeonholing needs; so many empty ones can be passed over.
-SPARE = 2
+# Keys for parts that two similar sets share at least; a set of which fewer are shared with others links with none.
+SHARED = 3
+SUPPORT_ROUNDS = 2
 LEADER_ROUNDS = 1
 LEADERS = 3
 # Tokens of the sets of one group together, which bounds its row whatever the sets' sizes.
@@ -39,9 +41,11 @@ class _Keys:
     Such sets differ in at most (100 - p) / (100 + p) of their sizes' sum, and their sizes by p / 100.  Sizes
     fall into classes so wide that similar sets lie in the same or neighbouring ones; a set gets keys for its
     class with the next, and for the class before with its own.  If a class pair allows D differences, tokens
-    are dealt to D + 1 + SPARE parts by hash: at least 1 + SPARE parts are then the same in both sets, and a
-    part's content is the key.  A set passes over its empty parts if they are SPARE at most; then some shared
-    part is not empty.  For D of 1 the keys are the set and the set without each one of its tokens.
+    are dealt to D + E + SHARED parts by hash, and a part's content is the key.  E is about the number of parts
+    that the smallest of these sets leaves empty.  At least E + SHARED parts are the same in both sets; a set
+    passes over its empty parts if they are E at most, so both have at least SHARED keys in common.  These keys
+    are even numbers.  For D of 1 the keys are the set and the set without each one of its tokens, as odd numbers:
+    sharing one of them is enough.
     """
 
     def __init__(self, percent: int) -> None:
@@ -58,6 +62,12 @@ class _Keys:
             self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         return self.starts[c]
 
+    @lru_cache(maxsize=None)  # noqa: B019
+    def _empty(self, c: int) -> int:
+        parts = self._differences(c) + SHARED
+        expected = parts * math.exp(-self._start(c) / parts)
+        return math.ceil(expected + 2 * math.sqrt(expected))
+
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """The distinct keys of a set of at least one token."""
         n = len(tokens)
@@ -71,15 +81,16 @@ class _Keys:
         mixed = mix(tokens ^ salt)
         if differences <= 1:
             whole = mixed.sum(dtype=np.uint64)
-            return mix(np.concatenate(([whole], whole - mixed if differences else mixed[:0])) + salt)
-        parts = differences + 1 + SPARE
+            return mix(np.concatenate(([whole], whole - mixed if differences else mixed[:0])) + salt) | np.uint64(1)
+        empty = self._empty(c)
+        parts = differences + empty + SHARED
         part = ((mixed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         contents = np.zeros(parts, np.uint64)
         np.add.at(contents, part.astype(np.int64), mix(mixed))
         chosen = np.bincount(part.astype(np.int64), minlength=parts) > 0
-        if parts - chosen.sum() > SPARE:
+        if parts - chosen.sum() > empty:
             chosen[:] = True
-        return mix(mix(contents + salt) + np.arange(parts, dtype=np.uint64))[chosen]
+        return mix(mix(contents + salt) + np.arange(parts, dtype=np.uint64))[chosen] & ~np.uint64(1)
 
 
 def _sets(words: Words, n: int) -> Iterator[np.ndarray]:
@@ -192,6 +203,17 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from postings()
 
 
+def _supported(postings: DataFrame) -> DataFrame:
+    """The postings of sets that share as many keys with others as a link needs, as far as another such set shares them."""
+    for _ in range(SUPPORT_ROUNDS):
+        odd = F.col("key").bitwiseAND(F.lit(1))
+        counted = postings.groupBy("node").agg(F.count(F.lit(1)).alias("keys"), F.max(odd).alias("alone"))
+        kept = postings.join(counted.filter((F.col("alone") == 1) | (F.col("keys") >= SHARED)).select("node"), "node")
+        shared = kept.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("key")
+        postings = stored(kept.join(shared, "key").select("key", "node"))
+    return postings
+
+
 def _linked(a: Column, b: Column, percent: int) -> Column:
     both = F.size(F.array_intersect(a, b))
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
@@ -332,7 +354,7 @@ def similarity_components(
     met = dealt.filter("shard IS NOT NULL").repartition("shard").sortWithinPartitions("shard")
     across = met.select("shard", "keys", "nodes").mapInArrow(_gathered, _POSTINGS)
     within = dealt.filter("shard IS NULL").select("key", "node")
-    postings = stored(across.unionByName(within).distinct())
+    postings = _supported(stored(across.unionByName(within).distinct()))
     release(docs.sparkSession)
 
     wanted = rows.join(postings.select("node").distinct(), "node", "left_semi")
