@@ -2,7 +2,8 @@
 
 A rolling hash over the hashes of the last few lines chooses where a chunk ends, so an inserted or deleted line
 moves only the borders near it.  Chunks of several lines that occur more than once are removed but for their first
-occurrence; what counts as equal is decided by the chunks' bytes.
+occurrence; what counts as equal is decided by the chunks' bytes.  A repeated run of lines seldom begins and ends where
+chunks do, so it is followed up to its edges by comparing neighbouring lines wherever no repeated chunk was found.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.llm.rows import packed, same_row
@@ -26,6 +27,9 @@ MAX_LINES = 64
 _PRIME = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _CHUNKS = "doc long, mark long, place int, digest long"
+_PAIRS = _CHUNKS + ", within int"
+_PIECES = "doc long, mark long, place int, whole boolean, piece string"
+NO_CHUNK = -1  # a pair of lines that lie in two chunks
 
 
 def chunk_ends(hashes: list[int]) -> list[int]:
@@ -61,85 +65,102 @@ def _is_multi(lines: list[str]) -> bool:
     return sum(1 for line in lines if line and not line.isspace()) >= MIN_LINES
 
 
-def _pairs(body: str) -> Iterator[tuple[int, list[str]]]:
-    """From each line that is not blank to the next such line, blank ones between them included."""
+def _pairs(body: str) -> Iterator[tuple[int, list[str], int]]:
+    """From each line that is not blank to the next such line, blank ones between them included, and the chunk of both."""
     lines = body.split("\n")
+    starts = {i: start for start, part in _chunks(body) for i in range(start, start + len(part))}
     last = None
     for i, line in enumerate(lines):
         if line and not line.isspace():
             if last is not None:
-                yield last, lines[last : i + 1]
+                yield last, lines[last : i + 1], starts[i] if starts[last] == starts[i] else NO_CHUNK
             last = i
 
 
-def _kept_of_runs(body: str, gone: set[int]) -> tuple[list[str], int]:
-    """The lines outside the pairs that start at ``gone``, and how many runs of lines were cut.
+def _kept_of_runs(body: str, gone: set[int], copies: set[int]) -> tuple[list[str], int]:
+    """The lines outside the pairs that start at ``gone`` or lie in the chunks at ``copies``, and how many runs were cut.
 
     A pair that overlaps its own first occurrence (a line three times in a row) stays with it.
     """
     lines = body.split("\n")
     cut = [False] * len(lines)
-    before, before_place = None, None
-    for place, pair in _pairs(body):
-        own_first = before == pair and before_place not in gone
-        if place in gone and not own_first:
+    before = None
+    before_gone = False
+    for place, pair, within in _pairs(body):
+        own_first = before == pair and not before_gone
+        before, before_gone = pair, place in gone or within in copies
+        if before_gone and not own_first:
             cut[place : place + len(pair)] = [True] * len(pair)
-        before, before_place = pair, place
     kept = [line for line, out in zip(lines, cut, strict=True) if not out]
     return kept, sum(out and not (i and cut[i - 1]) for i, out in enumerate(cut))
 
 
-def _kept_of_chunks(body: str, gone: set[int]) -> tuple[list[str], int]:
-    """The lines outside the chunks that start at ``gone``, and how many chunks were cut."""
-    return [line for place, part in _chunks(body) if place not in gone for line in part], len(gone)
+def _kept_of_chunks(body: str, gone: set[int], copies: set[int]) -> tuple[list[str], int]:
+    """The lines outside the chunks that start at ``copies``, and how many chunks were cut."""
+    return [line for place, part in _chunks(body) if place not in copies for line in part], len(copies)
 
 
-def _digests(batches: Iterator[pa.RecordBatch], parts=_chunks) -> Iterator[pa.RecordBatch]:
+def _digest(lines: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(lines))
+
+
+def _digests(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.RecordBatch]:
+    """The digests of all chunks, or of all pairs with the chunk that each lies in."""
     for batch, texts in row_slices(batches, "body"):
-        of, places, digests = [], [], []
+        of, places, digests, chunks = [], [], [], []
         for i, body in enumerate(texts):
-            for place, lines in parts(body.as_py()):
+            for place, lines, *within in _pairs(body.as_py()) if pairs else _chunks(body.as_py()):
                 if _is_multi(lines):
                     of.append(i)
                     places.append(place)
-                    digests.append(xxhash.xxh3_64_intdigest("\n".join(lines)))
+                    digests.append(_digest(lines))
+                    chunks += within
         source = pa.array(of, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc").take(source),
-                batch.column("mark").take(source),
-                pa.array(places, pa.int32()),
-                pa.array(np.array(digests, np.uint64).view(np.int64)),
-            ],
-            ["doc", "mark", "place", "digest"],
-        )
-
-
-def _texts_of_chunks(batches: Iterator[pa.RecordBatch], parts=_chunks) -> Iterator[pa.RecordBatch]:
+        columns = {
+            "doc": batch.column("doc").take(source),
+            "mark": batch.column("mark").take(source),
+            "place": pa.array(places, pa.int32()),
+            "digest": pa.array(np.array(digests, np.uint64).view(np.int64)),
+        }
+        yield pa.RecordBatch.from_pydict(columns | ({"within": pa.array(chunks, pa.int32())} if pairs else {}))
+
+
+def _texts_of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of the chunks (``whole``) and pairs of lines that are asked for."""
     for batch, texts in row_slices(batches, "body"):
-        of, places, chunks = [], [], []
-        for i, (body, asked) in enumerate(zip(texts, batch.column("places").to_pylist(), strict=True)):
-            asked = set(asked)
-            for place, lines in parts(body.as_py()):
-                if place in asked:
-                    of.append(i)
-                    places.append(place)
-                    chunks.append("\n".join(lines))
+        of, places, wholes, pieces = [], [], [], []
+
+        def add(i: int, place: int, whole: bool, lines: list[str]) -> None:
+            of.append(i)
+            places.append(place)
+            wholes.append(whole)
+            pieces.append("\n".join(lines))
+
+        asked = zip(texts, batch.column("chunks").to_pylist(), batch.column("pairs").to_pylist(), strict=True)
+        for i, (body, of_chunks, of_pairs) in enumerate(asked):
+            body, of_chunks, of_pairs = body.as_py(), set(of_chunks), set(of_pairs)
+            for place, lines in _chunks(body) if of_chunks else ():
+                if place in of_chunks:
+                    add(i, place, True, lines)
+            for place, lines, _ in _pairs(body) if of_pairs else ():
+                if place in of_pairs:
+                    add(i, place, False, lines)
         source = pa.array(of, pa.int64())
         columns = [batch.column("doc").take(source), batch.column("mark").take(source)]
-        columns += [pa.array(places, pa.int32()), pa.array(chunks, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc", "mark", "place", "chunk"])
+        columns += [pa.array(places, pa.int32()), pa.array(wholes, pa.bool_()), pa.array(pieces, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "mark", "place", "whole", "piece"])
 
 
-def _without(text: str, kept_of=_kept_of_chunks):
+def _without(text: str, kept_of):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in row_slices(batches, text):
             left, n_lines, n_chunks, n_removed = [], [], [], []
-            for body, gone in zip(texts, batch.column("gone").to_pylist(), strict=True):
+            decided = zip(texts, batch.column("gone").to_pylist(), batch.column("copies").to_pylist(), strict=True)
+            for body, gone, copies in decided:
                 body = body.as_py()
                 lines, cuts, removed = (body or "").count("\n") + 1, 0, 0
-                if gone:
-                    kept, cuts = kept_of(body, set(gone))
+                if gone or copies:
+                    kept, cuts = kept_of(body, set(gone), set(copies))
                     removed = lines - len(kept)
                     if removed:
                         body = "\n".join(kept)
@@ -167,42 +188,74 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Digests of all chunks are counted, with partial sums; only texts of digests that occur more than once travel,
     and are grouped by their bytes, so a chunk that very many texts share is one row per task.
     """
-    return _removed(docs, doc_id, text, _chunks, _kept_of_chunks)
+    return _removed(docs, doc_id, text, False, _kept_of_chunks)
 
 
 def remove_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``remove_repeated_chunks``, but every repeated run of lines goes up to its edges.
 
-    A run has two lines or more that are not blank.  Each pair of such lines that follow each other (blank ones
-    between them included) is compared with all others by its bytes; of equal pairs the first stays, and the lines
-    of the others go.  A pair that overlaps its own first occurrence stays with it.  ``n_removed_chunks`` counts the
-    runs of lines cut.  A line that goes has an equal one in a pair that comes before it.
+    A run has two lines or more that are not blank.  Chunks that repeat an earlier one go whole.  Elsewhere, so in
+    chunks that are first or alone and across the borders of chunks, each pair of such lines that follow each other
+    (blank ones between them included) is compared with all others by its bytes; of equal pairs the first stays,
+    and the lines of the others go.  So runs are followed up to their edges, and runs too short for a chunk are found.
+    A pair that overlaps its own first occurrence stays with it.  ``n_removed_chunks`` counts the runs of lines cut.
+    A line that goes has an equal one in a pair that comes before it.
+
+    The pairs in a chunk that repeats an earlier one have an earlier pair each, so they need not be compared; a chunk
+    whose digest is an earlier one's though its bytes are not stays whole.
     """
-    return _removed(docs, doc_id, text, _pairs, _kept_of_runs)
+    return _removed(docs, doc_id, text, True, _kept_of_runs)
+
+
+def _often(digests: DataFrame) -> DataFrame:
+    """Digests that occur more than once, each with its first place."""
+    # Stored, so that the join shuffles both sides and Spark can split a hot digest.
+    counted = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "mark", "place")).alias("first"))
+    return stored(counted.filter("times > 1").select("digest", "first"))
 
 
-def _removed(docs: DataFrame, doc_id: str, text: str, parts, kept_of) -> DataFrame:
+def _removed(docs: DataFrame, doc_id: str, text: str, pairs: bool, kept_of) -> DataFrame:
     rows = packed(docs, doc_id, text)
     bodies = rows.select("doc", "mark", F.struct("body").alias("row"))
-    digests = bodies.mapInArrow(lambda batches: _digests(batches, parts), _CHUNKS)
-    # Stored, so that the join shuffles both sides and Spark can split a hot digest.
-    often = stored(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    met = digests.join(often, "digest", "left_semi")
-    asked = stored(met.groupBy("doc", "mark").agg(F.collect_set("place").alias("places")))
-
-    wanted = bodies.join(asked, same_row(bodies, asked)).select("row", bodies["doc"], bodies["mark"], "places")
-    chunks = wanted.mapInArrow(lambda batches: _texts_of_chunks(batches, parts), "doc long, mark long, place int, chunk string")
-    firsts = chunks.groupBy("chunk").agg(F.min(F.struct("doc", "mark", "place")).alias("first")).select("first.*")
-    staying = firsts.groupBy("doc", "mark").agg(F.collect_set("place").alias("staying"))
+    of_chunks = bodies.mapInArrow(lambda batches: _digests(batches, False), _CHUNKS)
+    found = of_chunks.join(_often(of_chunks), "digest").select(
+        "doc",
+        "mark",
+        F.col("place").alias("chunk"),
+        F.when(~F.struct("doc", "mark", "place").eqNullSafe(F.col("first")), F.col("place")).alias("copy"),
+        F.lit(None).cast("struct<place:int,within:int>").alias("pair"),
+    )
+    if pairs:
+        of_pairs = bodies.mapInArrow(lambda batches: _digests(batches, True), _PAIRS)
+        repeated = stored(of_pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+        none = F.lit(None).cast("int")
+        met = of_pairs.join(repeated, "digest", "left_semi")
+        met = met.select("doc", "mark", none.alias("chunk"), none.alias("copy"), F.struct("place", "within").alias("pair"))
+        found = found.unionByName(met)
+    named = found.groupBy("doc", "mark").agg(
+        F.collect_set("chunk").alias("chunks"), F.collect_set("copy").alias("copies"), F.collect_set("pair").alias("pairs")
+    )
+    compared = F.filter("pairs", lambda p: ~F.array_contains("copies", p["within"]))
+    asked = stored(named.select("doc", "mark", "chunks", F.transform(compared, lambda p: p["place"]).alias("pairs")))
+
+    wanted = bodies.join(asked, same_row(bodies, asked)).select("row", bodies["doc"], bodies["mark"], "chunks", "pairs")
+    pieces = wanted.mapInArrow(_texts_of_pieces, _PIECES)
+    firsts = pieces.groupBy("whole", "piece").agg(F.min(F.struct("doc", "mark", "place")).alias("first"))
+    staying = firsts.select("first.*", "whole").groupBy("doc", "mark").agg(
+        F.collect_set(F.when(F.col("whole"), F.col("place"))).alias("kept_chunks"),
+        F.collect_set(F.when(~F.col("whole"), F.col("place"))).alias("kept_pairs"),
+    )
+
+    def without(places: str, kept: str) -> Column:
+        return F.array_except(places, F.coalesce(kept, F.array().cast("array<int>")))
+
     decided = asked.join(staying, same_row(asked, staying), "left").select(
-        asked["doc"],
-        asked["mark"],
-        F.array_except("places", F.coalesce("staying", F.array().cast("array<int>"))).alias("gone"),
+        asked["doc"], asked["mark"], without("pairs", "kept_pairs").alias("gone"), without("chunks", "kept_chunks").alias("copies")
     )
-    decided = stored(decided.filter(F.size("gone") > 0))
+    decided = stored(decided.filter((F.size("gone") > 0) | (F.size("copies") > 0)))
 
     given = rows.select("row", "doc", "mark")
-    joined = given.join(decided, same_row(given, decided), "left").select("row", "gone")
+    joined = given.join(decided, same_row(given, decided), "left").select("row", "gone", "copies")
     counts = ("n_lines", "n_removed_chunks", "n_removed_lines")
     schema = given.select("row").withColumns({"left": F.lit(None).cast("string")} | {c: F.lit(None).cast("long") for c in counts})
     cut = joined.mapInArrow(_without(text, kept_of), schema.schema)

@@ -27,7 +27,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that an earlier one has; a document of nothing else goes."""
+    """Documents without the chunks of lines, grown to the edges of their runs, that an earlier one has.
+
+    A document of nothing else goes.
+    """
     cut = line_dedup.remove_repeated_runs(docs)
     left = cut.filter((F.col("n_removed_chunks") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     return _sized(left.select(*docs.columns))
@@ -61,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixture", sample_mixture),
 ]
 
-# Line runs and components have no SQL form; tests/llm hold the rows against a brute-force version.
+# Line chunks, their runs and components have no SQL form; tests/llm hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -347,6 +347,28 @@ def test_every_repeated_run_goes_to_its_edges(docs_of):
     assert "Block" not in "".join(t for i, t in found.items() if i > 12)
 
 
+def test_repeated_chunks_go_whole_and_pairs_only_elsewhere(docs_of):
+    rng = random.Random(9)
+    block = [f"Block line {i}." if i % 7 else "" for i in range(60)]
+    bodies = [[f"own {rng.random()}" for _ in range(rng.randrange(1, 6))] + block + [f"own {rng.random()}"] for _ in range(6)]
+    texts = ["\n".join(b) for b in bodies] + ["\n".join(block + ["x"] + block)]
+    body = texts[1]
+    whole = {place for place, lines in line_dedup._chunks(body) if set(lines) <= set(block)}
+    assert len(whole) > 5
+    within = [w for _, _, w in line_dedup._pairs(body)]
+    assert whole <= set(within) and line_dedup.NO_CHUNK in within
+    kept, _ = line_dedup._kept_of_runs(body, set(), whole)
+    covered = sum(sum(1 for line in lines if line) > 1 for place, lines in line_dedup._chunks(body) if place in whole)
+    assert covered > 5 and len(kept) < len(body.split("\n")) - 2 * covered + 1
+    asked = pa.RecordBatch.from_pylist(
+        [{"row": {"body": body}, "doc": 1, "mark": 1, "chunks": sorted(whole), "pairs": [0]}]
+    )
+    pieces = next(line_dedup._texts_of_pieces(iter([asked]))).to_pylist()
+    assert {p["place"] for p in pieces if p["whole"]} == whole and [p["place"] for p in pieces if not p["whole"]] == [0]
+    rows = line_dedup.remove_repeated_runs(docs_of(texts)).collect()
+    assert {r.doc_id: r.text for r in rows} == _without_repeated_runs(dict(enumerate(texts)))
+
+
 def test_chunk_borders_resist_shifts():
     rng = random.Random(8)
     hashes = [rng.getrandbits(64) for _ in range(300)]
