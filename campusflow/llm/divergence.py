@@ -25,6 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
 # Documents are counted in blocks of about this many bytes of text, which bounds a worker's memory.
 BLOCK_BYTES = 32 << 20
+# A block's texts are cut into words in slices of about so many bytes.
+SLICE_BYTES = 2 << 20
 # Terms times sources compared in one task.
 CELLS = 250_000
 
@@ -47,11 +49,12 @@ def _texts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
 def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays of four-byte numbers, compressed; ``_unpacked`` gives them back."""
     sizes = np.array([len(arrays), *map(len, arrays)])
-    return _small(np.concatenate([sizes, *arrays]).astype("<i4").tobytes())
+    return _small(np.concatenate([a.astype("<i4") for a in (sizes, *arrays)]))
 
 
-def _small(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+def _small(data: bytes | np.ndarray) -> bytes:
+    data = pa.py_buffer(data)
+    return data.size.to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def _whole(value: bytes) -> bytes:
@@ -64,57 +67,95 @@ def _unpacked(value: bytes) -> list[np.ndarray]:
     return np.split(data[data[0] + 1 :], ends[:-1] - data[0] - 1)
 
 
-def _block_rows(block: int, table: pa.Table, number: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
-    n = len(table)
-    pairs = zip(table.column("lang").to_pylist(), table.column("source").to_pylist(), strict=True)
-    of = np.array([number[pair] for pair in pairs])
-    place = np.empty(n, np.int64)
-    place[np.argsort(of, kind="stable")] = np.arange(n)
-    # Split at ASCII white space only, none of which is part of a term.
-    words = pc.ascii_split_whitespace(table.column("text").combine_chunks().cast(pa.large_string()))
-    doc = np.repeat(place, pc.list_value_length(words).to_numpy(zero_copy_only=False))
-    found = words.flatten().dictionary_encode()
-    # In order, which packs better here and in the shuffle.
-    order = pc.sort_indices(found.dictionary)
-    chunks, code = found.dictionary.take(order).cast(pa.string()), np.empty(len(order), np.int64)
-    code[order.to_numpy()] = np.arange(len(order))
-    key, counts = np.unique(code[found.indices.to_numpy()] * n + doc, return_counts=True)
-    if counts.max(initial=0) > MOST:
-        copies = (counts - 1) // MOST + 1
-        rest = counts - (copies - 1) * MOST
-        key, counts = np.repeat(key, copies), np.full(copies.sum(), MOST)
-        counts[np.cumsum(copies) - 1] = rest
-    lengths = np.bincount(key // n, minlength=len(chunks))
-    groups, sizes = np.unique(of, return_counts=True)
-    # Documents of a chunk ascend, so differences are small numbers.
-    places = _packed(groups, sizes, lengths, np.diff(key % n * (MOST + 1) + counts, prepend=0))
-    names = _small("\n".join(chunks.to_pylist()).encode())  # no chunk has a line feed
-    numbers, none = pa.array(np.arange(len(lengths), dtype=np.int32)), pa.nulls(len(lengths), pa.binary())
-    columns = [pa.array(np.full(len(lengths), block)), chunks, numbers, none, none]
-    batch = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
-    yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
-    yield pa.RecordBatch.from_pylist([{"block": block, "places": places, "names": names}], schema=_ARROW)
+class _Block:
+    """Documents of a block: their groups, and for each slice of them its chunks and which document has which how often.
+
+    Only a slice is held as words; no document is in two slices, so an entry of one is in no other.
+    """
+
+    def __init__(self) -> None:
+        self.of: list[np.ndarray] = []
+        self.chunks: list[pa.Array] = []
+        self.entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = self.docs = self.known = 0
+
+    def add(self, part: pa.RecordBatch, number: dict[tuple[str, str], int]) -> None:
+        pairs = zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)
+        self.of.append(np.array([number[pair] for pair in pairs]))
+        text = part.column("text")
+        # Split at ASCII white space only, none of which is part of a term.
+        words = pc.ascii_split_whitespace(text.cast(pa.large_string()))
+        doc = np.repeat(np.arange(len(part)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        found = words.flatten().dictionary_encode()
+        key, counts = np.unique(found.indices.to_numpy().astype(np.int64) * len(part) + doc, return_counts=True)
+        if counts.max(initial=0) > MOST:
+            copies = (counts - 1) // MOST + 1
+            rest = counts - (copies - 1) * MOST
+            key, counts = np.repeat(key, copies), np.full(copies.sum(), MOST)
+            counts[np.cumsum(copies) - 1] = rest
+        code, at = key // len(part) + self.known, key % len(part) + self.docs
+        self.entries.append((code.astype(np.int32), at.astype(np.int32), counts.astype(np.int8)))
+        self.chunks.append(found.dictionary)
+        self.known += len(found.dictionary)
+        self.docs += len(part)
+        self.size += pc.sum(pc.binary_length(text)).as_py() or 0
+
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        n, of = self.docs, np.concatenate(self.of)
+        place = np.empty(n, np.int64)
+        place[np.argsort(of, kind="stable")] = np.arange(n)
+        found = pa.concat_arrays(self.chunks).dictionary_encode()
+        self.chunks.clear()
+        # In order, which packs better here and in the shuffle.
+        order = pc.sort_indices(found.dictionary)
+        chunks, code = found.dictionary.take(order).cast(pa.string()), np.empty(len(order), np.int64)
+        code[order.to_numpy()] = np.arange(len(order))
+        code = code[found.indices.to_numpy()]
+        del found, order
+        width = n * (MOST + 1)
+        entries = np.empty(sum(len(own) for own, _, _ in self.entries), np.int64)
+        start = 0
+        for own, at, counts in self.entries:
+            entries[start : start + len(own)] = code[own] * width + place[at] * (MOST + 1) + counts
+            start += len(own)
+        self.entries.clear()
+        entries.sort()
+        lengths = np.diff(np.searchsorted(entries, np.arange(len(chunks) + 1) * width))
+        entries %= width
+        groups, sizes = np.unique(of, return_counts=True)
+        # Documents of a chunk ascend, so differences are small numbers.
+        steps = np.diff(entries, prepend=0).astype(np.int32)
+        del entries
+        places = _packed(groups, sizes, lengths, steps)
+        names = _small(pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), "\n")[0].as_buffer())  # no chunk has a line feed
+        numbers, none = pa.array(np.arange(len(lengths), dtype=np.int32)), pa.nulls(len(lengths), pa.binary())
+        columns = [pa.array(np.full(len(lengths), block)), chunks, numbers, none, none]
+        batch = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+        yield from (batch.slice(k, 10_000) for k in range(0, len(batch), 10_000))
+        yield pa.RecordBatch.from_pylist([{"block": block, "places": places, "names": names}], schema=_ARROW)
 
 
 def _count_chunks(number: dict[tuple[str, str], int]):
     """For each block of documents: its chunks with the numbers of the documents and the counts there, and its groups."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size, docs = TaskContext.get().partitionId() << 32, [], 0, 0
+        at, block = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
             ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
             while start < batch.num_rows:
                 before = int(ends[start - 1]) if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES - size, "right")))
-                held.append(batch.slice(start, stop - start))
-                size, docs = size + int(ends[stop - 1]) - before, docs + stop - start
+                room = max(min(SLICE_BYTES, BLOCK_BYTES - block.size), 0)
+                stop = max(start + 1, int(np.searchsorted(ends, before + room, "right")))
+                block.add(batch.slice(start, stop - start), number)
+                # A block is full if the next document goes beyond it.
+                following = int(ends[stop] - ends[stop - 1]) if stop < batch.num_rows else 0
                 start = stop
-                if size >= BLOCK_BYTES or start < batch.num_rows or docs >= BLOCK_DOCS:
-                    yield from _block_rows(block, pa.Table.from_batches(held), number)
-                    block, held, size, docs = block + 1, [], 0, 0
-        if held:
-            yield from _block_rows(block, pa.Table.from_batches(held), number)
+                if block.size + following > BLOCK_BYTES or block.size >= BLOCK_BYTES or block.docs >= BLOCK_DOCS:
+                    yield from block.rows(at)
+                    at, block = at + 1, _Block()
+        if block.docs:
+            yield from block.rows(at)
 
     return count
 
@@ -140,12 +181,17 @@ def _count_terms(block: pa.Table) -> pa.Table:
     terms = pa.concat_arrays([names.take(pa.array(alone)), sent.column("term").combine_chunks()]).dictionary_encode()
     # The entries of each row's chunk, one after the other.
     begin, size = (np.cumsum(lengths) - lengths)[chunk], lengths[chunk]
-    at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-    entries = np.cumsum(steps)[at]
-    code = np.repeat(terms.indices.to_numpy().astype(np.int64), size)
+    at = np.repeat(begin - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    entries = np.cumsum(steps, out=steps)[at]
+    del at, steps
     # By term, then by document, hence by group; a document may have a term by several chunks.
-    key = np.sort((code * n + entries // (MOST + 1)) * (MOST + 1) + entries % (MOST + 1))
-    times, key = key % (MOST + 1), key // (MOST + 1)
+    key = np.repeat(terms.indices.to_numpy().astype(np.int64) * (n * (MOST + 1)), size)
+    key += entries
+    del entries
+    key.sort()
+    times = key % (MOST + 1)
+    key //= MOST + 1
     once = _starts(key)
     code, of = key[once] // n, group[key[once] % n]
     cell = _starts(code * (len(groups) + 1) + of)

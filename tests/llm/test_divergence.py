@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from campusflow.llm import divergence
@@ -80,3 +83,17 @@ def test_no_kept_terms_still_gives_pairs(spark):
     rows = [("one", "en", "a"), ("two", "en", "b")]
     found = rows_of(divergence.audit_divergence(spark.createDataFrame(rows, "text string, lang string, source string")))
     assert found == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
+
+
+def test_only_a_slice_of_a_block_is_held_as_words(monkeypatch):
+    monkeypatch.setattr(divergence, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    text, n = " ".join("abcdefghij"[k % 10] for k in range(50_000)), 80
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * n, "source": ["a"] * n, "text": [text] * n})
+    tracemalloc.start()
+    try:
+        rows = [r for found in divergence._count_chunks({("en", "a"): 0})(iter([batch])) for r in found.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [r["chunk"] for r in rows] == [*"abcdefghij", None]
+    assert peak < 6 * n * len(text)
