@@ -29,7 +29,6 @@ CHUNK_KEYS = 1 << 20
 # Keys for parts that two similar sets share at least; a set of which fewer are shared with others links with none.
 SHARED = 3
 SUPPORT_ROUNDS = 2
-LEADER_ROUNDS = 1
 LEADERS = 3
 # Tokens of the sets of one group together, which bounds its row whatever the sets' sizes.
 GROUP_TOKENS = 1 << 16
@@ -220,22 +219,20 @@ def _linked(a: Column, b: Column, percent: int) -> Column:
 
 
 def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) that connect all sets which similar sets among the postings connect."""
-    links = None
-    parts = postings.select("node").distinct().withColumn("component", F.col("node"))
-    for _ in range(LEADER_ROUNDS):
-        placed = postings.join(parts, "node")
-        leads = placed.groupBy("key").agg(
-            F.min_by("node", F.xxhash64("key", "node")).alias("leader"),
-            F.min_by("component", F.xxhash64("key", "node")).alias("led"),
-        )
-        met = placed.join(leads, "key").filter("component <> led").groupBy("node")
-        few = met.agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("leader").alias("h"), "leader"))), 1, LEADERS).alias("l"))
-        pairs = few.select(F.col("node").alias("a"), F.explode("l.leader").alias("b"))
-        found = stored(_compared(pairs, sets, percent))
-        links = found if links is None else stored(links.unionByName(found))
-        parts = _labels(postings, links)
-    return links.unionByName(_opened(postings.join(parts, "node"), sets, percent))
+    """Links (``a``, ``b``) that connect all sets which similar sets among the postings connect.
+
+    The leader of a key is the set whose keys are shared most: the middle of a family of near copies is the leader of
+    most of its keys, and more of the family are similar to it than to any other.
+    """
+    sharing = postings.groupBy("key").agg(F.count(F.lit(1)).alias("sharing"))
+    weights = postings.join(sharing, "key").groupBy("node").agg(F.sum("sharing").alias("weight"))
+    leads = postings.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    met = postings.join(leads, "key").filter("node <> leader").groupBy("node")
+    few = met.agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("leader").alias("h"), "leader"))), 1, LEADERS).alias("l"))
+    pairs = few.select(F.col("node").alias("a"), F.explode("l.leader").alias("b"))
+    links = stored(_compared(pairs, sets, percent))
+    release(sets.sparkSession)
+    return links.unionByName(_opened(postings.join(_labels(postings, links), "node"), sets, percent))
 
 
 def _labels(postings: DataFrame, links: DataFrame) -> DataFrame:
@@ -271,23 +268,29 @@ def _linkable(tokens: DataFrame, percent: int) -> DataFrame:
 def _opened(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different components that share a key: the matrix of tokens and groups.
 
-    A group holds sets whose most shared key is the same, of up to about GROUP_TOKENS tokens, so sets that share many
-    keys tend to be in one group.  A set meets its own group through that key alone, and each later group that it shares
-    a key with, once however many keys they share; sizes, then the overlap with the group's union, decide which
-    groups are opened, and within an opened one it is compared with the sets of other components.
+    A group holds sets of one large component, or else sets whose most shared key is the same, of up to about
+    GROUP_TOKENS tokens, so sets that share many keys tend to be in one group.  A set meets its own group through that
+    key alone, and each later group that it shares a key with, once however many keys they share.  Groups of one
+    component come last: what is left of a family meets the part of it that is joined already, not the other
+    way round.  Sizes, then the overlap with the group's union, decide which groups are opened, and within an
+    opened one a set is compared with the sets of other components.
     """
     rows = stored(_open_rows(placed))
     open_sets = rows.select("node").distinct()
     able = _linkable(sets.join(open_sets, "node", "left_semi"), percent)
     rows = stored(_open_rows(rows.drop("sharing").join(able, "node")))
+    release(sets.sparkSession)
 
     leads = rows.groupBy("node", "component", "n").agg(F.max_by("key", F.struct("sharing", "key")).alias("lead"))
-    sizes = leads.groupBy("lead").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("blocks"))
+    tokens = leads.groupBy("component").agg((F.sum("n") >= GROUP_TOKENS).alias("alone"))
+    lead = F.when(F.col("alone"), F.col("component")).otherwise(F.col("lead")).alias("lead")
+    leads = stored(leads.join(tokens, "component").select("node", "component", "n", "alone", lead))
+    sizes = leads.groupBy("alone", "lead").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    release(sets.sparkSession)
     grouped = stored(
-        leads.join(sizes, "lead").select("node", "component", "n", F.struct("lead", block.alias("block")).alias("group"))
+        leads.join(sizes, ["alone", "lead"]).select("node", "component", "n", F.struct("alone", "lead", block.alias("block")).alias("group"))
     )
+    release(sets.sparkSession)
     groups = grouped.join(sets, "node").groupBy("group").agg(
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"),
         F.collect_list(F.struct("node", "component", "tokens")).alias("members"),

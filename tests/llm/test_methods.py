@@ -602,3 +602,33 @@ def test_bigram_counts_beyond_four_bytes(tmp_path, monkeypatch):
     scorer.model, scorer.hot = lm_scoring.Model(folder, 1, 1, {}), np.empty(0, np.uint64)
     assert scorer._bigram_counts(first, second).tolist() == n.tolist()
     assert scorer._bigram_counts(first, second + np.uint64(1)).tolist() == [0] * 40
+
+
+def test_the_middle_of_a_family_leads_it(spark, monkeypatch):
+    """Copies are 0.93 alike to one text, and 0.87 to each other; comparing with leaders joins every family."""
+    texts = []
+    for family in "abcd":
+        words = [f"{family}{i}" for i in range(300)]
+        texts.append(" ".join(words))
+        texts += [" ".join(f"x{k}" if i in (6 * k + 5, 6 * k + 155) else w for i, w in enumerate(words)) for k in range(20)]
+    left, opened = [], jaccard_join._opened
+
+    def seen(placed, sets, percent):
+        left.append(placed.select("component").distinct().count())
+        return opened(placed, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "_opened", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = jaccard_join.similarity_components(docs, n=5, percent=90)
+    assert {r.component_id for r in found.collect()} == {0, 21, 42, 63}
+    assert left == [4]
+
+
+def test_a_large_component_has_groups_of_its_own(spark, monkeypatch):
+    """Groups of the part of a family that is joined already meet nothing of that part, and what is left meets them."""
+    words = [f"w{i}" for i in range(300)]
+    chain = [" ".join(f"x{i}" if i < 4 * k else w for i, w in enumerate(words)) for k in range(12)]
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 300)
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    found = jaccard_join.similarity_components(docs, n=5, percent=90)
+    assert {r.component_id for r in found.collect()} == {0}
