@@ -44,6 +44,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = large.join(lows, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         pointed = small.unionByName(lows.select("a", F.col("low").alias("b")))
         now = stored(pointed.filter("a <> b").distinct())
+        # Else the driver's heap fills up with what it held for the jobs of all rounds.
+        release(links.sparkSession)
         rows, unsettled = state(now)
     release(links.sparkSession)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
